@@ -22,32 +22,55 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odflow.functions.geo import inside_ring
+from odflow.functions.geo import inside_ring, segment_touches_rect
 
 # Upper bound on polygon-edge copies (edges x covered cells) shipped to every executor.
 BROADCAST_EDGE_LIMIT = 5_000_000
 
 
-def default_cell_size(layer: DataFrame) -> float:
-    """About the median polygon extent: few cells per polygon and few polygons per cell."""
+def default_cell_size(layer: DataFrame, per_extent: int = 4) -> float:
+    """A quarter of the median polygon extent: most cells then lie wholly inside or outside
+    a polygon and need no ring test, while a polygon still covers only a few dozen cells."""
     v = layer.agg(F.percentile_approx(
         F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")), 0.5
     ).alias("c")).first()["c"]
-    return float(v) if v is not None and v > 0 else 1.0
+    return float(v) / per_extent if v is not None and v > 0 else 1.0
 
 
 def cell_index(layer: DataFrame, cell: float, carry: Mapping[str, str] | None = None
                ) -> DataFrame:
-    """``(gx, gy, cands)`` with the polygons whose bounding box touches each grid cell."""
+    """``(gx, gy, cands)``: per grid cell, the polygons that reach into it.
+
+    Each (cell, polygon) pair is classified once, on the layer side: when no polygon edge
+    touches the cell, the cell is either wholly inside the polygon (``full``: points there
+    need no ring test, and the edges are not shipped) or wholly outside (the polygon is not
+    a candidate of that cell).  Only boundary cells keep the edges for the exact test.
+    """
     carry = dict(carry or {})
     inv = 1.0 / cell
-    fields = [F.col("zone_id"), F.col("minx"), F.col("maxx"), F.col("miny"), F.col("maxy"),
-              F.col("edges")] + [F.col(c).alias(f"c_{c}") for c in carry]
     cells = (layer
              .withColumn("gx", F.explode(F.sequence(F.floor(F.col("minx") * inv),
                                                     F.floor(F.col("maxx") * inv))))
              .withColumn("gy", F.explode(F.sequence(F.floor(F.col("miny") * inv),
                                                     F.floor(F.col("maxy") * inv)))))
+    # The rectangle is widened by a hair so that floating rounding of a point's cell can
+    # never turn a boundary cell into a "full" one.
+    eps = cell * 1e-7
+    x0 = F.col("gx") * F.lit(cell) - eps
+    x1 = (F.col("gx") + 1) * F.lit(cell) + eps
+    y0 = F.col("gy") * F.lit(cell) - eps
+    y1 = (F.col("gy") + 1) * F.lit(cell) + eps
+    touch = F.exists("edges", lambda e: segment_touches_rect(e, x0, x1, y0, y1))
+    center_in = inside_ring("edges", (F.col("gx") + 0.5) * F.lit(cell),
+                            (F.col("gy") + 0.5) * F.lit(cell))
+    cells = cells.withColumns({"_touch": touch, "_cin": center_in}) \
+        .where(F.col("_touch") | F.col("_cin"))
+    full = ~F.col("_touch")
+    no_edges = F.array().cast(layer.schema["edges"].dataType)
+    fields = [F.col("zone_id"), full.alias("full"), F.col("minx"), F.col("maxx"),
+              F.col("miny"), F.col("maxy"),
+              F.when(full, no_edges).otherwise(F.col("edges")).alias("edges")] + \
+             [F.col(c).alias(f"c_{c}") for c in carry]
     return cells.groupBy("gx", "gy").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("cands"))
 
@@ -76,19 +99,20 @@ def locate(points: DataFrame, layer: DataFrame, lon: str, lat: str, out: str = "
     px, py = F.col(lon), F.col(lat)
     tagged = points.withColumns({"gx": F.floor(px * inv), "gy": F.floor(py * inv)})
     joined = tagged.join(index, ["gx", "gy"], "left")
-    hits = F.filter("cands", lambda z: px.between(z["minx"], z["maxx"])
-                    & py.between(z["miny"], z["maxy"]) & inside_ring(z["edges"], px, py))
+    # A point in a "full" cell of a polygon is inside it; elsewhere the bounding box and
+    # then the exact ring test decide.
+    hits = F.filter("cands", lambda z: z["full"] | (
+        px.between(z["minx"], z["maxx"]) & py.between(z["miny"], z["maxy"])
+        & inside_ring(z["edges"], px, py)))
     if how == "first":
-        joined = joined.withColumn("_hit", F.try_element_at(hits, F.lit(1)))
-    else:
-        exploder = F.explode_outer if keep_unmatched else F.explode
-        joined = joined.withColumn("_hit", exploder(hits))
-    result = joined.withColumns({out: F.col("_hit")["zone_id"],
-                                 **{o: F.col("_hit")[f"c_{c}"] for c, o in carry.items()}})
-    result = result.drop("gx", "gy", "cands", "_hit")
-    if not keep_unmatched:
-        result = result.where(F.col(out).isNotNull())
-    return result
+        hits = F.slice(hits, 1, 1)  # candidates are sorted by zone id: lowest id wins
+    picked = F.transform(hits, lambda z: F.struct(
+        z["zone_id"].alias(out), *[z[f"c_{c}"].alias(o) for c, o in carry.items()]))
+    # One generator evaluates the (interpreted) ring test once per point; a projection of
+    # struct fields would let the optimizer inline it into every field and the filter.
+    gen = F.inline_outer(picked) if keep_unmatched else F.inline(picked)
+    keep = [c for c in joined.columns if c not in ("gx", "gy", "cands")]
+    return joined.select(*keep, gen)
 
 
 def occupied_zones(layer: DataFrame, points: list[tuple[DataFrame, str, str]],

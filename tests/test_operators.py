@@ -150,3 +150,18 @@ def test_overlapping_boxes_count_once_per_box(spark):  # C7
                                   "o_lon double, o_lat double, d_lon double, d_lat double, w double, m double")
     h = box_heat(trips, boxes, zones).collect()
     assert [(r.dest, r.N) for r in h] == [(9, 4.0)]
+
+
+def test_full_cells_skip_ring_but_stay_exact(spark):
+    from odflow.operators.locate import cell_index
+    lay = _square_layer(spark, {1: (0, 0, 4), 2: (4, 0, 4)})
+    idx = cell_index(lay, 0.5).select(F.explode("cands").alias("z"))
+    stats = idx.agg(F.sum(F.col("z.full").cast("int")).alias("full"), F.count("*").alias("n")).first()
+    assert stats.full > 0 and stats.full < stats.n
+    rnd = random.Random(11)
+    pts = spark.createDataFrame([(i, rnd.uniform(-1, 9), rnd.uniform(-1, 5)) for i in range(2000)]
+                                + [(5000, 4.0, 2.0), (5001, 0.0, 0.0)], "pid int, lon double, lat double")
+    got = {r.pid: r.zone_id for r in locate(pts, lay, "lon", "lat", cell=0.5).collect()}
+    want = {r.pid: (1 if 0 <= r.lon <= 4 else 2) for r in pts.collect()
+            if 0 <= r.lon <= 8 and 0 <= r.lat <= 4}
+    assert got == want
