@@ -9,7 +9,8 @@ Spark has no containment join, so the layer is indexed on a regular grid:
    the layer is small enough, so the point side is never shuffled and a hot cell holding a
    third of all points costs nothing extra;
 4. a higher-order ``filter`` keeps candidates whose box and ring contain the point
-   (boundary points count as inside), all in generated code.
+   (boundary points count as inside); cells wholly inside a polygon skip the test, and
+   elsewhere only the edges near the cell are tested (see :func:`cell_index`).
 
 With ``how="first"`` a point gets the lowest containing zone id (one row per point, no
 fan-out); with ``how="all"`` it gets one row per containing polygon (overlapping boxes).
@@ -22,29 +23,60 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odflow.functions.geo import inside_ring, segment_touches_rect
+from odflow.functions.geo import crossing_count, inside_ring, on_ring_edge, segment_touches_rect
 
 # Upper bound on polygon-edge copies (edges x covered cells) shipped to every executor.
 BROADCAST_EDGE_LIMIT = 5_000_000
 
 
+def layer_plan(layer: DataFrame, per_extent: int = 4) -> tuple[float, bool]:
+    """Grid cell size and whether the grid index may be broadcast, from one small job.
+
+    The cell is a quarter of the median polygon extent: most cells then lie wholly inside
+    or outside a polygon and need no ring test, while a polygon covers a few dozen cells.
+    The broadcast decision uses an upper bound on the polygon-edge copies in the index,
+    ``sum(n * (w/c + 2) * (h/c + 2))`` over polygons with n edges and a w x h box, expanded
+    into three sums so that it is known before the cell size is.
+    """
+    n = F.size("edges").cast("double")
+    w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
+    r = layer.agg(F.percentile_approx(F.greatest(w, h), 0.5).alias("ext"),
+                  F.sum(n * w * h).alias("s2"), F.sum(n * (w + h)).alias("s1"),
+                  F.sum(n).alias("s0")).first()
+    cell = float(r["ext"]) / per_extent if r["ext"] is not None and r["ext"] > 0 else 1.0
+    bound = ((r["s2"] or 0) / (cell * cell) + 2 * (r["s1"] or 0) / cell + 4 * (r["s0"] or 0))
+    return cell, bound <= BROADCAST_EDGE_LIMIT
+
+
+def layer_plan_for(layer: DataFrame, cell: float) -> bool:
+    """Broadcast decision of :func:`layer_plan` for a given cell size."""
+    n = F.size("edges").cast("double")
+    w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
+    bound = layer.agg(F.sum(n * (w / cell + 2) * (h / cell + 2))).first()[0] or 0
+    return bound <= BROADCAST_EDGE_LIMIT
+
+
 def default_cell_size(layer: DataFrame, per_extent: int = 4) -> float:
-    """A quarter of the median polygon extent: most cells then lie wholly inside or outside
-    a polygon and need no ring test, while a polygon still covers only a few dozen cells."""
-    v = layer.agg(F.percentile_approx(
-        F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")), 0.5
-    ).alias("c")).first()["c"]
-    return float(v) / per_extent if v is not None and v > 0 else 1.0
+    """Grid cell size of :func:`layer_plan`."""
+    return layer_plan(layer, per_extent)[0]
 
 
 def cell_index(layer: DataFrame, cell: float, carry: Mapping[str, str] | None = None
                ) -> DataFrame:
     """``(gx, gy, cands)``: per grid cell, the polygons that reach into it.
 
-    Each (cell, polygon) pair is classified once, on the layer side: when no polygon edge
-    touches the cell, the cell is either wholly inside the polygon (``full``: points there
-    need no ring test, and the edges are not shipped) or wholly outside (the polygon is not
-    a candidate of that cell).  Only boundary cells keep the edges for the exact test.
+    Each (cell, polygon) pair is prepared once, on the small layer side:
+
+    * no polygon edge touches the cell: the cell is wholly inside the polygon (``full``:
+      points there need no test) or wholly outside (the polygon is not a candidate);
+    * otherwise only the edges that can matter for a point of the cell are kept.  In the
+      even-odd ray test (ray towards +x) an edge counts only when its y-range holds the
+      point's y, so edges outside the cell's horizontal strip are dropped; of the strip's
+      edges, those wholly left of the cell never count and those wholly right of it that
+      span the whole strip always count once - they are folded into ``par``.  The kept
+      edges go through exactly the same arithmetic as a test against the whole ring, so
+      the result is identical, at a cost set by the edges near the cell instead of the
+      polygon's vertex count.
     """
     carry = dict(carry or {})
     inv = 1.0 / cell
@@ -54,48 +86,65 @@ def cell_index(layer: DataFrame, cell: float, carry: Mapping[str, str] | None =
              .withColumn("gy", F.explode(F.sequence(F.floor(F.col("miny") * inv),
                                                     F.floor(F.col("maxy") * inv)))))
     # The rectangle is widened by a hair so that floating rounding of a point's cell can
-    # never turn a boundary cell into a "full" one.
+    # never move a point out of the rectangle its cell was prepared for.
     eps = cell * 1e-7
     x0 = F.col("gx") * F.lit(cell) - eps
     x1 = (F.col("gx") + 1) * F.lit(cell) + eps
     y0 = F.col("gy") * F.lit(cell) - eps
     y1 = (F.col("gy") + 1) * F.lit(cell) + eps
+
+    def ylo(e):
+        return F.least(e["y1"], e["y2"])
+
+    def yhi(e):
+        return F.greatest(e["y1"], e["y2"])
+
+    def spans_right(e):
+        return (F.least(e["x1"], e["x2"]) > x1) & (ylo(e) < y0) & (yhi(e) > y1)
+
     touch = F.exists("edges", lambda e: segment_touches_rect(e, x0, x1, y0, y1))
     center_in = inside_ring("edges", (F.col("gx") + 0.5) * F.lit(cell),
                             (F.col("gy") + 0.5) * F.lit(cell))
+    kept = F.filter("edges", lambda e: (yhi(e) >= y0) & (ylo(e) <= y1)
+                    & (F.greatest(e["x1"], e["x2"]) >= x0) & ~spans_right(e))
+    par = F.size(F.filter("edges", spans_right)) % 2
     cells = cells.withColumns({"_touch": touch, "_cin": center_in}) \
         .where(F.col("_touch") | F.col("_cin"))
     full = ~F.col("_touch")
     no_edges = F.array().cast(layer.schema["edges"].dataType)
     fields = [F.col("zone_id"), full.alias("full"), F.col("minx"), F.col("maxx"),
               F.col("miny"), F.col("maxy"),
-              F.when(full, no_edges).otherwise(F.col("edges")).alias("edges")] + \
+              F.when(full, F.lit(0)).otherwise(par).alias("par"),
+              F.when(full, no_edges).otherwise(kept).alias("edges")] + \
              [F.col(c).alias(f"c_{c}") for c in carry]
     return cells.groupBy("gx", "gy").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("cands"))
 
 
-def _maybe_broadcast(index: DataFrame) -> DataFrame:
-    edges = index.agg(F.sum(F.aggregate("cands", F.lit(0),
-                                        lambda acc, z: acc + F.size(z["edges"])))).first()[0]
-    return F.broadcast(index) if (edges or 0) <= BROADCAST_EDGE_LIMIT else index
-
-
 def locate(points: DataFrame, layer: DataFrame, lon: str, lat: str, out: str = "zone_id",
            carry: Mapping[str, str] | None = None, how: str = "first",
-           keep_unmatched: bool = False, cell: float | None = None) -> DataFrame:
+           keep_unmatched: bool = False, cell: float | None = None,
+           broadcast: bool | None = None) -> DataFrame:
     """Attach the polygon containing each point.
 
     ``carry`` maps layer columns to output names (e.g. ``{"cx": "orig_lon"}``) so zone
     attributes ride along without a second join.  Unmatched points (outside every polygon
-    or without coordinates) are dropped unless ``keep_unmatched``.
+    or without coordinates) are dropped unless ``keep_unmatched``.  ``cell`` and
+    ``broadcast`` default to :func:`layer_plan`; a caller locating several point sets in
+    one layer computes the plan once and passes it.
     """
     if how not in ("first", "all"):
         raise ValueError("how must be 'first' or 'all'")
     carry = dict(carry or {})
-    cell = cell if cell is not None else default_cell_size(layer)
+    if cell is None or broadcast is None:
+        planned_cell, planned_bc = layer_plan(layer)
+        cell = planned_cell if cell is None else cell
+        if broadcast is None:
+            broadcast = planned_bc if cell == planned_cell else layer_plan_for(layer, cell)
     inv = 1.0 / cell
-    index = _maybe_broadcast(cell_index(layer, cell, carry))
+    index = cell_index(layer, cell, carry)
+    if broadcast:
+        index = F.broadcast(index)
     px, py = F.col(lon), F.col(lat)
     tagged = points.withColumns({"gx": F.floor(px * inv), "gy": F.floor(py * inv)})
     joined = tagged.join(index, ["gx", "gy"], "left")
@@ -103,7 +152,8 @@ def locate(points: DataFrame, layer: DataFrame, lon: str, lat: str, out: str = "
     # then the exact ring test decide.
     hits = F.filter("cands", lambda z: z["full"] | (
         px.between(z["minx"], z["maxx"]) & py.between(z["miny"], z["maxy"])
-        & inside_ring(z["edges"], px, py)))
+        & (((crossing_count(z["edges"], px, py) + z["par"]) % 2 == 1)
+           | on_ring_edge(z["edges"], px, py))))
     if how == "first":
         hits = F.slice(hits, 1, 1)  # candidates are sorted by zone id: lowest id wins
     picked = F.transform(hits, lambda z: F.struct(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from odflow.operators.locate import default_cell_size, locate
+from odflow.operators.locate import layer_plan, layer_plan_for, locate
 
 
 def zone_trips(trips: DataFrame, layer: DataFrame, o_lon: str = "o_lon", o_lat: str = "o_lat",
@@ -19,12 +19,15 @@ def zone_trips(trips: DataFrame, layer: DataFrame, o_lon: str = "o_lon", o_lat:
     itself, so no separate centroid join is needed.  Ends outside every zone keep NULLs.
     Both lookups probe the same broadcast grid index; the trip stream is never shuffled.
     """
-    cell = cell if cell is not None else default_cell_size(layer)
+    if cell is None:
+        cell, bc = layer_plan(layer)
+    else:
+        bc = layer_plan_for(layer, cell)
     t = trips if keep is None else trips.select(*dict.fromkeys([*keep, o_lon, o_lat, d_lon, d_lat]))
     t = locate(t, layer, o_lon, o_lat, out="orig", carry={"cx": "orig_lon", "cy": "orig_lat"},
-               keep_unmatched=True, cell=cell)
+               keep_unmatched=True, cell=cell, broadcast=bc)
     t = locate(t, layer, d_lon, d_lat, out="dest", carry={"cx": "dest_lon", "cy": "dest_lat"},
-               keep_unmatched=True, cell=cell)
+               keep_unmatched=True, cell=cell, broadcast=bc)
     if keep is not None:
         drop = [c for c in (o_lon, o_lat, d_lon, d_lat) if c not in keep]
         t = t.drop(*drop)

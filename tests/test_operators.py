@@ -165,3 +165,24 @@ def test_full_cells_skip_ring_but_stay_exact(spark):
     want = {r.pid: (1 if 0 <= r.lon <= 4 else 2) for r in pts.collect()
             if 0 <= r.lon <= 8 and 0 <= r.lat <= 4}
     assert got == want
+
+
+def test_locate_many_vertex_polygons_match_whole_ring_test(spark):
+    import math
+    from odflow.functions.geo import inside_ring
+    rnd = random.Random(5)
+    verts = []
+    for z in range(6):
+        cx, cy, n = rnd.uniform(2, 8), rnd.uniform(2, 8), rnd.randint(40, 90)
+        for i in range(n):  # star-shaped, strongly non-convex rings
+            a = 2 * math.pi * i / n
+            r = 2.5 if i % 2 == 0 else rnd.uniform(0.4, 1.5)
+            verts.append((z, i, cx + r * math.cos(a), cy + r * math.sin(a)))
+    lay = layer_from_vertices(spark.createDataFrame(verts, "zone_id int, seq int, x double, y double"))
+    pts = spark.createDataFrame([(i, rnd.uniform(0, 10), rnd.uniform(0, 10)) for i in range(4000)],
+                                "pid int, lon double, lat double")
+    for cell in (None, 0.2, 1.3):
+        fast = {(r.pid, r.zone_id) for r in locate(pts, lay, "lon", "lat", how="all", cell=cell).collect()}
+        brute = {(r.pid, r.zone_id) for r in
+                 pts.crossJoin(lay).where(inside_ring("edges", "lon", "lat")).collect()}
+        assert fast == brute
