@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from odflow.operators.flows import flow_lines, od_flows, od_heat, zone_layer
 from odflow.plans import oracle as O
-from odflow.plans.catalog import TRIP_COLS, layer, located_trips, register, rsql
+from odflow.plans.catalog import TRIP_COLS, layer, located_trips, register, rsql, trips
+from odflow.plans.prepare import prune_to_selection, zone_trips
 
 ZT_OUT = TRIP_COLS + ["orig", "orig_lon", "orig_lat", "dest", "dest_lon", "dest_lat"]
 _ZT_SQL = f"""{O.views('trip', 'zone_edge')},
@@ -81,7 +82,9 @@ SELECT orig, {rsql('orig_lat')}, {rsql('orig_lon')}, dest, {rsql('dest_lat')}, {
 
 
 def _flows(spark, sf_dir, direction, linked, min_n, exclude_self):
-    return od_flows(located_trips(spark, sf_dir), direction=direction,
+    lay = layer(spark, sf_dir)
+    t = prune_to_selection(trips(spark, sf_dir), lay, SELECTION, direction)
+    return od_flows(zone_trips(t, lay, keep=TRIP_COLS), direction=direction,
                     filters={"route": FLOW_ROUTES, "time_period": FLOW_PERIODS},
                     selection=SELECTION, linked=linked, min_n=min_n, exclude_self=exclude_self)
 
