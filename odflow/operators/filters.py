@@ -85,15 +85,15 @@ def options(df: DataFrame, var: str, prior_filters: Mapping[str, Sequence | None
             levels: Sequence[str] | None = None) -> DataFrame:
     """Cascading choices (F12): distinct non-null values of ``var`` under earlier choices.
 
-    Returns ``(value, ord)``; ``ord`` is the domain ordinal when ``levels`` is given, else the
-    value's rank in sort order.
+    With ``levels`` returns ``(value, ord)`` with the domain ordinal (out-of-domain values
+    are not choices); without a codebook returns ``value`` sorted by value (a distributed
+    range-partitioned sort, no global numbering).
     """
     d = filter_in(df, prior_filters).where(F.col(var).isNotNull()) \
         .select(F.col(var).alias("value")).distinct()
     if levels is not None:
         return d.withColumn("ord", level_ord("value", levels)).where(F.col("ord").isNotNull())
-    from pyspark.sql import Window
-    return d.withColumn("ord", F.row_number().over(Window.orderBy("value")))
+    return d.orderBy("value")
 
 
 def all_of(*conds):

@@ -170,3 +170,27 @@ def q_route_lines(spark, sf_dir):
     """Origin-destination lines of the trips matching demographic filters, vertices exploded (Q2, G1)."""
     t = filter_in(trips(spark, sf_dir), RL_FILTERS)
     return trip_lines(t, KEY, which="od", explode=True)
+
+
+@register("box_flows_dest", _box_sql("dest", False, False, 15.005))
+def q_box_flows_dest(spark, sf_dir):
+    """Flows into custom boxes from the zones of the trips' origins, thresholded."""
+    return box_flows(trips(spark, sf_dir), _boxes(spark), layer(spark, sf_dir),
+                     direction="dest", linked=False, min_n=15.005, filters=BOX_FILTERS).select(
+        "box_id", "orig_lon", "orig_lat", "dest", "dest_lon", "dest_lat", "N", "colN")
+
+
+def _ind_orig_sql() -> str:
+    full = _ind_sql()
+    return full.split("\nUNION ALL\n")[0]
+
+
+@register("individual_trips_orig", _ind_orig_sql())
+def q_individual_trips_orig(spark, sf_dir):
+    """Trips starting in the selected zones with their destinations (Q4, origin mode)."""
+    sel = layer(spark, sf_dir).where(F.col("zone_id").isin(SELECTION))
+    return individual_trips(trips(spark, sf_dir), sel, direction="orig", filters=IND_FILTERS,
+                            keep=[*KEY, "time_period"], route="route",
+                            transfers_from=["flag"], transfers_to=["segment"]) \
+        .select(*KEY, "route", "time_period", "flag", "segment", "role", "sel_zone", "lon",
+                "lat", "label")

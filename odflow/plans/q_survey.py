@@ -132,10 +132,9 @@ def q_options_cascade(spark, sf_dir):
 
 
 @register("options_unordered", f"""{O.views('trip')}
-SELECT value, CAST(ROW_NUMBER() OVER (ORDER BY value) AS INTEGER) AS ord FROM (
-  SELECT DISTINCT route_type AS value FROM trip WHERE route IN (4, 5) AND route_type IS NOT NULL) d""")
+SELECT DISTINCT route_type AS value FROM trip WHERE route IN (4, 5) AND route_type IS NOT NULL""")
 def q_options_unordered(spark, sf_dir):
-    """Choices of a variable without a codebook, ranked in sort order."""
+    """Choices of a variable without a codebook, distinct and sorted."""
     return options(trips(spark, sf_dir), "route_type", {"route": [4, 5]})
 
 
@@ -180,3 +179,12 @@ def q_apply_codebook(spark, sf_dir):
     o = driver_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority",
                                                      "o_orderstatus")
     return apply_codebook(o, ORDER_CODEBOOK)
+
+
+X0 = ([], {"route": list(range(3, 12)), "flag": ["R", "A"]}, True)
+
+
+@register("crosstab_0", _xtab_query(*X0))
+def q_crosstab_0(spark, sf_dir):
+    """Cross-tab of no variable: one row with the filtered sample size and weight (A1)."""
+    return _xt(spark, sf_dir, X0)
