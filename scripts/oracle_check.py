@@ -1,7 +1,8 @@
 """Run registered queries on Spark and their oracle SQL on DuckDB, then compare.
 
-Usage: python scripts/oracle_check.py [sf_dir] [name ...]
-Compares column names, row counts and the multiset of rows (values normalised).
+Usage: python scripts/oracle_check.py [--strict] [sf_dir] [name ...]
+Compares column names, row counts and the multiset of rows (doubles compared after rounding
+to 6 digits, or bit for bit with --strict).
 """
 
 from __future__ import annotations
@@ -22,21 +23,25 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+STRICT = "--strict" in sys.argv
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if STRICT else round(v, 6)
     if hasattr(v, "item"):
         return norm(v.item())
     return v
 
 
 def main():
-    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or sorted(QUERIES)
+    args = [a for a in sys.argv[1:] if a != "--strict"]
+    sf = args[0] if args else "/root/testdata/sf0.01"
+    names = args[1:] or sorted(QUERIES)
     spark = get_spark("local[8]")
     con = duckdb.connect()
     for t in TABLES:

@@ -41,3 +41,11 @@ def test_query_matches_oracle(spark, duck, name):
     drows = Counter(tuple(_norm(r[i]) for i in order) for r in res.fetchall())
     srows = Counter(tuple(_norm(x) for x in r) for r in sdf.collect())
     assert srows == drows
+
+
+@pytest.mark.parametrize("name", ["od_flows_both", "box_heat", "classify_stops", "segment_flow",
+                                  "individual_trips", "crosstab_share_all", "trip_direction"])
+def test_no_cartesian_product(spark, name):
+    df = entry.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
