@@ -29,6 +29,10 @@ def one_row(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
+# Plan reports set this to False to see the whole upstream plan in one piece.
+MATERIALIZE = True
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage.
 
@@ -38,6 +42,8 @@ def materialize(df: DataFrame) -> DataFrame:
     session names in ``spark.checkpoint.dir`` (shared storage on a cluster), so it survives
     the loss of an executor; without a checkpoint folder it is persisted instead.
     """
+    if not MATERIALIZE:
+        return df
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir():
         return df.checkpoint(eager=True)

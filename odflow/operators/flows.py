@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from odflow.functions.geo import great_circle_params, great_circle_point, great_circle_vertices
 from odflow.functions.text import flow_label
 from odflow.functions.weights import na_sum, weight_col
-from odflow.operators._broadcast import materialize, one_row
+from odflow.operators._broadcast import bounded_broadcast, materialize, one_row
 from odflow.operators.filters import complete, filter_in
 
 OD_PAIRS = (("orig", "dest"), ("orig_lat", "dest_lat"), ("orig_lon", "dest_lon"))
@@ -71,7 +71,7 @@ def cap_at_quantile(df: DataFrame, col: str = "N", p: float = 0.95, out: str = "
     """
     if by:
         q = df.groupBy(*by).agg(F.percentile(col, p).alias("_q"))
-        joined = df.join(q, list(by), "inner")
+        joined = df.join(bounded_broadcast(q), list(by), "inner")
     else:
         q = df.agg(F.percentile(col, p).alias("_q"))
         joined = df.crossJoin(one_row(q))
