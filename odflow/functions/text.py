@@ -56,3 +56,8 @@ def flow_label(orig: str | Column, dest: str | Column, n: str | Column) -> Colum
 def percent_text(c: str | Column, digits: int = 1) -> Column:
     """Share in [0, 1] as percent text, e.g. 0.1234 -> "12.3%"."""
     return F.concat(F.format_number(_col(c) * 100, digits), F.lit("%"))
+
+
+def thousands(c: str | Column, digits: int = 0) -> Column:
+    """Number with thousands separators, e.g. 12345.6 -> "12,346"."""
+    return F.format_number(_col(c), digits)

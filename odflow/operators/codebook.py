@@ -77,3 +77,12 @@ def segment_levels(spark, levels: Mapping[object, Sequence[str]],
     """Ordered segment domain per line (C4) as a small table ``(line, segment, ord)``."""
     rows = [(line, seg, i) for line, segs in levels.items() for i, seg in enumerate(segs, 1)]
     return spark.createDataFrame(rows, f"{line_col} long, segment string, ord int")
+
+
+def label_of(df: DataFrame, col: str, labels: Mapping[str, str], out: str | None = None
+             ) -> DataFrame:
+    """Code-to-label lookup for one variable (P17) from a literal map; unknown codes keep NULL."""
+    pairs = []
+    for k, v in labels.items():
+        pairs.extend([F.lit(k), F.lit(v)])
+    return df.withColumn(out or f"{col}_label", F.try_element_at(F.create_map(*pairs), F.col(col)))

@@ -9,6 +9,7 @@ from odflow.operators.crosstab import add_share, crosstab, frequency, small_samp
 from odflow.operators.filters import options
 from odflow.plans import oracle as O
 from odflow.plans.catalog import register, rsql, trips
+from odflow.plans.survey import crosstab_report, prepare_survey
 from odflow.sources.views import driver_table
 
 # Codebook of the stand-in survey variables (ordered domains).
@@ -188,3 +189,69 @@ X0 = ([], {"route": list(range(3, 12)), "flag": ["R", "A"]}, True)
 def q_crosstab_0(spark, sf_dir):
     """Cross-tab of no variable: one row with the filtered sample size and weight (A1)."""
     return _xt(spark, sf_dir, X0)
+
+
+# Display labels of the stand-in flag codes.
+FLAG_LABELS = {"R": "Returned", "A": "Accepted", "N": "Not returned"}
+
+
+@register("crosstab_report", f"""{O.views('trip')}, x AS ({_xtab_sql(*SMALL)}),
+s AS (SELECT *, N / (CASE WHEN COUNT(N) OVER (PARTITION BY time_period, flag) = COUNT(*) OVER (PARTITION BY time_period, flag)
+                     THEN SUM(N) OVER (PARTITION BY time_period, flag) END) AS share FROM x),
+g AS (SELECT time_period, flag FROM x GROUP BY time_period, flag HAVING SUM(obs) < 30)
+SELECT s.time_period, s.segment, s.flag, s.obs, {rsql('s.N', 'N')}, {rsql('s.share', 'share')},
+  (g.flag IS NOT NULL) AS small,
+  CASE s.time_period WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4 END AS time_period_ord,
+  CASE s.segment WHEN 'MACHINERY' THEN 1 WHEN 'AUTOMOBILE' THEN 2 WHEN 'BUILDING' THEN 3 WHEN 'HOUSEHOLD' THEN 4 END AS segment_ord,
+  CASE s.flag WHEN 'R' THEN 1 WHEN 'A' THEN 2 WHEN 'N' THEN 3 END AS flag_ord,
+  CASE s.flag WHEN 'R' THEN 'Returned' WHEN 'A' THEN 'Accepted' WHEN 'N' THEN 'Not returned' END AS flag_label
+FROM s LEFT JOIN g ON g.time_period = s.time_period AND g.flag = s.flag""")
+def q_crosstab_report(spark, sf_dir):
+    """Cross-tab with shares, ordinals, labels and small-sample flags (Q1)."""
+    facets, filters, linked = SMALL
+    return crosstab_report(trips(spark, sf_dir), "time_period", "segment", "flag",
+                           filters=filters, linked=linked, domains=DOMAINS,
+                           labels={"flag": FLAG_LABELS})
+
+
+_RAW_SQL = """SELECT CAST(l_orderkey AS {s}) AS ID, l_linenumber, l_partkey, l_extendedprice,
+  sel_a, sel_b, sel_c, time_period, segment,
+  CAST(route AS {s}) || ' ' || segment AS ROUTE_SURVEYED FROM trip"""
+
+
+@register("prepare_survey", f"""{O.views('trip')},
+raw AS ({_RAW_SQL.format(s='VARCHAR')}),
+wt AS (SELECT CAST(o_orderkey AS VARCHAR) AS ID, o_totalprice AS weight FROM orders),
+j AS (SELECT raw.*, wt.weight FROM raw LEFT JOIN wt ON wt.ID = raw.ID),
+c AS (SELECT *, (CASE WHEN sel_a = 'Yes' THEN 1 ELSE 0 END) + (CASE WHEN sel_b = 'Yes' THEN 1 ELSE 0 END)
+              + (CASE WHEN sel_c = 'Yes' THEN 1 ELSE 0 END) AS n FROM j),
+k AS (SELECT *, CASE WHEN n > 1 THEN 'Multiple' WHEN n = 1 AND sel_a = 'Yes' THEN 'Returned'
+                     WHEN n = 1 AND sel_b = 'Yes' THEN 'Open' WHEN n = 1 AND sel_c = 'Yes' THEN 'Large'
+                     WHEN NULLIF(time_period, '') IS NOT NULL THEN 'Other' END AS category,
+             regexp_replace(ROUTE_SURVEYED, ' .*', '') AS route FROM c)
+SELECT k.ID, k.l_linenumber, k.l_partkey, {rsql('k.l_extendedprice', 'l_extendedprice')}, {rsql('k.weight', 'weight')},
+  k.category, NULLIF(k.sel_a, '') AS sel_a, k.route,
+  CASE WHEN k.route = '7' THEN 'Northstar' ELSE p.p_type END AS RouteType,
+  CASE WHEN k.time_period IN {O.in_list(DOMAINS['time_period'])} THEN k.time_period END AS time_period,
+  CASE k.time_period WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4 END AS time_period_ord,
+  CASE WHEN k.segment IN {O.in_list(DOMAINS['segment'])} THEN k.segment END AS segment,
+  CASE k.segment WHEN 'MACHINERY' THEN 1 WHEN 'AUTOMOBILE' THEN 2 WHEN 'BUILDING' THEN 3 WHEN 'HOUSEHOLD' THEN 4 END AS segment_ord
+FROM k LEFT JOIN part p ON CAST(p.p_partkey AS DOUBLE) = TRY_CAST(k.route AS DOUBLE)
+WHERE NOT COALESCE(k.ID LIKE '%7%', FALSE)""")
+def q_prepare_survey(spark, sf_dir):
+    """Preparation batch: weights, flag collapse, blanks, route class, codebook, exclusions (Q9)."""
+    raw = spark.sql(_RAW_SQL.format(s="STRING").replace("FROM trip", "FROM {trip}"),
+                    trip=trips(spark, sf_dir))
+    weights = driver_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("ID"), F.col("o_totalprice").alias("weight"))
+    classes = driver_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("Route"), F.col("p_type").alias("RouteType"))
+    prep = prepare_survey(
+        raw, "ID", weights=weights, route_text="ROUTE_SURVEYED", route_classes=classes,
+        renamed_routes={"7": "Northstar"},
+        flag_sets={"category": (FLAGS, "Multiple", "time_period")},
+        codebook={"time_period": DOMAINS["time_period"], "segment": DOMAINS["segment"]},
+        exclude_pattern="7")
+    return prep.select("ID", "l_linenumber", "l_partkey", "l_extendedprice", "weight", "category",
+                       "sel_a", "route", "RouteType", "time_period", "time_period_ord",
+                       "segment", "segment_ord")

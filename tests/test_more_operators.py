@@ -151,3 +151,11 @@ def test_labels(spark):
     df = spark.createDataFrame([(1, 2, 12.6, 0.1234)], "o int, d int, n double, s double")
     r = df.select(flow_label("o", "d", "n").alias("l"), percent_text("s").alias("p")).first()
     assert (r.l, r.p) == ("1 to 2: 13", "12.3%")
+
+
+def test_label_of_and_thousands(spark):
+    from odflow.functions.text import thousands
+    from odflow.operators.codebook import label_of
+    df = spark.createDataFrame([("R", 12345.6), ("Z", 7.0)], "c string, v double")
+    out = label_of(df, "c", {"R": "Returned"}).select("c_label", thousands("v").alias("t")).collect()
+    assert [(r.c_label, r.t) for r in out] == [("Returned", "12,346"), (None, "7")]
