@@ -186,3 +186,17 @@ def test_locate_many_vertex_polygons_match_whole_ring_test(spark):
         brute = {(r.pid, r.zone_id) for r in
                  pts.crossJoin(lay).where(inside_ring("edges", "lon", "lat")).collect()}
         assert fast == brute
+
+
+def test_locate_never_shuffles_points(spark):
+    from odflow.operators.locate import cell_index
+    lay = _square_layer(spark, {1: (0, 0, 4), 2: (4, 0, 4)})
+    # a hot spot: a third of all points in one cell
+    rows = [(i, 0.3, 0.3) for i in range(300)] + [(1000 + i, (i % 80) * 0.1, (i % 40) * 0.1) for i in range(600)]
+    pts = spark.createDataFrame(rows, "pid int, lon double, lat double")
+    located = locate(pts, lay, "lon", "lat", cell=0.5)
+    assert located.count() == located.select("pid").distinct().count()
+    plan = plan_text(located)
+    index_plan = plan_text(cell_index(lay, 0.5))
+    assert plan.count("Exchange hashpartitioning") == index_plan.count("Exchange hashpartitioning")
+    assert "BroadcastHashJoin" in plan
