@@ -124,14 +124,15 @@ def cell_index(layer: DataFrame, cell: float, carry: Mapping[str, str] | None =
 def locate(points: DataFrame, layer: DataFrame, lon: str, lat: str, out: str = "zone_id",
            carry: Mapping[str, str] | None = None, how: str = "first",
            keep_unmatched: bool = False, cell: float | None = None,
-           broadcast: bool | None = None) -> DataFrame:
+           broadcast: bool | None = None, index: DataFrame | None = None) -> DataFrame:
     """Attach the polygon containing each point.
 
     ``carry`` maps layer columns to output names (e.g. ``{"cx": "orig_lon"}``) so zone
     attributes ride along without a second join.  Unmatched points (outside every polygon
     or without coordinates) are dropped unless ``keep_unmatched``.  ``cell`` and
     ``broadcast`` default to :func:`layer_plan`; a caller locating several point sets in
-    one layer computes the plan once and passes it.
+    one layer computes the plan once and passes it, and may pass a prebuilt ``index``
+    (:func:`cell_index` of the same layer and cell, carrying the ``carry`` columns).
     """
     if how not in ("first", "all"):
         raise ValueError("how must be 'first' or 'all'")
@@ -142,7 +143,8 @@ def locate(points: DataFrame, layer: DataFrame, lon: str, lat: str, out: str = "
         if broadcast is None:
             broadcast = planned_bc if cell == planned_cell else layer_plan_for(layer, cell)
     inv = 1.0 / cell
-    index = cell_index(layer, cell, carry)
+    if index is None:
+        index = cell_index(layer, cell, carry)
     if broadcast:
         index = F.broadcast(index)
     px, py = F.col(lon), F.col(lat)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from odflow.operators.locate import layer_plan, layer_plan_for, locate
+from odflow.operators.locate import cell_index, layer_plan, layer_plan_for, locate
 
 
 def zone_trips(trips: DataFrame, layer: DataFrame, o_lon: str = "o_lon", o_lat: str = "o_lat",
@@ -24,10 +24,11 @@ def zone_trips(trips: DataFrame, layer: DataFrame, o_lon: str = "o_lon", o_lat:
     else:
         bc = layer_plan_for(layer, cell)
     t = trips if keep is None else trips.select(*dict.fromkeys([*keep, o_lon, o_lat, d_lon, d_lat]))
+    index = cell_index(layer, cell, {"cx": "cx", "cy": "cy"})  # one index, probed twice
     t = locate(t, layer, o_lon, o_lat, out="orig", carry={"cx": "orig_lon", "cy": "orig_lat"},
-               keep_unmatched=True, cell=cell, broadcast=bc)
+               keep_unmatched=True, cell=cell, broadcast=bc, index=index)
     t = locate(t, layer, d_lon, d_lat, out="dest", carry={"cx": "dest_lon", "cy": "dest_lat"},
-               keep_unmatched=True, cell=cell, broadcast=bc)
+               keep_unmatched=True, cell=cell, broadcast=bc, index=index)
     if keep is not None:
         drop = [c for c in (o_lon, o_lat, d_lon, d_lat) if c not in keep]
         t = t.drop(*drop)
