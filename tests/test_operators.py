@@ -200,3 +200,17 @@ def test_locate_never_shuffles_points(spark):
     index_plan = plan_text(cell_index(lay, 0.5))
     assert plan.count("Exchange hashpartitioning") == index_plan.count("Exchange hashpartitioning")
     assert "BroadcastHashJoin" in plan
+
+
+def test_pair_counts_equal_fanout_counts(spark):
+    from odflow.operators.segments import on_off, pair_counts
+    rnd = random.Random(2)
+    seg = spark.createDataFrame([(rnd.randint(0, 9), rnd.randint(0, 2), rnd.choice(["A", "B", None]))
+                                 for _ in range(40)], "site_id long, line_id int, segment string")
+    rides = spark.createDataFrame([(i, rnd.randint(0, 2), rnd.randint(0, 11), rnd.randint(0, 11),
+                                    rnd.choice(["NB", None]), "AM") for i in range(500)],
+                                  "id int, line_id int, board_site long, alight_site long, dir string, time_period string")
+    fan = on_off(attach_segments(rides, seg)).groupBy("line_id", "board_segment", "alight_segment").count()
+    want = {(r.line_id, r.board_segment, r.alight_segment): r["count"] for r in fan.collect()}
+    got = {(r.line_id, r.board_segment, r.alight_segment): r.N for r in pair_counts(rides, seg).collect()}
+    assert got == want and len(got) > 3
