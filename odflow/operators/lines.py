@@ -59,3 +59,23 @@ def trip_ends(trips: DataFrame, keep: Sequence[str],
                         *[F.col(src).alias(out) for out, src in pairs])
                for name, pairs in legs.items()]
     return trips.select(*keep, F.explode(F.array(*structs)).alias("_l")).select(*keep, "_l.*")
+
+
+def route_map(trips: DataFrame, key: Sequence[str], which: str = "od",
+              coords: dict[str, tuple[str, str, str, str]] | None = None,
+              attrs: Sequence[str] = (), label: "Column | None" = None
+              ) -> tuple[DataFrame, DataFrame]:
+    """Route map rows (Q2): the trips' lines and their end points.
+
+    Returns ``(lines, ends)``: two-point lines as in :func:`trip_lines` (exploded), and one
+    row per trip at the far end of the line with ``attrs`` and an optional ``label``.
+    """
+    coords = coords or {"od": ("o_lon", "o_lat", "d_lon", "d_lat"),
+                        "ba": ("b_lon", "b_lat", "a_lon", "a_lat")}
+    lines = trip_lines(trips, key, which, coords, explode=True)
+    _, _, lo2, la2 = coords[which]
+    cols = [*key, *attrs, F.col(lo2).alias("lon"), F.col(la2).alias("lat")]
+    if label is not None:
+        cols.append(label.alias("label"))
+    ends = trips.where(F.col(lo2).isNotNull() & F.col(la2).isNotNull()).select(*cols)
+    return lines, ends

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from odflow.operators.geometry_layer import boxes_from_points
-from odflow.operators.lines import trip_lines
+from odflow.functions.text import transfer_chain
+from odflow.operators.lines import route_map, trip_lines
 from odflow.operators.locate import locate, occupied_zones
 from odflow.operators.selection import box_flows, box_heat, individual_trips
 from odflow.operators.filters import filter_in
@@ -194,3 +195,18 @@ def q_individual_trips_orig(spark, sf_dir):
                             transfers_from=["flag"], transfers_to=["segment"]) \
         .select(*KEY, "route", "time_period", "flag", "segment", "role", "sel_zone", "lon",
                 "lat", "label")
+
+
+@register("route_end_points", f"""{O.views('trip')},
+tf AS (SELECT * FROM trip WHERE route IN {O.in_list(RL_FILTERS['route'])}
+       AND time_period IN {O.in_list(RL_FILTERS['time_period'])}
+       AND d_lon IS NOT NULL AND d_lat IS NOT NULL)
+SELECT {KEY_SQL}, t.route, t.time_period, {rsql('t.d_lon', 'lon')}, {rsql('t.d_lat', 'lat')},
+       CAST(t.route AS VARCHAR) || ' ' || COALESCE(t.flag, '') || ' ' || COALESCE(t.segment, '') AS label
+FROM tf t""")
+def q_route_end_points(spark, sf_dir):
+    """End points of the route-map trips with their transfer-chain label."""
+    t = filter_in(trips(spark, sf_dir), RL_FILTERS)
+    _, ends = route_map(t, KEY, attrs=["route", "time_period"],
+                        label=transfer_chain("route", ["flag"], ["segment"]))
+    return ends
