@@ -17,6 +17,7 @@ from odflow.functions.text import flow_label
 from odflow.functions.weights import na_sum, weight_col
 from odflow.operators._broadcast import bounded_broadcast, materialize, one_row
 from odflow.operators.filters import complete, filter_in
+from odflow.operators.quantile import ONE_TASK_LIMIT, exact_quantile
 
 OD_PAIRS = (("orig", "dest"), ("orig_lat", "dest_lat"), ("orig_lon", "dest_lon"))
 FLOW_KEYS = ["orig", "orig_lat", "orig_lon", "dest", "dest_lat", "dest_lon"]
@@ -68,10 +69,15 @@ def cap_at_quantile(df: DataFrame, col: str = "N", p: float = 0.95, out: str = "
     The quantile is R's default (linear interpolation), Spark's exact ``percentile``.  It is
     taken over an aggregated result (one row per zone pair or zone), never over raw trips;
     the global case is a one-row aggregate joined by broadcast, not a single-partition window.
+    Above ``ONE_TASK_LIMIT`` rows the order statistics are found by distributed ranks
+    (:func:`odflow.operators.quantile.exact_quantile`) instead of merging in one task.
     """
     if by:
         q = df.groupBy(*by).agg(F.percentile(col, p).alias("_q"))
         joined = df.join(bounded_broadcast(q), list(by), "inner")
+    elif df.limit(ONE_TASK_LIMIT + 1).count() > ONE_TASK_LIMIT:
+        # Too many rows for one task to merge: order statistics by ranks (distributed).
+        joined = df.withColumn("_q", F.lit(exact_quantile(df, col, p)).cast("double"))
     else:
         q = df.agg(F.percentile(col, p).alias("_q"))
         joined = df.crossJoin(one_row(q))
