@@ -44,8 +44,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     if not MATERIALIZE:
         return df
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir():
+    try:
+        has_dir = bool(df.sparkSession.sparkContext.getCheckpointDir())
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        has_dir = bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
+    if has_dir:
         return df.checkpoint(eager=True)
     from pyspark import StorageLevel
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -45,7 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     The setting is read, never invented on a cluster; ``get_spark`` only supplies
     one for local sessions where it is unset.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the setting
+        return spark.conf.get("spark.checkpoint.dir", None)
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        sc.setCheckpointDir(configured)
     return configured
