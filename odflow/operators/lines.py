@@ -45,19 +45,26 @@ def points_to_line(points: DataFrame, lon: str, lat: str, id_field: str,
 
 def trip_ends(trips: DataFrame, keep: Sequence[str],
               legs: dict[str, Sequence[tuple[str, str]]] | None = None,
-              type_col: str = "Type") -> DataFrame:
+              type_col: str = "Type", key_order: Sequence[str] | None = None,
+              key_col: str = "Key") -> DataFrame:
     """Unpivot each trip into an ``Orig`` and a ``Dest`` row.
 
     ``legs`` maps the leg name to ``[(out, source), ...]`` column pairs, e.g. ``lon`` from
     ``o_lon`` for Orig and from ``d_lon`` for Dest.  One pass with ``explode`` (no union of
-    two scans).  Rows are keyed by the trip key and the leg; interleaved 1,3,5 / 2,4,6 keys
-    need a global row order and are not produced (order by key and leg instead).
+    two scans).  With ``key_order``, ``Key`` numbers the legs 1, 3, 5, ... (first leg) and
+    2, 4, 6, ... (second leg) by the trips' position in that order (W2), from a
+    distributed global rank.
     """
     legs = legs or {"Orig": [("lon", "o_lon"), ("lat", "o_lat")],
                     "Dest": [("lon", "d_lon"), ("lat", "d_lat")]}
+    if key_order is not None:
+        from odflow.operators.quantile import global_rank
+        trips = global_rank(trips, list(key_order), out="_rank")
     structs = [F.struct(F.lit(name).alias(type_col),
+                        *([(F.col("_rank") * len(legs) - (len(legs) - 1 - i)).alias(key_col)]
+                          if key_order is not None else []),
                         *[F.col(src).alias(out) for out, src in pairs])
-               for name, pairs in legs.items()]
+               for i, (name, pairs) in enumerate(legs.items())]
     return trips.select(*keep, F.explode(F.array(*structs)).alias("_l")).select(*keep, "_l.*")
 
 

@@ -63,3 +63,25 @@ def ranked_partition(ranged: DataFrame, pid: int) -> DataFrame:
     """Rows of one range partition with their rank ``rk`` (1-based) by value."""
     part = ranged.where(F.col("pid") == pid)
     return part.withColumn("rk", F.row_number().over(Window.partitionBy("pid").orderBy("v")))
+
+
+def global_rank(df: DataFrame, order: list[str], out: str = "rank",
+                partitions: int | None = None) -> DataFrame:
+    """1-based position of every row in ``order`` (ties broken by the remaining columns).
+
+    Distributed: a range partition by ``order`` (written once, so it is stable), per-
+    partition row counts turned into offsets (one small row per partition, broadcast),
+    and a ``row_number`` inside each partition.  No window over the whole table.
+    """
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(parts, *order)
+                         .withColumn("_pid", F.spark_partition_id()))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.withColumn(
+        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
+    tie = [c for c in df.columns if c not in order]
+    w = Window.partitionBy("_pid").orderBy(*order, *tie)
+    return ranged.join(F.broadcast(offsets), "_pid") \
+        .withColumn(out, F.row_number().over(w) + F.col("_off")).drop("_pid", "_off")

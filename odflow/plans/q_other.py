@@ -211,3 +211,18 @@ SELECT {', '.join(k if k != 'l_extendedprice' else rsql(k) for k in O.TRIP_KEY)}
 def q_trip_ends(spark, sf_dir):
     """Every trip unpivoted into an origin row and a destination row in one pass."""
     return trip_ends(trips(spark, sf_dir), keep=[*O.TRIP_KEY, "route"])
+
+
+_KEY6 = [*O.TRIP_KEY[:4], "l_shipdate", "l_extendedprice"]
+_K5 = ", ".join(k if k != "l_extendedprice" else rsql(k) for k in O.TRIP_KEY)
+
+
+@register("trip_ends_keyed", f"""{O.views('trip')},
+r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {', '.join(_KEY6)}) AS rk FROM trip)
+SELECT {_K5}, route, 'Orig' AS Type, rk * 2 - 1 AS Key, {rsql('o_lon', 'lon')}, {rsql('o_lat', 'lat')} FROM r
+UNION ALL
+SELECT {_K5}, route, 'Dest' AS Type, rk * 2 AS Key, {rsql('d_lon', 'lon')}, {rsql('d_lat', 'lat')} FROM r""")
+def q_trip_ends_keyed(spark, sf_dir):
+    """Trip ends with interleaved leg keys 1,3,5 / 2,4,6 in trip-key order."""
+    t = trips(spark, sf_dir).select(*_KEY6, "route", "o_lon", "o_lat", "d_lon", "d_lat")
+    return trip_ends(t, keep=[*O.TRIP_KEY, "route"], key_order=_KEY6)

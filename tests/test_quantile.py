@@ -23,3 +23,21 @@ def test_cap_uses_distributed_path_above_limit(spark, monkeypatch):
     monkeypatch.setattr(fl, "ONE_TASK_LIMIT", 5)
     out = {r.N: r.colN for r in fl.cap_at_quantile(df).collect()}
     assert abs(out[20.0] - 19.05) < 1e-9 and out[3.0] == 3.0
+
+
+def test_global_rank_and_interleaved_keys(spark):
+    from odflow.operators.lines import trip_ends
+    from odflow.operators.quantile import global_rank
+    rnd = random.Random(4)
+    rows = [(rnd.randint(0, 500), i, float(i), float(-i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "ID int, seq int, o_lon double, d_lon double") \
+        .withColumn("o_lat", F.lit(1.0)).withColumn("d_lat", F.lit(2.0))
+    ranked = global_rank(df, ["ID", "seq"], partitions=5).collect()
+    got = sorted((r.ID, r.seq, r["rank"]) for r in ranked)
+    want = [(a, b, i + 1) for i, (a, b) in enumerate(sorted((r[0], r[1]) for r in rows))]
+    assert got == want
+    ends = trip_ends(df, ["ID", "seq"], key_order=["ID", "seq"]).collect()
+    keys = {(r.ID, r.seq, r.Type): r.Key for r in ends}
+    first = want[0]
+    assert keys[(first[0], first[1], "Orig")] == 1 and keys[(first[0], first[1], "Dest")] == 2
+    assert sorted(keys.values()) == list(range(1, 801))
