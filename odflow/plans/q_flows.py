@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from odflow.operators.flows import flow_lines, od_flows, od_heat, zone_layer
 from odflow.plans import oracle as O
