@@ -214,3 +214,13 @@ def test_pair_counts_equal_fanout_counts(spark):
     want = {(r.line_id, r.board_segment, r.alight_segment): r["count"] for r in fan.collect()}
     got = {(r.line_id, r.board_segment, r.alight_segment): r.N for r in pair_counts(rides, seg).collect()}
     assert got == want and len(got) > 3
+
+
+def test_classify_seq_sets_and_band_overlap(spark):
+    from odflow.operators.segments import at_seqs
+    stops = spark.createDataFrame([(4, 0, s, 100 + s, "N") for s in range(1, 11)],
+                                  "line_id int, direction_number int, stop_sequence_number int, "
+                                  "site_id long, site_downtown_zone string")
+    rules = [band(4, 0, 1, 10, "A"), at_seqs(4, 0, [2, 9], "B"), band(4, 0, 9, 9, "C")]
+    got = {r.stop_sequence_number: r.segment for r in classify_stops(stops, rules).collect()}
+    assert got == {1: "A", 2: "B", 3: "A", 4: "A", 5: "A", 6: "A", 7: "A", 8: "A", 9: "C", 10: "A"}
