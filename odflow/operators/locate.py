@@ -4,7 +4,8 @@ Spark has no containment join, so the layer is indexed on a regular grid:
 
 1. every polygon is copied to the grid cells its bounding box covers, and the candidates of
    one cell are gathered into one array sorted by zone id (a small, layer-sized table);
-2. each point computes its cell with ``floor(lon / cell)``, ``floor(lat / cell)``;
+2. each point computes its cell as ``floor(lon * (1 / cell))``, ``floor(lat * (1 / cell))``,
+   the same expression that lays out the index;
 3. an equi-join on the cell pair attaches the candidate array - a broadcast hash join when
    the layer is small enough, so the point side is never shuffled and a hot cell holding a
    third of all points costs nothing extra;
