@@ -113,11 +113,13 @@ def cell_index(layer: DataFrame, cell: float, carry: Mapping[str, str] | None =
         .where(F.col("_touch") | F.col("_cin"))
     full = ~F.col("_touch")
     no_edges = F.array().cast(layer.schema["edges"].dataType)
+    # ``o`` is the row a hit contributes, ready-made so no per-point transform is needed.
+    o = F.struct(F.col("zone_id").alias("_hit_zone"),
+                 *[F.col(c).alias(f"_hit_{c}") for c in carry])
     fields = [F.col("zone_id"), full.alias("full"), F.col("minx"), F.col("maxx"),
               F.col("miny"), F.col("maxy"),
               F.when(full, F.lit(0)).otherwise(par).alias("par"),
-              F.when(full, no_edges).otherwise(kept).alias("edges")] + \
-             [F.col(c).alias(f"c_{c}") for c in carry]
+              F.when(full, no_edges).otherwise(kept).alias("edges"), o.alias("o")]
     return cells.groupBy("gx", "gy").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("cands"))
 
@@ -159,13 +161,13 @@ def locate(points: DataFrame, layer: DataFrame, lon: str, lat: str, out: str = "
            | on_ring_edge(z["edges"], px, py))))
     if how == "first":
         hits = F.slice(hits, 1, 1)  # candidates are sorted by zone id: lowest id wins
-    picked = F.transform(hits, lambda z: F.struct(
-        z["zone_id"].alias(out), *[z[f"c_{c}"].alias(o) for c, o in carry.items()]))
+    picked = hits["o"]  # field of every element: generated code, no lambda
     # One generator evaluates the (interpreted) ring test once per point; a projection of
     # struct fields would let the optimizer inline it into every field and the filter.
     gen = F.inline_outer(picked) if keep_unmatched else F.inline(picked)
     keep = [c for c in joined.columns if c not in ("gx", "gy", "cands")]
-    return joined.select(*keep, gen)
+    names = {"_hit_zone": out, **{f"_hit_{c}": o for c, o in carry.items()}}
+    return joined.select(*keep, gen).withColumnsRenamed(names)
 
 
 def occupied_zones(layer: DataFrame, points: list[tuple[DataFrame, str, str]],
