@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from odflow.operators._broadcast import bounded_broadcast
 from odflow.operators.codebook import level_ord
 
 # IN-lists longer than this become a broadcast semi join (F3) instead of an InSet predicate.
@@ -26,7 +27,7 @@ def filter_in(df: DataFrame, filters: Mapping[str, Sequence | None] | None) -> D
         if len(vals) > LONG_LIST:
             spark = df.sparkSession
             keys = spark.createDataFrame([(v,) for v in vals], [col]).distinct()
-            df = df.join(F.broadcast(keys), col, "left_semi")
+            df = df.join(bounded_broadcast(keys, known_rows=len(vals)), col, "left_semi")
         else:
             df = df.where(F.col(col).isin(vals))
     return df

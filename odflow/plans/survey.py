@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from odflow.operators._broadcast import bounded_broadcast
 from odflow.operators.clean import apply_overrides, blank_to_null
 from odflow.operators.codebook import apply_codebook, collapse_flags, label_of, level_ord
 from odflow.operators.crosstab import add_share, crosstab, small_samples
@@ -35,7 +36,7 @@ def crosstab_report(trips: DataFrame, x: str | None = None, y: str | None = None
         grp = [x] if facet is None or facet in (x, y) else [x, facet]
         flags = small_samples(xt, x, y, facet, n=min_obs).select(*grp).withColumn(
             "small", F.lit(True))
-        out = out.join(F.broadcast(flags), grp, "left") \
+        out = out.join(bounded_broadcast(flags), grp, "left") \
             .withColumn("small", F.coalesce(F.col("small"), F.lit(False)))
     for v, lv in (domains or {}).items():
         if v in keys:
