@@ -26,11 +26,19 @@ def summarise(plan: str) -> dict:
     counts = {op: plan.count(op) for op in OPS}
     scans = sorted(set(re.findall(r"FileScan parquet [^\n]*?ReadSchema: (struct<[^>]*>)", plan)))
     pushed = set()
-    for f in re.findall(r"PushedFilters: \[([^\]]*)\]", plan):
-        for part in re.split(r", (?=[A-Z][A-Za-z]*\()", f):
-            if part and not part.startswith("IsNotNull"):
-                pushed.add(part)
-    tables = sorted(set(re.findall(r"sf[0-9.]+/([a-z]+)\.parquet", plan)))
+    for start in [m.end() for m in re.finditer(r"PushedFilters: \[", plan)]:
+        depth, i, part, parts = 1, start, "", []
+        while i < len(plan) and depth:
+            ch = plan[i]
+            depth += (ch == "[") - (ch == "]")
+            if depth == 1 and ch == ",":
+                parts.append(part.strip())
+                part = ""
+            elif depth:
+                part += ch
+            i += 1
+        parts.append(part.strip())
+        pushed.update(x for x in parts if x and not x.startswith("IsNotNull"))
     return {"counts": {k: v for k, v in counts.items() if v}, "scans": scans, "tables": tables,
             "pushed": sorted(pushed)}
 
