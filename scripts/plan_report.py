@@ -30,7 +30,7 @@ def summarise(plan: str) -> dict:
         depth, i, part, parts = 1, start, "", []
         while i < len(plan) and depth:
             ch = plan[i]
-            depth += (ch == "[") - (ch == "]")
+            depth += (ch in "[(") - (ch in "])")
             if depth == 1 and ch == ",":
                 parts.append(part.strip())
                 part = ""
