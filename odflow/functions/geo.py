@@ -36,10 +36,11 @@ def on_ring_edge(edges: str | Column, px: str | Column, py: str | Column) -> Col
     px, py = _col(px), _col(py)
 
     def on_edge(e):
+        # cheap range tests first: the interpreted AND stops there for almost every edge
         cross = (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])
-        return ((cross == 0)
+        return (py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
                 & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-                & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
+                & (cross == 0))
 
     return F.exists(_col(edges), on_edge)
 
