@@ -65,6 +65,14 @@ def _box_zone_sums(trips, boxes, zones, direction, linked, filters, w, m, o_lon,
     t = filter_in(trips, filters).select(o_lon, o_lat, d_lon, d_lat,
                                          weight_col(linked, w, m).alias("_wt"))
     ends = ends_by_role(t, direction, o_lon, o_lat, d_lon, d_lat, keep=["_wt"])
+    # A near end outside the boxes' common bounding box is in no box: drop it before the
+    # lookup (four comparisons in generated code).
+    bb = boxes.agg(F.min("minx"), F.max("maxx"), F.min("miny"), F.max("maxy")).first()
+    if bb[0] is None:
+        ends = ends.limit(0)
+    else:
+        ends = ends.where(F.col("near_lon").between(bb[0], bb[1])
+                          & F.col("near_lat").between(bb[2], bb[3]))
     # how="all": a point inside two overlapping boxes counts once for each box.
     near = locate(ends, boxes, "near_lon", "near_lat", out="box_id",
                   carry={"cx": "orig_lon", "cy": "orig_lat"}, how="all", cell=box_cell)
