@@ -36,6 +36,10 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = seeds(256, 17)
+#: Separators for word matching that looks past punctuation: all ASCII but letters and digits.
+PUNCTUATED = np.ones(256, dtype=bool)
+PUNCTUATED[128:] = False
+PUNCTUATED[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,13 +69,13 @@ def _powers(n: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
 _CACHE: dict = {}
 
 
-def pieces(raw: np.ndarray, offsets: np.ndarray):
+def pieces(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE):
     """(first byte, end byte) of pieces that end between words or at the end of a text."""
     pos, n = 0, len(raw)
     while pos < n:
         end = min(pos + PIECE, n)
         while end < n:
-            gap = np.flatnonzero(_SPACE[raw[end:end + 4096]])
+            gap = np.flatnonzero(space[raw[end:end + 4096]])
             nxt = offsets[np.searchsorted(offsets, end)]
             stop = min(end + int(gap[0]) if len(gap) else n, int(nxt))
             if stop <= end + 4096:
@@ -82,9 +86,9 @@ def pieces(raw: np.ndarray, offsets: np.ndarray):
         pos = end
 
 
-def word_spans(part: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(part: np.ndarray, cuts: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """First and end byte of each word of ``part``; no word crosses a position in ``cuts``."""
-    word = ~_SPACE[part]
+    word = ~space[part]
     before = np.empty_like(word)
     before[0], before[1:] = False, word[:-1]
     before[cuts] = False
@@ -107,13 +111,13 @@ def prefix_sums(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prefix, q
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and for each text the position of its first word (plus the end)."""
     hashes, starts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for a, b in pieces(raw, offsets):
+    for a, b in pieces(raw, offsets, space):
         part = raw[a:b]
         cuts = offsets[np.searchsorted(offsets, a):np.searchsorted(offsets, b)] - a
-        s, e = word_spans(part, cuts)
+        s, e = word_spans(part, cuts, space)
         prefix, q = prefix_sums(part)
         hashes.append(span_hash(prefix, q, s, e))
         starts.append(s + a)
@@ -146,9 +150,9 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return mix(h), out
 
 
-def small_batches(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+def small_batches(batch: pa.RecordBatch, column: int, limit: int = 8 << 20):
     """Slices of a batch with about ``limit`` bytes of text each (one row at least)."""
-    _, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
+    _, offsets = buffers(batch.column(column))
     i = 0
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)

@@ -5,8 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from odflow.llm import licenses, toxicity, warc
+from odflow.llm._licence_texts import KNOWN
+from odflow.llm.chat import repair_chats
+from odflow.llm.decontaminate import find_leaks
+from odflow.llm.exact_dedup import exact_duplicates
+from odflow.llm.mixing import mix
 from odflow.llm.near_dedup import near_duplicates
+from odflow.llm.sharding import shard_documents
+from odflow.llm.url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,7 +34,174 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-@_query("op1_near_dedup")
+_LOWER_ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_OP1_SQL = rf"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, {_LOWER_ASCII}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS s
+  FROM word),
+item AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM item a JOIN item b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT link.b, reach.r FROM reach JOIN link ON link.a = reach.v)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, c.component_id = s.doc_id AS kept
+FROM sets s JOIN (SELECT v, min(r) AS component_id FROM reach GROUP BY v) c ON c.v = s.doc_id
+"""
+
+
+@_query("op1_near_dedup", _OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 4-word shingles, similarity 0.8."""
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+_OP2_SQL = r"""
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept,
+       sha256(t) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+WINDOW g AS (PARTITION BY t)
+"""
+
+
+@_query("op2_exact_dedup", _OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates of all documents by block naming."""
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op3_decontaminate")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that leaks a benchmark item, with the item and the overlaps."""
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _canonical_sql(text: str) -> str:
+    t = rf"lower(regexp_replace(coalesce({text}, ''), '(?im)^[ \t]*(copyright|\(c\)|©)[ \t]+(\(c\)|©|[0-9]{{4}})[^\n]*', '', 'g'))"
+    t = rf"regexp_replace({t}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+    t = rf"regexp_replace({t}, ' ?\n[ \n]*', chr(10), 'g')"
+    for pattern, to in licenses.SPELLINGS:
+        t = rf"regexp_replace({t}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return rf"regexp_replace({t}, '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+def _op4_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quote(a)}, {quote(k)}, {quote(t)})" for a, k, t in KNOWN)
+    return f"""
+WITH known AS (
+  SELECT kind, sha256(replace({_canonical_sql('text')}, chr(10), ' ')) AS digest, min(licence) AS licence
+  FROM (VALUES {known}) v(licence, kind, text) GROUP BY 1, 2),
+doc AS (SELECT doc_id, {_canonical_sql('text')} AS t FROM documents),
+unit AS (SELECT doc_id, sha256(replace(t, chr(10), ' ')) AS digest, t FROM doc),
+line AS (SELECT DISTINCT doc_id, sha256(l) AS d FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM doc)),
+found AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS notices
+  FROM (SELECT DISTINCT doc_id, licence FROM line JOIN known ON d = digest AND kind = 'notice') GROUP BY doc_id)
+SELECT u.doc_id, u.digest, w.licence, coalesce(f.notices, '') AS notices
+FROM unit u LEFT JOIN (SELECT digest, min(licence) AS licence FROM known GROUP BY digest) w USING (digest)
+LEFT JOIN found f USING (doc_id)
+"""
+
+
+@_query("op4_licenses", _op4_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document as a whole, and the notices among its lines."""
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+@_query("op5_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes."""
+    return shard_documents(_table(spark, sf_dir, "documents"), 16)
+
+
+@_query("op6_chat")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations repaired and rendered, piece by piece."""
+    return repair_chats(_table(spark, sf_dir, "conversations"))
+
+
+_OP7_SQL = """
+WITH RECURSIVE per AS (SELECT source, count(*) AS n, sqrt(CAST(count(*) AS DOUBLE)) AS w FROM documents GROUP BY source),
+total AS (SELECT sum(n) AS all_n, CAST(sum(CAST(w AS DECIMAL(38,12))) AS DOUBLE) AS all_w FROM per),
+rate AS (SELECT source, w / all_w * CAST(all_n AS DOUBLE) / CAST(n AS DOUBLE) AS rate FROM per, total),
+piece AS (SELECT source, CAST(ceil(rate / 8.0) AS INT) AS pieces, rate / CAST(ceil(rate / 8.0) AS INT) AS mean FROM rate),
+pmf AS (SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM piece
+  UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM pmf WHERE k < 64),
+draw AS (SELECT d.doc_id, d.source, u.i,
+    CAST(CAST('0x' || substr(sha256('mix|' || d.doc_id || '|' || u.i), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+  FROM documents d JOIN piece ON d.source IS NOT DISTINCT FROM piece.source, unnest(range(1, pieces + 1)) u(i)),
+hit AS (SELECT doc_id, i, coalesce(min(k) FILTER (WHERE u < c), 64) AS n
+  FROM draw JOIN pmf ON draw.source IS NOT DISTINCT FROM pmf.source GROUP BY doc_id, i),
+times AS (SELECT doc_id, sum(n) AS n FROM hit GROUP BY doc_id)
+SELECT d.*, CAST(r.c AS INT) AS copy,
+  CAST('0x' || substr(sha256('mix|order|' || d.doc_id || '|' || r.c), 1, 13) AS BIGINT) AS mix_order
+FROM documents d JOIN times USING (doc_id), unnest(range(0, CAST(n AS BIGINT))) r(c)
+"""
+
+
+@_query("op7_mixing", _OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights that grow with the square root of a source's size."""
+    return (mix(_table(spark, sf_dir, "documents"))
+            .withColumnRenamed("__copy", "copy").withColumnRenamed("__order", "mix_order"))
+
+
+#: The rules the task states.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+_OP8_SQL = f"""
+WITH rules(rh, rp, v) AS (VALUES {', '.join(str(r) for r in URL_RULES)}),
+part AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+page AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER_ASCII}) AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM part)
+SELECT page_id, host, path, rh || rp AS rule, coalesce(v, 'allow') AS verdict
+FROM page LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh) + length(rp) DESC NULLS LAST) = 1
+"""
+
+
+@_query("op8_url_filter", _OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(_table(spark, sf_dir, "pages"), rules)
+
+
+def responses(pages: DataFrame) -> DataFrame:
+    """Stand-in response records around the pages: WARC and HTTP headers, then the page."""
+    text = lambda *lines: F.concat(*[F.concat(x if not isinstance(x, str) else F.lit(x), F.lit("\r\n")) for x in lines])
+    length = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+    return pages.select(
+        "page_id",
+        text("WARC-Type: response", F.concat(F.lit("WARC-Record-ID: "), warc.record_id(F.lit("page"), F.col("page_id").cast("string"))),
+             F.concat(F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit(""))), "WARC-Date: 2024-01-01T00:00:00Z",
+             "Content-Type: application/http; msgtype=response").alias("warc_headers"),
+        F.concat(text("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", F.concat(F.lit("Content-Length: "), length), ""),
+                 F.coalesce("html", F.lit(""))).alias("block"))
+
+
+@_query("op9_warc")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page's response."""
+    return warc.derivatives(responses(_table(spark, sf_dir, "pages")))
+
+
+def held_out(id_col: str = "doc_id"):
+    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
+
+
+@_query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(~held_out())
+    model = toxicity.fit(docs, labels)
+    return (toxicity.score_toxicity(docs, model)
+            .select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+                    (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "rejected"))
