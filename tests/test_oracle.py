@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from odflow.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -31,10 +32,10 @@ def test_entry_smoke(spark):
     assert df.count() >= 0 and "colN" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
-    sdf = entry.queries()[name](spark, SF)
-    res = duck.execute(entry.oracle_sql()[name])
+    sdf = QUERIES[name](spark, SF)
+    res = duck.execute(ORACLE[name])
     dcols = [d[0] for d in res.description]
     assert sorted(sdf.columns) == sorted(dcols)
     order = [dcols.index(c) for c in sdf.columns]
@@ -46,6 +47,6 @@ def test_query_matches_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", ["od_flows_both", "box_heat", "classify_stops", "segment_flow",
                                   "individual_trips", "crosstab_share_all", "trip_direction"])
 def test_no_cartesian_product(spark, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
