@@ -53,9 +53,15 @@ def _hash_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return _words.word_hashes(*_words.buffers(pa.array(texts, pa.string())), _words.PUNCTUATED)
 
 
-def _shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    sh, at = _words.shingles(*_hash_texts(texts), WIDTH)
-    return [np.unique(sh[a:b]) for a, b in zip(at[:-1], at[1:])]
+def _shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    return np.unique(_words.shingles(words, np.array([0, len(words)]), width)[0])
+
+
+def _shingle_sets(texts: list[str]) -> list[tuple[int, np.ndarray]]:
+    """Each text's shingles with their width: ``WIDTH``, or all its words if they are fewer."""
+    words, first = _hash_texts(texts)
+    widths = [min(WIDTH, max(1, int(n))) for n in np.diff(first)]
+    return [(w, _shingle_set(words[a:b], w)) for w, a, b in zip(widths, first[:-1], first[1:])]
 
 
 class Index:
@@ -171,17 +177,24 @@ class Index:
         for t, s, x in zip(text.tolist(), seg.tolist(), score.tolist()):
             key = (t, int(self.owner[s]))
             best[key] = max(best.get(key, 0.0), x)
-        out, last, have = [], -1, None
+        out, last, have = [], -1, {}
         for (t, i), x in sorted(best.items()):
             if t != last:
-                last, have = t, np.unique(_words.shingles(words[first[t]:first[t + 1]],
-                                                          np.array([0, first[t + 1] - first[t]]), WIDTH)[0])
-            whole, q, a = (float(np.isin(s, have).mean()) if len(s) else 0.0 for s in self.shingles[i])
+                last, have = t, {}
+            whole, q, a = (self._share(s, w, words[first[t]:first[t + 1]], have) for w, s in self.shingles[i])
             sides = any(o >= SIDE and n >= SIDE_WORDS for o, n in zip((q, a), self.side_words[i]))
             if whole >= OVERLAP or sides:
                 out.append((t, i, x, whole, q, a))
         return out
 
+    @staticmethod
+    def _share(shingles: np.ndarray, width: int, words: np.ndarray, have: dict[int, np.ndarray]) -> float:
+        if not len(shingles):
+            return 0.0
+        if width not in have:
+            have[width] = _shingle_set(words, width)
+        return float(np.isin(shingles, have[width]).mean())
+
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each i the numbers lo[i] .. hi[i] - 1: (i, number) in two arrays."""
