@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 
-from odflow.llm._words import U, mix, seeds
+from odflow.llm._words import U, mix, seeds, unique
 
 _MASK = U(0xFFFFFFFF)
 
 
 def distinct(sh: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's shingles sorted and without repeats, with the new ranges."""
-    parts = [np.unique(sh[a:b]) for a, b in zip(at[:-1], at[1:])]
+    parts = [unique(sh[a:b]) for a, b in zip(at[:-1], at[1:])]
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     return (np.concatenate(parts) if parts else sh[:0]), np.concatenate([[0], np.cumsum(sizes)])
 

@@ -150,6 +150,12 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return mix(h), out
 
 
+def unique(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def small_batches(batch: pa.RecordBatch, column: int, limit: int = 8 << 20):
     """Slices of a batch with about ``limit`` bytes of text each (one row at least)."""
     _, offsets = buffers(batch.column(column))

@@ -54,7 +54,7 @@ def _hash_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shingle_set(words: np.ndarray, width: int) -> np.ndarray:
-    return np.unique(_words.shingles(words, np.array([0, len(words)]), width)[0])
+    return _words.unique(_words.shingles(words, np.array([0, len(words)]), width)[0])
 
 
 def _shingle_sets(texts: list[str]) -> list[tuple[int, np.ndarray]]:
@@ -108,7 +108,7 @@ class Index:
         self.at = np.searchsorted(key, np.arange(cells + 1))
         top = np.zeros(cells)
         np.maximum.at(top, key, self.weight)
-        self.top = top.reshape(len(self.vocabulary), self.blocks)
+        self.top = top.reshape(len(self.vocabulary), self.blocks).astype(np.float32) * np.float32(1.00001)
         self.low = np.zeros(1 << 20, dtype=bool)
         self.low[(self.vocabulary & _words.U((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -133,39 +133,28 @@ class Index:
             return none
         text = np.searchsorted(first, at, "right") - 1
         cell = base[text] + (at - first[text]) // self.cell
-        v = len(self.vocabulary)
-        pair = np.unique(cell * v + term)
-        cell, term = pair // v, pair % v
-        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        bound = np.zeros((base[-1] + 1, self.blocks))
-        bound[cell[starts]] = np.add.reduceat(self.top[term], starts, axis=0)
-        bound[:-1] += bound[1:]          # a passage: this cell and the next ...
-        bound[base[1:] - 1] = 0          # ... of the same text; its last cell stands in the one before
-        single = np.flatnonzero(cells == 1)
-        rows = cell[starts]
-        alone = np.isin(rows, base[single])
-        bound[rows[alone]] = np.add.reduceat(self.top[term], starts, axis=0)[alone]
-        where, block = np.nonzero(bound[:-1] >= threshold)
+        # The distinct words of each passage, which is a cell and the next one of its text; a
+        # text's last cell lies in the passage before it, unless it is the only one.
+        v, first_cell, last_cell = len(self.vocabulary), base[text], base[text + 1] - 1
+        own = (cell < last_cell) | (cell == first_cell)
+        before = cell > first_cell
+        pair = _words.unique(np.concatenate([cell[own] * v + term[own], (cell[before] - 1) * v + term[before]]))
+        passage, term = pair // v, pair % v
+        lo = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+        hi = np.append(lo[1:], len(passage))
+        where, block = np.nonzero(np.add.reduceat(self.top[term], lo, axis=0) >= threshold)
         if not len(where):
             return none
-        # Words of each passage: those of its cell and the next, without repeats.
-        lo, mid = np.searchsorted(cell, where), np.searchsorted(cell, where, "right")
-        owner = np.searchsorted(base, where, "right") - 1
-        hi = np.where(where + 1 < base[owner + 1], np.searchsorted(cell, where + 1, "right"), mid)
-        out = []
-        for i in range(0, len(where), 4096):
-            out.append(self._scores(where[i:i + 4096], block[i:i + 4096], lo[i:i + 4096], hi[i:i + 4096], term, threshold))
+        out = [self._scores(where[i:i + 4096], block[i:i + 4096], lo, hi, term, threshold)
+               for i in range(0, len(where), 4096)]
         w, seg, score = map(np.concatenate, zip(*out))
-        return np.searchsorted(base, w, "right") - 1, seg, score
+        return np.searchsorted(base, passage[lo[w]], "right") - 1, seg, score
 
     def _scores(self, where, block, lo, hi, term, threshold):
-        row, at = _ranges(lo, hi)
-        pair = np.unique(row * len(self.vocabulary) + term[at])
-        row, words = pair // len(self.vocabulary), pair % len(self.vocabulary)
-        key = words * self.blocks + block[row]
+        row, at = _ranges(lo[where], hi[where])
+        key = term[at] * self.blocks + block[row]
         r, posting = _ranges(self.at[key], self.at[key + 1])
-        score = np.zeros(len(where) * BLOCK)
-        np.add.at(score, row[r] * BLOCK + self.seg[posting] % BLOCK, self.weight[posting])
+        score = np.bincount(row[r] * BLOCK + self.seg[posting] % BLOCK, self.weight[posting], len(where) * BLOCK)
         hit = np.flatnonzero(score >= threshold)
         return where[hit // BLOCK], block[hit // BLOCK] * BLOCK + hit % BLOCK, score[hit]
 
