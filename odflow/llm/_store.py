@@ -26,13 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, task_rows: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     The lineage ends at files every executor can read, so a lost executor costs no more than
-    its own tasks, and values such as row numbers keep what was written.
+    its own tasks, and values such as row numbers keep what was written.  With ``task_rows``
+    the table is read in as few partitions as hold that many rows each, for tables of two or
+    three numbers a row that go through many short steps.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/odflow-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    return table if task_rows is None else table.coalesce(max(1, -(-table.count() // task_rows)))

@@ -3,16 +3,17 @@
 1. Each text becomes its whole set of hashed word shingles, a sketch of it, and band keys.
    Texts with the same set (a 128-bit identity over the whole set) form one class, so
    groups of copies enter what follows as one row.
-2. Classes that share a band key form a bucket.  A bucket is not expanded into pairs: its
-   members are compared with one centre, the least id.
-3. Pairs are confirmed on full sets, and components are taken.
-4. Where a bucket still spans several components, its members are compared with a few more
-   centres; in what then remains, every pair of members of different components is
-   compared.  Pairs inside one component need no comparison, as only components are asked
-   for; so no link between different components that a band found is lost.
-
-With 32 bands of 5 bins, a pair at similarity 0.8 shares no band with probability 3e-6,
-at 0.9 with 4e-13.
+2. Classes that share a band key form a bucket.  A bucket is not expanded into pairs: each
+   member is paired with one centre, the least id, and the pair is confirmed on full sets.
+3. Buckets that share members form a family.  Where confirmed links leave a family in
+   several components, its members outside the family's main component are compared with
+   all its members, in blocks of ``BLOCK`` texts a task.  A block prunes pairs by their
+   sketches, confirms the rest on full sets, most similar first, skips pairs that are
+   already connected, and returns only links.
+
+Pairs inside one component need no comparison, as only components are asked for.  With 40
+bands of 6 bins, a pair at similarity 0.8 shares no band with probability 5e-6, at 0.9 with
+2e-13.  Sketches prune at five standard deviations below the similarity.
 """
 
 from __future__ import annotations
@@ -24,18 +25,22 @@ from pyspark.sql import functions as F
 
 from odflow.llm import _sketch, _words
 from odflow.llm._store import written
-from odflow.llm.components import components
+from odflow.llm.components import TASK_LINKS, components
 
-BANDS, ROWS = 32, 5
-MORE_CENTRES = 8
+BANDS, ROWS = 40, 6
+BLOCK = 256
+
+
+def _sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    words, first = _words.word_hashes(*_words.buffers(column))
+    return _sketch.distinct(*_words.shingles(words, first, width))
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for part in _words.small_batches(batch, "text"):
-                words, first = _words.word_hashes(*_words.buffers(part.column(1)))
-                sh, at = _sketch.distinct(*_words.shingles(words, first, width))
+            for part in _words.small_batches(batch, 1):
+                sh, at = _sets(part.column(1), width)
                 f1, f2 = _sketch.fingerprints(sh, at)
                 keys = _sketch.band_keys(_sketch.sketch(sh, at, BANDS * ROWS), ROWS)
                 lists = pa.ListArray.from_arrays(
@@ -48,37 +53,67 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
     return rows.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int,
-            percent: int) -> DataFrame:
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = _sketch.overlap(x, y)
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    need = written(texts.join(ids, "id", "left_semi"), "texts")
-    two = (pairs.join(need.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-           .join(need.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    two = (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+           .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
            .select("a", "b", "text_a", "text_b"))
 
-    def sets(column):
-        words, first = _words.word_hashes(*_words.buffers(column))
-        return _sketch.distinct(*_words.shingles(words, first, width))
-
     def run(batches):
         for batch in batches:
-            for part in _words.small_batches(batch, "text_b", 1 << 20):
+            for part in _words.small_batches(batch, 3, 1 << 20):
                 # A centre's text comes in many rows; its set is made once.
                 left = part.column(2).dictionary_encode()
                 which = left.indices.to_numpy()
-                sa, at_a = sets(left.dictionary)
-                sb, at_b = sets(part.column(3))
-                ok = np.zeros(len(which), dtype=bool)
-                for i, w in enumerate(which):
-                    x, y = sa[at_a[w]:at_a[w + 1]], sb[at_b[i]:at_b[i + 1]]
-                    both = _sketch.overlap(x, y)
-                    ok[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+                sa, at_a = _sets(left.dictionary, width)
+                sb, at_b = _sets(part.column(3), width)
+                ok = np.array([_reaches(sa[at_a[w]:at_a[w + 1]], sb[at_b[i]:at_b[i + 1]], percent)
+                               for i, w in enumerate(which)], dtype=bool)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)),
                                                   part.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    return two.mapInArrow(run, "a bigint, b bigint").distinct()
+    return two.mapInArrow(run, "a bigint, b bigint")
+
+
+def _block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between the two sides of each block (fam, i, j) of (side, id, root, text) rows."""
+    bins = BANDS * ROWS
+    s = percent / 100
+    least = s - 5 * (s * (1 - s) / bins) ** 0.5
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, roots = table["id"].to_numpy(), table["root"].to_numpy()
+        outer = np.flatnonzero(table["outer"].to_numpy(zero_copy_only=False))
+        inner = np.setdiff1d(np.arange(len(ids)), outer)
+        sh, at = _sets(table["text"].combine_chunks(), width)
+        sk = _sketch.sketch(sh, at, bins)
+        up: dict[int, int] = {}
+
+        def top(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        for x, r in zip(ids.tolist(), roots.tolist()):
+            up[top(x)] = top(r)
+        near = []
+        for i in outer:
+            alike = (sk[inner] == sk[i]).mean(axis=1)
+            near += [(-alike[k], i, inner[k]) for k in np.flatnonzero((alike >= least) & (roots[inner] != roots[i]))]
+        out = []
+        for _, i, k in sorted(near):
+            x, y = top(int(ids[i])), top(int(ids[k]))
+            if x != y and _reaches(sh[at[i]:at[i + 1]], sh[at[k]:at[k + 1]], percent):
+                up[x] = y
+                out.append((int(ids[i]), int(ids[k])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.groupBy("fam", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -95,60 +130,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(_sketched(docs, id_col, text_col, width), "sketches")
     real = rows.where("n > 0 AND id IS NOT NULL")
     classes = written(real.groupBy("n", "f1", "f2").agg(F.min("id").alias("c")), "classes")
-    reps = (real.join(classes.select("c", "f1", "f2"), (F.col("id") == F.col("c")), "left_semi")
-            .groupBy("id").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"),
-                               F.flatten(F.collect_set("bands")).alias("bands")))
-    band = written(reps.select("id", "n_lo", "n_hi", F.explode("bands").alias("key")), "bands")
+    classed = real.join(classes, ["n", "f1", "f2"])
+    reps = written(classed.where("id = c").select("id", "bands"), "bands")
+    classed = written(classed.select("id", "n", "c").unionByName(
+        rows.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("c"))), "classes")
+    band = reps.select("id", F.explode("bands").alias("key"))
     shared = written(band.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("m"))
                      .where("m > 1").select("key", "centre"), "buckets")
-    band = written(band.join(shared, "key"), "members")
-    close = F.expr(f"100 * least(n_hi, a_hi) >= {percent} * greatest(n_lo, a_lo)")
-    centre = band.where("id = centre").select("key", F.col("id").alias("a"), F.col("n_lo").alias("a_lo"),
-                                              F.col("n_hi").alias("a_hi"))
-
-    def with_centres(members: DataFrame, centres: DataFrame, also: str = "true") -> DataFrame:
-        return (members.join(centres, "key").where((F.col("id") != F.col("a")) & close & F.expr(also))
-                .select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct())
-
-    pairs = written(with_centres(band, centre), "pairs")
-    links = written(_linked(pairs, docs, id_col, text_col, width, percent), "pairs")
-    # Rows of one id with different sets are one vertex, whatever class each belongs to.
-    for step in ("centres", "all"):
-        root = components(links, "a", "b")
-        labelled = (band.where("id != centre").join(root, F.col("id") == F.col("node"), "left")
-                    .select("key", "id", "n_lo", "n_hi", F.coalesce("root", "id").alias("root")))
-        labelled = written(labelled, "labelled")
-        mixed = (labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-                 .where("x < y").select("key"))
-        left = written(labelled.join(written(mixed, "open"), "key", "left_semi"), "open")
-        if step == "centres":
-            slot = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(MORE_CENTRES))
-            pick = (left.groupBy("key", slot.alias("s"))
-                    .agg(F.min(F.struct("id", "n_lo", "n_hi", "root")).alias("p"))
-                    .select("key", F.col("p.id").alias("a"), F.col("p.n_lo").alias("a_lo"),
-                            F.col("p.n_hi").alias("a_hi"), F.col("p.root").alias("a_root")))
-            more = with_centres(left, written(pick, "centres"), "root != a_root")
-        else:
-            group = left.groupBy("key", "root").agg(F.count("*").alias("m"))
-            other = group.select("key", F.col("root").alias("a_root"))
-            want = (group.drop("m").join(other, "key").where("root < a_root"))
-            x = left.select("key", "root", F.col("id").alias("a"), F.col("n_lo").alias("a_lo"),
-                            F.col("n_hi").alias("a_hi"))
-            y = left.withColumnRenamed("root", "a_root")
-            more = (want.join(x, ["key", "root"]).join(y, ["key", "a_root"]).where(close)
-                    .select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct())
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs = written(pairs.unionByName(more), "pairs")
-        if more.isEmpty():
-            continue
-        links = written(links.unionByName(
-            _linked(more, docs, id_col, text_col, width, percent)), "links")
-    same = real.join(classes, ["n", "f1", "f2"]).where("id != c").select(F.col("c").alias("a"), F.col("id").alias("b"))
-    root = components(links.unionByName(same), "a", "b")
-    return (rows.select("id", "n").join(root, F.col("id") == F.col("node"), "left")
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.coalesce("root", "id").alias("component_id"),
-                    F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept")))
+    pairs = written(band.join(shared, "key").where("id != centre")
+                    .select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs", TASK_LINKS)
+    # The one shuffle of whole texts, planned alike at every size.
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = written(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+                    .join(ids.hint("shuffle_merge"), "id", "left_semi"), "texts")
+    # An id with several texts may stand for several classes; they are one vertex.
+    again = (classed.where("id IS NOT NULL").groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("z"))
+             .where("a < z").select("id", "a").join(classed.select("id", F.col("c").alias("b")), "id").select("a", "b"))
+    links = _confirmed(pairs, texts, width, percent).unionByName(again)
+    root = components(links, "a", "b")
+    of = lambda df, col, to: (df.join(root.select(F.col("node").alias(col), F.col("root").alias("__r")), col, "left")
+                              .withColumn(to, F.coalesce("__r", col)).drop("__r"))
+    bridges = of(of(pairs, "a", "ra"), "b", "rb").where("ra != rb").select("ra", "rb")
+    family = components(bridges, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("fam"))
+    member = written(of(ids, "id", "root").join(family, "root", "left")
+                     .select("id", "root", F.coalesce("fam", "root").alias("fam")), "members", TASK_LINKS)
+    part = member.groupBy("fam", "root").agg(F.count("*").alias("m"))
+    open_ = (part.groupBy("fam").agg(F.count("*").alias("parts"), F.sum("m").alias("all"),
+                                     F.max(F.struct("m", "root")).alias("main")).where("parts > 1")
+             .select("fam", F.col("main.root").alias("main"),
+                     F.ceil(F.col("all") / BLOCK).alias("inners"),
+                     F.ceil((F.col("all") - F.col("main.m")) / BLOCK).alias("outers")))
+    member = written(member.join(written(open_, "open", TASK_LINKS), "fam"), "members", TASK_LINKS)
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    outer = member.where("root != main").select("fam", dealt("outers").alias("i"), upto("inners").alias("j"),
+                                                F.lit(True).alias("outer"), "id", "root")
+    inner = member.select("fam", upto("outers").alias("i"), dealt("inners").alias("j"), F.lit(False).alias("outer"),
+                          "id", "root")
+    more = _block_links(outer.unionByName(inner).join(texts, "id"), width, percent)
+    last = (components(of(of(more, "a", "ra"), "b", "rb").select("ra", "rb"), "ra", "rb")
+            .select(F.col("node").alias("r"), F.col("root").alias("last")))
+    done = of(classed, "c", "r").join(last, "r", "left").withColumn("component", F.coalesce("last", "r"))
+    return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+                       F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
