@@ -14,34 +14,49 @@ from pyspark.sql import functions as F
 
 from odflow.llm._licence_texts import KNOWN
 
-#: Fixed values: (pattern, replacement) over canonical words; the first form becomes the second.
-SPELLINGS: list[tuple[str, str]] = [
-    (r"\blicenc(e|es|ed|ing)\b", "licens$1"),
-    (r"\bsub licens(e|es|ed|ing)\b", "sublicens$1"),
-    (r"\b(organi|authori|utili|recogni)s(e|ed|es|ing|ation|ations)\b", "$1z$2"),
-    (r"\bcopyright holder(s?)\b", "copyright owner$1"),
-    (r"\bnon (infringement|commercial)\b", "non$1"),
-    (r"\bwhilst\b", "while"),
+#: Fixed values: (words that must occur, pattern, replacement) over canonical words.
+SPELLINGS: list[tuple[tuple[str, ...], str, str]] = [
+    (("licenc",), r"\blicenc(e|es|ed|ing)\b", "licens$1"),
+    (("sub licens",), r"\bsub licens(e|es|ed|ing)\b", "sublicens$1"),
+    (("organis", "authoris", "utilis", "recognis"),
+     r"\b(organi|authori|utili|recogni)s(e|ed|es|ing|ation|ations)\b", "$1z$2"),
+    (("copyright holder",), r"\bcopyright holder(s?)\b", "copyright owner$1"),
+    (("non infringement", "non commercial"), r"\bnon (infringement|commercial)\b", "non$1"),
+    (("whilst",), r"\bwhilst\b", "while"),
 ]
 #: A line that names who holds the rights: a copyright word or sign, then a year or the sign.
 COPYRIGHT = r"(?imd)^[ \t]*(copyright|\(c\)|©)[ \t]+(\(c\)|©|[0-9]{4})[^\n]*"
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form; lines that keep no word vanish, the others stay apart by LF."""
+    """The canonical form; lines stay apart by LF, lines without words vanish."""
     t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, ""))
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
-    t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
-    for pattern, to in SPELLINGS:
-        t = F.regexp_replace(t, pattern, to)
-    return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
+    t = F.btrim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+
+    def respelled(words: tuple[str, ...], pattern: str, to: str):
+        # The words are sought first: few texts hold one, and only those are rewritten.
+        def one(x: Column) -> Column:
+            holds = F.contains(x, F.lit(words[0]))
+            for w in words[1:]:
+                holds |= F.contains(x, F.lit(w))
+            return F.when(holds, F.regexp_replace(x, pattern, to)).otherwise(x)
+        return one
+
+    for rule in SPELLINGS:
+        # Through an array of one, so that the text stands only once in the expression.
+        t = F.transform(F.array(t), respelled(*rule))[0]
+    return t
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str, str]] = KNOWN) -> DataFrame:
     """licence, kind, digest of the known texts, one row for each kind and digest."""
-    rows = spark.createDataFrame(known, "licence string, kind string, text string")
-    digest = F.sha2(F.translate(canonical(F.col("text")), "\n", " "), 256)
-    return rows.groupBy("kind", digest.alias("digest")).agg(F.min("licence").alias("licence"))
+    rows = spark.createDataFrame(known, "licence string, kind string, text string").withColumn("t", canonical(F.col("text")))
+    return rows.groupBy("kind", _digest("t").alias("digest")).agg(F.min("licence").alias("licence"))
+
+
+def _digest(canonical: str) -> Column:
+    return F.sha2(F.replace(F.col(canonical), F.lit("\n"), F.lit(" ")), 256)
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id",
@@ -55,17 +70,23 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     the same answer.  An empty table gives an empty result.
     """
     known = known if known is not None else known_digests(docs.sparkSession)
+    lookup = (known.groupBy("digest").agg(F.min("licence").alias("found")).withColumn("whole", F.lit(True))
+              .unionByName(known.where("kind = 'notice'").select("digest", F.col("licence").alias("found"),
+                                                                 F.lit(False).alias("whole"))))
     t = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("t"))
-    units = t.select("id", F.sha2(F.translate("t", "\n", " "), 256).alias("digest"), F.split("t", "\n").alias("lines"))
-    rows = units.select("id", "digest")
-    notices = known.where("kind = 'notice'").select(F.col("licence").alias("notice"), F.col("digest").alias("line_digest"))
-    found = (units.select("id", "digest", F.explode("lines").alias("line"))
-             .select("id", "digest", F.sha2("line", 256).alias("line_digest"))
-             .join(notices, "line_digest").groupBy("id", "digest")
-             .agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"))
-             .select(F.col("id").alias("f_id"), F.col("digest").alias("f_digest"), "notices"))
-    whole = known.groupBy("digest").agg(F.min("licence").alias("licence"))
-    return (rows.join(whole, "digest", "left")
-            .join(found, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("digest") == F.col("f_digest")), "left")
-            .select(F.col("id").alias(id_col), "digest", "licence",
-                    F.coalesce("notices", F.lit("")).alias("notices")))
+    unit = lambda digest, whole: F.struct(digest.alias("digest"), F.lit(whole).alias("whole"))
+    # One pass over the texts: a unit for the whole and one for each line, of which only
+    # those that are known travel on; a document's few units are then put together again.
+    units = t.select("id", _digest("t").alias("text_digest"), "t").select(
+        "id", "text_digest", F.inline_outer(F.concat(
+            F.array(unit(F.col("text_digest"), True)),
+            F.transform(F.split("t", "\n"), lambda x: unit(F.sha2(x, 256), False)))))
+    one = F.col("whole")
+    docs = (units.join(lookup, ["digest", "whole"], "left").where(one | F.col("found").isNotNull())
+            .groupBy("id", "text_digest")
+            .agg(F.min(F.when(one, F.col("found"))).alias("licence"),
+                 F.array_join(F.array_sort(F.collect_set(F.when(~one, F.col("found")))), ",").alias("notices"),
+                 F.sum(one.cast("int")).alias("rows")))
+    # As many rows as came in with this id and text.
+    return (docs.select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+            .select(F.col("id").alias(id_col), F.col("text_digest").alias("digest"), "licence", "notices"))

@@ -84,7 +84,7 @@ def _canonical_sql(text: str) -> str:
     t = rf"lower(regexp_replace(coalesce({text}, ''), '(?im)^[ \t]*(copyright|\(c\)|©)[ \t]+(\(c\)|©|[0-9]{{4}})[^\n]*', '', 'g'))"
     t = rf"regexp_replace({t}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
     t = rf"regexp_replace({t}, ' ?\n[ \n]*', chr(10), 'g')"
-    for pattern, to in licenses.SPELLINGS:
+    for _, pattern, to in licenses.SPELLINGS:
         t = rf"regexp_replace({t}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
     return rf"regexp_replace({t}, '^[ \n]+|[ \n]+$', '', 'g')"
 
