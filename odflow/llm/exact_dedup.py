@@ -87,7 +87,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = F.unhex(F.sha2(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")).cast("binary"),
                                   F.lit("|").cast("binary"), F.unhex(F.sha2("t", 256))), 256))
     starts = F.sequence(F.lit(0), F.greatest(F.octet_length("t") - 1, F.lit(0)), F.lit(BLOCK))
-    blocks = (rows.select(key.alias("key"), "t", F.explode(starts).alias("at"))
+    blocks = (rows.select(key.alias("key"), "t", F.explode_outer(starts).alias("at"))
               .select("key", (F.col("at") / BLOCK).cast("bigint").alias("pos"),
                       F.substring("t", F.col("at") + 1, F.lit(BLOCK)).alias("content")))
     level, done = 0, None
