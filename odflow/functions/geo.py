@@ -2,7 +2,7 @@
 
 A ring is stored as ``edges: array<struct<x1,y1,x2,y2>>`` (lon/lat degrees), one element per
 polygon edge.  All loops over vertices are higher-order functions (``aggregate``, ``exists``,
-``transform``) so they run inside whole-stage code generation with no Python in the task.
+``transform``): JVM code without Python in the task, interpreted rather than generated.
 Every division is guarded because ANSI mode raises on a zero divisor.
 """
 

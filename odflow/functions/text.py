@@ -28,8 +28,9 @@ def first_token(c: str | Column) -> Column:
 
 
 def to_number(c: str | Column, dtype: str = "double") -> Column:
-    """Tolerant text-to-number cast: unparsable text becomes NULL instead of failing."""
-    return _col(c).try_cast(dtype)
+    """Tolerant text-to-number cast: unparsable text and ``NaN`` become NULL."""
+    number = _col(c).try_cast(dtype)
+    return F.when(~F.isnan(number), number)
 
 
 def remap(c: str | Column, mapping: Mapping, default=None) -> Column:
@@ -47,10 +48,11 @@ def transfer_chain(route: str | Column, before: Sequence[str | Column],
     return concat_parts([route, *before, *after])
 
 
-def flow_label(orig: str | Column, dest: str | Column, n: str | Column) -> Column:
-    """"A to B: n" with n rounded to a whole number."""
-    return F.concat(_col(orig).cast("string"), F.lit(" to "), _col(dest).cast("string"),
-                    F.lit(": "), F.round(_col(n), 0).cast("bigint").cast("string"))
+def flow_label(orig: str | Column | None, dest: str | Column, n: str | Column) -> Column:
+    """"A to B: n" with n rounded to a whole number, halves to even; "To B: n" without an origin."""
+    head = F.lit("To ") if orig is None else F.concat(_col(orig).cast("string"), F.lit(" to "))
+    return F.concat(head, _col(dest).cast("string"), F.lit(": "),
+                    F.bround(_col(n), 0).cast("bigint").cast("string"))
 
 
 def percent_text(c: str | Column, digits: int = 1) -> Column:

@@ -1,27 +1,18 @@
-"""Size-checked broadcast.
+"""Written intermediate tables and one-row broadcasts.
 
-A side is broadcast only when its size is known to be bounded: either the caller passes the
-row count it built on the driver (rule lists, boxes, selections) or a count of the
-dimension-sized DataFrame is taken.  Above the bound the plain join is returned and the
-planner (with AQE) chooses a shuffle join; correctness never depends on the choice.
+No operator decides on a size by itself: whether a side is broadcast is left to
+``spark.sql.autoBroadcastJoinThreshold`` and AQE, which know the sizes of scanned and of
+written tables.  Hints stand only on one-row aggregates and on lists built on the driver.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a dimension-like side that may be shipped to every executor.
-BROADCAST_ROW_LIMIT = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
-                      known_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged."""
-    n = known_rows
-    if n is None:
-        n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+from odflow.session import shared_dir
 
 
 def one_row(df: DataFrame) -> DataFrame:
@@ -29,26 +20,20 @@ def one_row(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-# Plan reports set this to False to see the whole upstream plan in one piece.
-MATERIALIZE = True
+def from_driver(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a table made from a list that the driver holds anyway."""
+    return F.broadcast(df)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage.
+    """Compute ``df`` once: Parquet in the shared folder, read back.
 
-    Used for a small aggregated result that feeds two branches (its rows and a global
-    quantile of them), which would otherwise re-run the whole upstream scan twice because
-    column pruning makes the branches' plans differ.  The data is written to the folder the
-    session names in ``spark.checkpoint.dir`` (shared storage on a cluster), so it survives
-    the loss of an executor; without a checkpoint folder it is persisted instead.
+    Used where a result feeds several branches (rows and a quantile of them, an index probed
+    twice), which would otherwise re-run the upstream scan.  The folder is the one the session
+    names in ``spark.checkpoint.dir``; without one this is an error on a cluster, because a
+    machine-local copy would be lost with its executor.  The planner sees the written size.
     """
-    if not MATERIALIZE:
-        return df
-    try:
-        has_dir = bool(df.sparkSession.sparkContext.getCheckpointDir())
-    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
-        has_dir = bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
-    if has_dir:
-        return df.checkpoint(eager=True)
-    from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/odflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from odflow.operators._broadcast import bounded_broadcast
 
 
 def blank_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -68,7 +67,7 @@ def direction_of(c: str | Column, exceptions: Mapping[str, str] | None = None) -
 def apply_overrides(df: DataFrame, overrides: DataFrame, key: str,
                     cols: Sequence[str]) -> DataFrame:
     """Manual corrections of single records by key (P12): override values win when present."""
-    o = bounded_broadcast(overrides.select(key, *[F.col(c).alias(f"_o_{c}") for c in cols]))
+    o = overrides.select(key, *[F.col(c).alias(f"_o_{c}") for c in cols])
     out = df.join(o, key, "left")
     return out.withColumns({c: F.coalesce(F.col(f"_o_{c}"), F.col(c)) for c in cols}) \
         .drop(*[f"_o_{c}" for c in cols])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odflow.operators.quantile import global_rank
+
 
 def level_map(levels: Sequence[str]) -> Column:
     """Literal map ``level -> ordinal`` (1-based) for one variable."""
@@ -40,13 +42,12 @@ def apply_codebook(df: DataFrame, codebook: Mapping[str, Sequence[str]],
 
 
 def infer_domain(df: DataFrame, col: str) -> DataFrame:
-    """Sorted domain of a column from the data: ``(value, ord)``; codebook-sized output.
+    """Sorted domain of a column from the data: ``(value, ord)``, ``ord`` from 1.
 
-    The distinct step is a partial + final aggregate; only the distinct values (the domain)
-    reach the ordering window.
+    The distinct values are numbered by a distributed rank, so a domain of any size does.
     """
     d = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
-    return d.withColumn("ord", F.row_number().over(Window.orderBy("value")))
+    return global_rank(d, ["value"], out="ord").withColumn("ord", F.col("ord").cast("int"))
 
 
 def order_by_levels(df: DataFrame, cols: Sequence[str], ord_suffix: str = "_ord") -> DataFrame:
@@ -72,13 +73,6 @@ def collapse_flags(df: DataFrame, flags: Mapping[str, str], many: str, out: str,
     return df.withColumn(out, res)
 
 
-def segment_levels(spark, levels: Mapping[object, Sequence[str]],
-                   line_col: str = "line_id") -> DataFrame:
-    """Ordered segment domain per line (C4) as a small table ``(line, segment, ord)``."""
-    rows = [(line, seg, i) for line, segs in levels.items() for i, seg in enumerate(segs, 1)]
-    return spark.createDataFrame(rows, f"{line_col} long, segment string, ord int")
-
-
 def label_of(df: DataFrame, col: str, labels: Mapping[str, str], out: str | None = None
              ) -> DataFrame:
     """Code-to-label lookup for one variable (P17) from a literal map; unknown codes keep NULL."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odflow.functions.weights import na_sum, na_sum_over, weight_col
-from odflow.operators._broadcast import one_row
+from odflow.operators._broadcast import materialize, one_row
 from odflow.operators.filters import filter_in
 
 
@@ -44,8 +44,8 @@ def add_share(xtab: DataFrame, x: str | None = None, y: str | None = None,
               facet: str | None = None, col: str = "N", out: str = "share") -> DataFrame:
     """Share of ``N`` within x, within (x, facet), or overall.
 
-    Partitioned windows run on the small cross-tab; the overall total is a one-row
-    aggregate joined by broadcast instead of an unpartitioned window.
+    Partitioned windows run on the small cross-tab; for the overall total the cross-tab is
+    written once, so that its rows and its one-row total share one pass over the trips.
     """
     if x is not None and y == x:
         y = None
@@ -54,17 +54,23 @@ def add_share(xtab: DataFrame, x: str | None = None, y: str | None = None,
     if x is not None and y is not None:
         parts = [x] if facet is None else [x, facet]
         return xtab.withColumn(out, F.col(col) / na_sum_over(col, Window.partitionBy(*parts)))
+    xtab = materialize(xtab)
     total = xtab.agg(na_sum(col).alias("_total"))
     return xtab.crossJoin(one_row(total)).withColumn(out, F.col(col) / F.col("_total")) \
         .drop("_total")
 
 
+def sample_keys(x: str, y: str, facet: str | None) -> list[str]:
+    """The columns whose groups the small-sample warning counts: x, and another facet."""
+    return [x] if facet is None or facet in (x, y) else [x, facet]
+
+
 def small_samples(xtab: DataFrame, x: str | None, y: str | None = None,
                   facet: str | None = None, n: int = 30) -> DataFrame:
     """Groups with fewer than ``n`` observations."""
     if x is None or y is None or x == y:
         return xtab.where(F.col("obs") < n)
-    keys = [x] if facet is None else [x, facet]
+    keys = sample_keys(x, y, facet)
     return xtab.groupBy(*keys).agg(F.sum("obs").alias("obs")).where(F.col("obs") < n)
 
 
@@ -72,8 +78,3 @@ def frequency(df: DataFrame, col: str) -> DataFrame:
     """Frequency table of non-null values, ascending by count."""
     return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n")) \
         .orderBy("n")
-
-
-def total(df: DataFrame, col: str = "N", out: str = "total") -> DataFrame:
-    """One-row total of a result (A10)."""
-    return df.agg(F.sum(col).alias(out))

@@ -9,21 +9,30 @@ a third of the points is pre-aggregated in every task before the shuffle.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odflow.operators.filters import has_point
 
-# The five point roles of a survey record and their coordinate columns.
-ROLES = {
-    "home": ("HOME_OR_HOTEL_ADDR_LON", "HOME_OR_HOTEL_ADDR_LAT"),
-    "origin": ("ORIGIN_LON", "ORIGIN_LAT"),
-    "destination": ("DESTINATION_LON", "DESTINATION_LAT"),
-    "boarding": ("BOARDING_LON", "BOARDING_LAT"),
-    "alighting": ("ALIGHTING_LON", "ALIGHTING_LAT"),
-}
+def by_role(trips: DataFrame, roles: Mapping[str, tuple[str, str]], keep: Sequence[str] = (),
+            pick: Sequence[str] | None = None) -> DataFrame:
+    """One row per trip and point role (home, origin, boarding, ...): ``keep, role, lon, lat``.
+
+    ``roles`` maps a role to its (lon, lat) columns; ``pick`` limits the roles.  All roles are
+    read in one pass.
+    """
+    each = [F.struct(F.lit(r).alias("role"), F.col(lo).alias("lon"), F.col(la).alias("lat"))
+            for r, (lo, la) in roles.items() if pick is None or r in pick]
+    return trips.select(*keep, F.inline(F.array(*each)))
+
+
+def point_listing(trips: DataFrame, lon: str, lat: str, keep: Sequence[str], routes: Sequence | None = None,
+                  route_col: str = "route") -> DataFrame:
+    """The points themselves, unclustered, with attributes for their popups."""
+    t = trips if routes is None or "All" in routes else trips.where(F.col(route_col).isin(list(routes)))
+    return has_point(t, lon, lat).select(*keep, F.col(lon).alias("lon"), F.col(lat).alias("lat"))
 
 
 def _cells(trips, lon, lat, routes, route_col, cell):
@@ -36,9 +45,9 @@ def _cells(trips, lon, lat, routes, route_col, cell):
 
 
 def point_density(trips: DataFrame, lon: str, lat: str, routes: Sequence | None = None,
-                  cell: float = 0.01, route_col: str = "route") -> DataFrame:
-    """Count of points per grid cell (A13): ``gx, gy, n``."""
-    return _cells(trips, lon, lat, routes, route_col, cell).groupBy("gx", "gy") \
+                  cell: float = 0.01, route_col: str = "route", by: Sequence[str] = ()) -> DataFrame:
+    """Count of points per grid cell (A13): ``gx, gy, n``, for each value of ``by`` if given."""
+    return _cells(trips, lon, lat, routes, route_col, cell).groupBy(*by, "gx", "gy") \
         .agg(F.count(F.lit(1)).alias("n"))
 
 

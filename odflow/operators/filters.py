@@ -3,39 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odflow.operators._broadcast import bounded_broadcast
 from odflow.operators.codebook import level_ord
 
-# IN-lists longer than this become a broadcast semi join (F3) instead of an InSet predicate.
-LONG_LIST = 1000
-
 
 def filter_in(df: DataFrame, filters: Mapping[str, Sequence | None] | None) -> DataFrame:
     """Conjunction of optional IN-lists; ``None`` means no filter, an empty list keeps nothing.
 
-    Short lists become ``IN`` predicates that reach the parquet scan as pushed filters.
+    A list of any length becomes an ``IN`` predicate (a hashed set beyond ten values), which
+    reaches the parquet scan as a pushed filter (F3).
     """
     for col, vals in (filters or {}).items():
         if vals is None:
             continue
-        vals = list(vals)
-        if len(vals) > LONG_LIST:
-            spark = df.sparkSession
-            keys = spark.createDataFrame([(v,) for v in vals], [col]).distinct()
-            df = df.join(bounded_broadcast(keys, known_rows=len(vals)), col, "left_semi")
-        else:
-            df = df.where(F.col(col).isin(vals))
+        df = df.where(F.col(col).isin(list(vals)))
     return df
 
 
 def has_point(df: DataFrame, lon: str, lat: str) -> DataFrame:
-    """Rows with both coordinates present."""
-    return df.where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    """Rows with both coordinates present (F4); a coordinate that is not a number is missing."""
+    return df.where(present(lon) & present(lat))
+
+
+def present(col: str | Column) -> Column:
+    """Whether a coordinate is there: neither NULL nor NaN."""
+    c = F.col(col) if isinstance(col, str) else col
+    return c.isNotNull() & ~F.isnan(c)
 
 
 def complete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -86,17 +82,12 @@ def options(df: DataFrame, var: str, prior_filters: Mapping[str, Sequence | None
             levels: Sequence[str] | None = None) -> DataFrame:
     """Cascading choices (F12): distinct non-null values of ``var`` under earlier choices.
 
-    With ``levels`` returns ``(value, ord)`` with the domain ordinal (out-of-domain values
-    are not choices); without a codebook returns ``value`` sorted by value (a distributed
+    With ``levels`` returns ``(value, ord)`` in domain order (out-of-domain values are not
+    choices); without a codebook returns ``value`` sorted by value (a distributed
     range-partitioned sort, no global numbering).
     """
     d = filter_in(df, prior_filters).where(F.col(var).isNotNull()) \
         .select(F.col(var).alias("value")).distinct()
     if levels is not None:
-        return d.withColumn("ord", level_ord("value", levels)).where(F.col("ord").isNotNull())
+        return d.withColumn("ord", level_ord("value", levels)).where(F.col("ord").isNotNull()).orderBy("ord")
     return d.orderBy("value")
-
-
-def all_of(*conds):
-    """AND of column predicates, ``True`` when empty."""
-    return reduce(lambda a, b: a & b, conds, F.lit(True))

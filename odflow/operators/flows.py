@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from odflow.functions.geo import great_circle_params, great_circle_point, great_circle_vertices
 from odflow.functions.text import flow_label
 from odflow.functions.weights import na_sum, weight_col
-from odflow.operators._broadcast import bounded_broadcast, materialize, one_row
+from odflow.operators._broadcast import materialize, one_row
 from odflow.operators.filters import complete, filter_in
-from odflow.operators.quantile import ONE_TASK_LIMIT, exact_quantile
+from odflow.operators.quantile import exact_quantiles
 
 OD_PAIRS = (("orig", "dest"), ("orig_lat", "dest_lat"), ("orig_lon", "dest_lon"))
 FLOW_KEYS = ["orig", "orig_lat", "orig_lon", "dest", "dest_lat", "dest_lon"]
@@ -66,21 +66,13 @@ def cap_at_quantile(df: DataFrame, col: str = "N", p: float = 0.95, out: str = "
                     by: Sequence[str] | None = None) -> DataFrame:
     """Cap a value at its p-quantile over the whole result, or per ``by`` group.
 
-    The quantile is R's default (linear interpolation), Spark's exact ``percentile``.  It is
-    taken over an aggregated result (one row per zone pair or zone), never over raw trips;
-    the global case is a one-row aggregate joined by broadcast, not a single-partition window.
-    Above ``ONE_TASK_LIMIT`` rows the order statistics are found by distributed ranks
-    (:func:`odflow.operators.quantile.exact_quantile`) instead of merging in one task.
+    The quantile is R's default (linear interpolation) over an aggregated result (one row per
+    zone pair or zone), by distributed ranks of its distinct values
+    (:func:`odflow.operators.quantile.exact_quantiles`).  ``df`` is read twice, so callers
+    pass a written table.
     """
-    if by:
-        q = df.groupBy(*by).agg(F.percentile(col, p).alias("_q"))
-        joined = df.join(bounded_broadcast(q), list(by), "inner")
-    elif df.limit(ONE_TASK_LIMIT + 1).count() > ONE_TASK_LIMIT:
-        # Too many rows for one task to merge: order statistics by ranks (distributed).
-        joined = df.withColumn("_q", F.lit(exact_quantile(df, col, p)).cast("double"))
-    else:
-        q = df.agg(F.percentile(col, p).alias("_q"))
-        joined = df.crossJoin(one_row(q))
+    q = exact_quantiles(df, col, p, by or (), out="_q")
+    joined = df.join(q, list(by), "inner") if by else df.crossJoin(one_row(q))
     c = F.col(col)
     return joined.withColumn(out, F.when(c >= F.col("_q"), F.col("_q")).otherwise(c)).drop("_q")
 
@@ -130,29 +122,34 @@ def od_flows(zone_trips: DataFrame, direction: str = "orig",
 
 
 def od_heat(flows: DataFrame, p: float = 0.95) -> DataFrame:
-    """Destination roll-up of flows for a heat map, capped again, with intensity."""
-    h = flows.groupBy("dest").agg(F.sum("N").alias("N"))
-    return intensity(cap_at_quantile(h, "N", p, "colN"), "colN")
+    """Destination roll-up of flows for a heat map, capped again, with intensity.
+
+    The roll-up and the capped rows are written, so each is evaluated once.
+    """
+    h = materialize(flows.groupBy("dest").agg(F.sum("N").alias("N")))
+    return intensity(materialize(cap_at_quantile(h, "N", p, "colN")), "colN")
 
 
 def zone_layer(layer: DataFrame, agg: DataFrame, key: str = "dest") -> DataFrame:
     """Polygons joined with their aggregate; zones without a value are not kept."""
     a = agg.withColumnRenamed(key, "zone_id") if key != "zone_id" else agg
-    return layer.drop("edges").join(a, "zone_id", "inner")
+    return layer.drop("edges", "parts").join(a, "zone_id", "inner")
 
 
-def flow_lines(flows: DataFrame, n: int = 50, explode: bool = False) -> DataFrame:
+def flow_lines(flows: DataFrame, n: int = 50, explode: bool = False, orig: str | None = "orig",
+               dest: str = "dest") -> DataFrame:
     """Great-circle lines for a flow table.
 
-    Adds ``counts`` (rounded N), ``label`` ("A to B: n"), ``line_weight`` (log2(counts)+1)
-    and ``vertices`` (n intermediate points plus both ends).  ``explode=True`` returns one
-    row per vertex instead of the array column.
+    Adds ``counts`` (N rounded, halves to even), ``label`` ("A to B: n", or "To B: n" for
+    flows of a box, which have no ``orig``), ``line_weight`` (log2(counts) + 1; minus infinity
+    for a count of 0, as log2 of 0 is) and ``vertices`` (n intermediate points plus both ends).
+    ``explode=True`` returns one row per vertex instead of the array column.
     """
-    counts = F.round(F.col("N"), 0)
+    counts = F.bround(F.col("N"), 0)
     out = flows.withColumns({
         "counts": counts,
-        "label": flow_label("orig", "dest", "N"),
-        "line_weight": F.log2(counts) + 1,
+        "label": flow_label(orig, dest, "N"),
+        "line_weight": F.when(counts > 0, F.log2(counts) + 1).when(counts == 0, F.lit(float("-inf"))),
         "_gc": great_circle_params("orig_lon", "orig_lat", "dest_lon", "dest_lat"),
     })
     if not explode:

@@ -2,7 +2,7 @@
 
 Canonical layer schema, one row per polygon::
 
-    zone_id, edges array<struct<x1,y1,x2,y2>>, minx, maxx, miny, maxy, cx, cy
+    zone_id, edges array<struct<x1,y1,x2,y2>>, minx, maxx, miny, maxy, cx, cy, attributes...
 
 ``(cx, cy)`` is the point used for the zone in flows (an internal point when the source has
 one, else the Mercator centroid).  Building a layer groups vertices by polygon; a polygon's
@@ -11,6 +11,8 @@ vertex list is bounded by its own geometry, never by the fact data.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def _edges_from_ring(ring):
         ring[(i + 1) % n]["x"].alias("x2"), ring[(i + 1) % n]["y"].alias("y2")))
 
 
-def _finish(g: DataFrame, cx: str | None, cy: str | None) -> DataFrame:
+def _finish(g: DataFrame, cx: str | None, cy: str | None, attrs: Sequence[str] = ()) -> DataFrame:
     bbox = g.withColumns({
         "minx": F.array_min(F.transform("edges", lambda e: F.least(e["x1"], e["x2"]))),
         "maxx": F.array_max(F.transform("edges", lambda e: F.greatest(e["x1"], e["x2"]))),
@@ -34,23 +36,42 @@ def _finish(g: DataFrame, cx: str | None, cy: str | None) -> DataFrame:
     if cx is None or cy is None:
         c = ring_centroid_mercator("edges")
         bbox = bbox.withColumns({"cx": c["lon"], "cy": c["lat"]})
-    return bbox.select("zone_id", "edges", "minx", "maxx", "miny", "maxy", "cx", "cy")
+    return bbox.select("zone_id", "edges", "minx", "maxx", "miny", "maxy", "cx", "cy", *attrs)
 
 
 def layer_from_vertices(vertices: DataFrame, zone: str = "zone_id", seq: str = "seq",
                         x: str = "x", y: str = "y", cx: str | None = None,
-                        cy: str | None = None) -> DataFrame:
-    """Layer from an ordered vertex table; a closing vertex equal to the first is dropped."""
-    aggs = [F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(x).alias("x"),
-                                                 F.col(y).alias("y")))).alias("_v")]
+                        cy: str | None = None, part: str | None = None, hole: str | None = None,
+                        attrs: Sequence[str] = ()) -> DataFrame:
+    """Layer from an ordered vertex table; a closing vertex equal to a ring's first is dropped.
+
+    ``part`` numbers the rings of a polygon and ``hole`` (boolean) tells which cut a piece
+    out.  Points are tested against the edges of all rings together (even-odd), which leaves
+    holes out; for the centroid shells are turned one way and holes the other, so that areas
+    add up with their sign.  ``attrs`` are columns of the layer, constant within a polygon;
+    ``cx``/``cy`` name an internal point, where the source has one.
+    """
+    ring_keys = [F.col(zone).alias("zone_id"), (F.col(part) if part else F.lit(0)).alias("_part")]
+    constant = [F.min(c).alias(c) for c in attrs]
     if cx is not None and cy is not None:
-        aggs += [F.min(cx).alias("cx"), F.min(cy).alias("cy")]
-    g = vertices.groupBy(F.col(zone).alias("zone_id")).agg(*aggs)
-    first, last = g["_v"][0], F.element_at("_v", -1)
+        constant += [F.min(cx).alias("cx"), F.min(cy).alias("cy")]
+    rings = vertices.groupBy(*ring_keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(x).alias("x"), F.col(y).alias("y")))).alias("_v"),
+        (F.max(hole) if hole else F.lit(False)).alias("_hole"), *constant)
+    first, last = F.col("_v")[0], F.element_at("_v", -1)
     closed = (F.size("_v") > 1) & (first["x"] == last["x"]) & (first["y"] == last["y"])
     ring = F.when(closed, F.slice("_v", 1, F.size("_v") - 1)).otherwise(F.col("_v"))
-    g = g.withColumn("edges", _edges_from_ring(ring)).drop("_v")
-    return _finish(g, cx, cy)
+    rings = rings.withColumn("_e", _edges_from_ring(ring))
+    if hole is not None:
+        area = F.aggregate("_e", F.lit(0.0), lambda a, e: a + (e["x1"] * e["y2"] - e["x2"] * e["y1"]))
+        turned = F.transform("_e", lambda e: F.struct(e["x2"].alias("x1"), e["y2"].alias("y1"),
+                                                      e["x1"].alias("x2"), e["y1"].alias("y2")))
+        rings = rings.withColumn("_e", F.when((area < 0) != F.coalesce("_hole", F.lit(False)), turned).otherwise(F.col("_e")))
+    names = [*attrs, *(["cx", "cy"] if cx is not None and cy is not None else [])]
+    g = rings.groupBy("zone_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_part", "_e"))), lambda r: r["_e"])).alias("edges"),
+        *[F.min(c).alias(c) for c in names])
+    return _finish(g, cx, cy, attrs)
 
 
 def layer_from_edges(edges: DataFrame, zone: str = "zone", seq: str = "seq",

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odflow.functions.text import first_token, to_number
-from odflow.operators._broadcast import bounded_broadcast
 
 
 def attach_weights(trips: DataFrame, weights: DataFrame, key: str = "ID") -> DataFrame:
@@ -27,14 +26,18 @@ def attach_route_type(trips: DataFrame, classes: DataFrame, route_text: str = "R
     """Route number from the route text and its class by a numeric lookup.
 
     The route is the first token of the text; its tolerant numeric cast is the key of a
-    left lookup into the (small, broadcast) class table.  Named lines listed in ``named``
+    left lookup into the class table.  Routes without a number get a key of their own by
+    hash, which no class has, so they do not meet under one NULL key.  Named lines listed in ``named``
     take their own name as class, ``renamed`` maps further routes to fixed classes; later
     rules win, as in the reference.
     """
     t = trips.withColumn(route_out, first_token(route_text)) \
-        .withColumn("_rkey", to_number(route_out))
-    c = bounded_broadcast(classes.select(F.col(class_key).cast("double").alias("_rkey"),
-                                         F.col(class_value).alias(type_out)))
+        .withColumn("_rkey", F.struct(to_number(route_out).alias("n"), F.when(
+            to_number(route_out).isNull(), F.coalesce(F.xxhash64(*trips.columns), F.lit(0))).alias("h")))
+    # Struct keys compare NULL fields as equal: a class never has a hash, a nameless route has no number.
+    c = classes.where(F.col(class_key).isNotNull()).select(
+        F.struct(F.col(class_key).cast("double").alias("n"), F.lit(None).cast("bigint").alias("h")).alias("_rkey"),
+        F.col(class_value).alias(type_out))
     t = t.join(c, "_rkey", "left").drop("_rkey")
     rt = F.col(type_out)
     if named:
@@ -48,9 +51,9 @@ def attach_centroids(df: DataFrame, points: DataFrame, orig: str = "orig", dest:
                      zone: str = "zone_id", lon: str = "cx", lat: str = "cy") -> DataFrame:
     """Zone point joined twice, as origin and as destination; unmatched rows kept.
 
-    The zone table is layer-sized and broadcast after a size check.
+    The zone table is layer-sized; the planner broadcasts it where its size allows.
     """
-    p = bounded_broadcast(points.select(zone, lon, lat))
+    p = points.select(zone, lon, lat)
     po = p.select(F.col(zone).alias("_oz"), F.col(lon).alias("orig_lon"),
                   F.col(lat).alias("orig_lat"))
     pd = p.select(F.col(zone).alias("_dz"), F.col(lon).alias("dest_lon"),

@@ -2,186 +2,187 @@
 
 Spark has no containment join, so the layer is indexed on a regular grid:
 
-1. every polygon is copied to the grid cells its bounding box covers, and the candidates of
-   one cell are gathered into one array sorted by zone id (a small, layer-sized table);
+1. every polygon is laid over square cells by halving twice per level, from four times the
+   median polygon extent down to a sixteenth of it; a cell keeps only the edges that matter
+   for its points, and only cells that an edge touches are divided further;
 2. each point computes its cell as ``floor(lon * (1 / cell))``, ``floor(lat * (1 / cell))``,
-   the same expression that lays out the index;
-3. an equi-join on the cell pair attaches the candidate array - a broadcast hash join when
-   the layer is small enough, so the point side is never shuffled and a hot cell holding a
-   third of all points costs nothing extra;
-4. a higher-order ``filter`` keeps candidates whose box and ring contain the point
-   (boundary points count as inside); cells wholly inside a polygon skip the test, and
-   elsewhere only the edges near the cell are tested (see :func:`cell_index`).
-
-With ``how="first"`` a point gets the lowest containing zone id (one row per point, no
-fan-out); with ``how="all"`` it gets one row per containing polygon (overlapping boxes).
+   the same expression that lays out the index, and an equi-join on the cell pair attaches
+   the cell's answer (points without coordinates do not enter the join's keys);
+3. cells wholly inside their lowest polygon carry the answer as a plain column; only points
+   of the others go through the ring test (boundary points count as inside), against the
+   edges near their cell.
+
+The index is written once, so the planner knows its size when it chooses the join.  With
+``how="first"`` a point gets the lowest containing zone id (one row per point, no fan-out);
+with ``how="all"`` it gets one row per containing polygon (overlapping boxes).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odflow.functions.geo import crossing_count, inside_ring, on_ring_edge, segment_touches_rect
+from odflow.functions.geo import crossing_count, on_ring_edge, segment_touches_rect
+from odflow.operators._broadcast import materialize
+from odflow.operators.filters import present
 
-# Upper bound on polygon-edge copies (edges x covered cells) shipped to every executor.
-BROADCAST_EDGE_LIMIT = 5_000_000
+# The median polygon extent covers so many cells; the coarsest level is LEVELS divisions up.
+PER_EXTENT, LEVELS = 16, 3
 
 
-def layer_plan(layer: DataFrame, per_extent: int = 4) -> tuple[float, bool]:
-    """Grid cell size and whether the grid index may be broadcast, from one small job.
-
-    The cell is a quarter of the median polygon extent: most cells then lie wholly inside
-    or outside a polygon and need no ring test, while a polygon covers a few dozen cells.
-    The broadcast decision uses an upper bound on the polygon-edge copies in the index,
-    ``sum(n * (w/c + 2) * (h/c + 2))`` over polygons with n edges and a w x h box, expanded
-    into three sums so that it is known before the cell size is.
-    """
-    n = F.size("edges").cast("double")
-    w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
-    r = layer.agg(F.percentile_approx(F.greatest(w, h), 0.5).alias("ext"),
-                  F.sum(n * w * h).alias("s2"), F.sum(n * (w + h)).alias("s1"),
-                  F.sum(n).alias("s0")).first()
-    cell = float(r["ext"]) / per_extent if r["ext"] is not None and r["ext"] > 0 else 1.0
-    bound = ((r["s2"] or 0) / (cell * cell) + 2 * (r["s1"] or 0) / cell + 4 * (r["s0"] or 0))
-    return cell, bound <= BROADCAST_EDGE_LIMIT
-
-
-def layer_plan_for(layer: DataFrame, cell: float) -> bool:
-    """Broadcast decision of :func:`layer_plan` for a given cell size."""
-    n = F.size("edges").cast("double")
+def cell_size(layer: DataFrame, per_extent: int = PER_EXTENT) -> float:
+    """Grid cell size for a layer, from one small job over its polygons' extents."""
     w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
-    bound = layer.agg(F.sum(n * (w / cell + 2) * (h / cell + 2))).first()[0] or 0
-    return bound <= BROADCAST_EDGE_LIMIT
-
+    ext = layer.agg(F.percentile_approx(F.greatest(w, h), 0.5)).first()[0]
+    return float(ext) / per_extent if ext else 1.0
 
-def default_cell_size(layer: DataFrame, per_extent: int = 4) -> float:
-    """Grid cell size of :func:`layer_plan`."""
-    return layer_plan(layer, per_extent)[0]
 
+def _divided(cells: DataFrame, cell: float, size: int) -> DataFrame:
+    """Cells of ``size`` fine cells a side, classified: ``full``, or still touched by edges.
 
-def cell_index(layer: DataFrame, cell: float, carry: Mapping[str, str] | None = None
-               ) -> DataFrame:
-    """``(gx, gy, cands)``: per grid cell, the polygons that reach into it.
-
-    Each (cell, polygon) pair is prepared once, on the small layer side:
-
-    * no polygon edge touches the cell: the cell is wholly inside the polygon (``full``:
-      points there need no test) or wholly outside (the polygon is not a candidate);
-    * otherwise only the edges that can matter for a point of the cell are kept.  In the
-      even-odd ray test (ray towards +x) an edge counts only when its y-range holds the
-      point's y, so edges outside the cell's horizontal strip are dropped; of the strip's
-      edges, those wholly left of the cell never count and those wholly right of it that
-      span the whole strip always count once - they are folded into ``par``.  The kept
-      edges go through exactly the same arithmetic as a test against the whole ring, so
-      the result is identical, at a cost set by the edges near the cell instead of the
-      polygon's vertex count.
+    In the even-odd ray test (ray towards +x) an edge counts only when its y-range holds the
+    point's y.  Of a cell's edges those outside its horizontal strip and those wholly left of
+    it never count; those wholly right of it that span the strip always count once and are
+    folded into ``par``.  The kept edges go through the same arithmetic as a test of the whole
+    ring.  Cells that no edge touches lie inside or outside as their centre does.
     """
-    carry = dict(carry or {})
-    inv = 1.0 / cell
-    cells = (layer
-             .withColumn("gx", F.explode(F.sequence(F.floor(F.col("minx") * inv),
-                                                    F.floor(F.col("maxx") * inv))))
-             .withColumn("gy", F.explode(F.sequence(F.floor(F.col("miny") * inv),
-                                                    F.floor(F.col("maxy") * inv)))))
-    # The rectangle is widened by a hair so that floating rounding of a point's cell can
-    # never move a point out of the rectangle its cell was prepared for.
+    side = cell * size
+    # Widened by a hair: rounding of a point's cell never moves it out of the rectangle.
     eps = cell * 1e-7
-    x0 = F.col("gx") * F.lit(cell) - eps
-    x1 = (F.col("gx") + 1) * F.lit(cell) + eps
-    y0 = F.col("gy") * F.lit(cell) - eps
-    y1 = (F.col("gy") + 1) * F.lit(cell) + eps
+    x0, x1 = F.col("_gx") * F.lit(side) - eps, (F.col("_gx") + 1) * F.lit(side) + eps
+    y0, y1 = F.col("_gy") * F.lit(side) - eps, (F.col("_gy") + 1) * F.lit(side) + eps
 
-    def ylo(e):
+    def low(e):
         return F.least(e["y1"], e["y2"])
 
-    def yhi(e):
+    def high(e):
         return F.greatest(e["y1"], e["y2"])
 
     def spans_right(e):
-        return (F.least(e["x1"], e["x2"]) > x1) & (ylo(e) < y0) & (yhi(e) > y1)
+        return (F.least(e["x1"], e["x2"]) > x1) & (low(e) < y0) & (high(e) > y1)
 
-    touch = F.exists("edges", lambda e: segment_touches_rect(e, x0, x1, y0, y1))
-    center_in = inside_ring("edges", (F.col("gx") + 0.5) * F.lit(cell),
-                            (F.col("gy") + 0.5) * F.lit(cell))
-    kept = F.filter("edges", lambda e: (yhi(e) >= y0) & (ylo(e) <= y1)
+    kept = F.filter("_edges", lambda e: (high(e) >= y0) & (low(e) <= y1)
                     & (F.greatest(e["x1"], e["x2"]) >= x0) & ~spans_right(e))
-    par = F.size(F.filter("edges", spans_right)) % 2
-    cells = cells.withColumns({"_touch": touch, "_cin": center_in}) \
-        .where(F.col("_touch") | F.col("_cin"))
-    full = ~F.col("_touch")
-    no_edges = F.array().cast(layer.schema["edges"].dataType)
+    par = (F.col("_par") + F.size(F.filter("_edges", spans_right))) % 2
+    rest = [c for c in cells.columns if c not in ("_edges", "_par")]
+    # The generator keeps the optimizer from inlining the filters into every later use.
+    cells = cells.select(*rest, F.inline(F.array(F.struct(kept.alias("_edges"), par.alias("_par")))))
+    touch = F.exists("_edges", lambda e: segment_touches_rect(e, x0, x1, y0, y1))
+    centre = (crossing_count("_edges", (F.col("_gx") + 0.5) * F.lit(side), (F.col("_gy") + 0.5) * F.lit(side))
+              + F.col("_par")) % 2 == 1
+    cells = cells.select("*", F.explode(F.array(F.when(touch, F.lit(1)).when(centre, F.lit(2)).otherwise(F.lit(0))))
+                         .alias("_kind"))
+    return cells.where(F.col("_kind") > 0)
+
+
+def _children(cells: DataFrame, parts: int) -> DataFrame:
+    """Each cell replaced by ``parts`` x ``parts`` smaller ones."""
+    steps = F.sequence(F.lit(0), F.lit(parts - 1))
+    cells = cells.select("*", F.explode(steps).alias("_i")).select("*", F.explode(steps).alias("_j"))
+    return cells.withColumns({"_gx": F.col("_gx") * parts + F.col("_i"),
+                              "_gy": F.col("_gy") * parts + F.col("_j")}).drop("_i", "_j")
+
+
+def cell_index(layer: DataFrame, cell: float, carry: Mapping[str, str] | None = None) -> DataFrame:
+    """``(_gx, _gy, _sure, _cands)``: per fine grid cell, the polygons that reach into it.
+
+    ``_cands`` lists them by zone id, ``_sure`` is the lowest one's answer if the cell lies
+    wholly inside it.  Polygons' work is spread by cells between the levels.
+    """
+    carry = dict(carry or {})
+    size = 4 ** LEVELS
+    inv = 1.0 / (cell * size)
+
+    def span(lo, hi):
+        return F.explode(F.sequence(F.floor(F.col(lo) * inv), F.floor(F.col(hi) * inv)))
+
+    cells = layer.select("zone_id", *carry, "minx", "maxx", "miny", "maxy", F.col("edges").alias("_edges"),
+                         F.lit(0).alias("_par"), span("minx", "maxx").alias("_gx")) \
+        .select("*", span("miny", "maxy").alias("_gy")).repartition("_gx", "_gy", "zone_id")
+    cells = _divided(cells, cell, size)
+    done = []
+    while size > 1:
+        # Whole cells keep no edges; they are only spread out to their fine cells.
+        done.append(_children(cells.where("_kind = 2").drop("_kind", "_edges"), size).withColumn("_full", F.lit(True)))
+        size //= 4
+        cells = _divided(_children(cells.where("_kind = 1").drop("_kind"), 4).repartition("_gx", "_gy", "zone_id"),
+                         cell, size)
+    fine = cells.withColumn("_full", F.col("_kind") == 2).drop("_kind")
+    empty = F.array().cast(layer.schema["edges"].dataType)
+    for d in done:
+        fine = fine.unionByName(d.withColumn("_edges", empty).select(*fine.columns))
     # ``o`` is the row a hit contributes, ready-made so no per-point transform is needed.
-    o = F.struct(F.col("zone_id").alias("_hit_zone"),
-                 *[F.col(c).alias(f"_hit_{c}") for c in carry])
-    fields = [F.col("zone_id"), full.alias("full"), F.col("minx"), F.col("maxx"),
-              F.col("miny"), F.col("maxy"),
-              F.when(full, F.lit(0)).otherwise(par).alias("par"),
-              F.when(full, no_edges).otherwise(kept).alias("edges"), o.alias("o")]
-    return cells.groupBy("gx", "gy").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("cands"))
+    o = F.struct(F.col("zone_id").alias("_hit_zone"), *[F.col(c).alias(f"_hit_{c}") for c in carry])
+    fields = F.struct(F.col("zone_id"), F.col("_full").alias("full"), F.col("minx"), F.col("maxx"), F.col("miny"),
+                      F.col("maxy"), F.col("_par").alias("par"), F.col("_edges").alias("edges"), o.alias("o"))
+    cands = fine.groupBy("_gx", "_gy").agg(F.array_sort(F.collect_list(fields)).alias("_cands"))
+    lowest = F.col("_cands")[0]
+    return cands.select("_gx", "_gy", F.when(lowest["full"], lowest["o"]).alias("_sure"), "_cands")
 
 
 def locate(points: DataFrame, layer: DataFrame, lon: str, lat: str, out: str = "zone_id",
            carry: Mapping[str, str] | None = None, how: str = "first",
            keep_unmatched: bool = False, cell: float | None = None,
-           broadcast: bool | None = None, index: DataFrame | None = None) -> DataFrame:
+           index: DataFrame | None = None) -> DataFrame:
     """Attach the polygon containing each point.
 
     ``carry`` maps layer columns to output names (e.g. ``{"cx": "orig_lon"}``) so zone
-    attributes ride along without a second join.  Unmatched points (outside every polygon
-    or without coordinates) are dropped unless ``keep_unmatched``.  ``cell`` and
-    ``broadcast`` default to :func:`layer_plan`; a caller locating several point sets in
-    one layer computes the plan once and passes it, and may pass a prebuilt ``index``
+    attributes ride along without a second join.  Unmatched points (outside every polygon,
+    or a coordinate NULL or not a number) are dropped unless ``keep_unmatched``.  A caller
+    locating several point sets in one layer passes ``cell`` and a prebuilt ``index``
     (:func:`cell_index` of the same layer and cell, carrying the ``carry`` columns).
     """
     if how not in ("first", "all"):
         raise ValueError("how must be 'first' or 'all'")
     carry = dict(carry or {})
-    if cell is None or broadcast is None:
-        planned_cell, planned_bc = layer_plan(layer)
-        cell = planned_cell if cell is None else cell
-        if broadcast is None:
-            broadcast = planned_bc if cell == planned_cell else layer_plan_for(layer, cell)
+    if cell is None:
+        cell = cell_size(layer)
     inv = 1.0 / cell
     if index is None:
-        index = cell_index(layer, cell, carry)
-    if broadcast:
-        index = F.broadcast(index)
+        index = materialize(cell_index(layer, cell, carry))
     px, py = F.col(lon), F.col(lat)
-    tagged = points.withColumns({"gx": F.floor(px * inv), "gy": F.floor(py * inv)})
-    joined = tagged.join(index, ["gx", "gy"], "left")
+    there = present(lon) & present(lat)
+    gx, gy = F.floor(px * inv), F.floor(py * inv)
+    if keep_unmatched:
+        # Points without coordinates get keys that no cell has, spread so that they do not
+        # meet in one partition.
+        gx = F.when(there, gx).otherwise(F.lit(-(1 << 60)) - F.pmod(F.xxhash64(*points.columns), F.lit(4096)))
+        gy = F.when(there, gy).otherwise(F.lit(0))
+        tagged = points.withColumns({"_gx": gx, "_gy": gy})
+    else:
+        tagged = points.where(there).withColumns({"_gx": gx, "_gy": gy})
+    joined = tagged.join(index, ["_gx", "_gy"], "left" if keep_unmatched else "inner")
     # A point in a "full" cell of a polygon is inside it; elsewhere the bounding box and
     # then the exact ring test decide.
-    hits = F.filter("cands", lambda z: z["full"] | (
+    hits = F.filter("_cands", lambda z: z["full"] | (
         px.between(z["minx"], z["maxx"]) & py.between(z["miny"], z["maxy"])
         & (((crossing_count(z["edges"], px, py) + z["par"]) % 2 == 1)
            | on_ring_edge(z["edges"], px, py))))
     if how == "first":
-        hits = F.slice(hits, 1, 1)  # candidates are sorted by zone id: lowest id wins
-    picked = hits["o"]  # field of every element: generated code, no lambda
+        # Candidates are sorted by zone id: the lowest wins, and a whole cell's needs no test.
+        tested = F.slice(hits, 1, 1)["o"]
+        picked = F.when(F.col("_sure").isNotNull(), F.array("_sure")).otherwise(tested)
+    else:
+        picked = hits["o"]
     # One generator evaluates the (interpreted) ring test once per point; a projection of
     # struct fields would let the optimizer inline it into every field and the filter.
     gen = F.inline_outer(picked) if keep_unmatched else F.inline(picked)
-    keep = [c for c in joined.columns if c not in ("gx", "gy", "cands")]
     names = {"_hit_zone": out, **{f"_hit_{c}": o for c, o in carry.items()}}
-    return joined.select(*keep, gen).withColumnsRenamed(names)
+    return joined.select(*points.columns, gen).withColumnsRenamed(names)
 
 
-def occupied_zones(layer: DataFrame, points: list[tuple[DataFrame, str, str]],
+def occupied_zones(layer: DataFrame, points: DataFrame, ends: Sequence[tuple[str, str]],
                    cell: float | None = None) -> DataFrame:
     """Polygons that contain at least one of the given points (J9 with U6).
 
-    ``points`` lists ``(df, lon, lat)`` point sets (e.g. trip origins and destinations);
-    they are unioned, located, reduced to distinct zone ids and semi-joined to the layer.
+    ``ends`` names the (lon, lat) column pairs of ``points``, e.g. trip origins and
+    destinations; each row gives one point per pair, in one pass over the table.
     """
-    sets = [df.select(F.col(lo).alias("lon"), F.col(la).alias("lat")) for df, lo, la in points]
-    allp = sets[0]
-    for s in sets[1:]:
-        allp = allp.unionByName(s)
-    located = locate(allp, layer, "lon", "lat", cell=cell).select("zone_id").distinct()
+    pairs = F.array(*[F.struct(F.col(lo).alias("_lon"), F.col(la).alias("_lat")) for lo, la in ends])
+    each = points.select(F.inline(pairs))
+    located = locate(each, layer, "_lon", "_lat", out="_zone", cell=cell).select(F.col("_zone").alias("zone_id")).distinct()
     return layer.join(located, "zone_id", "left_semi")
 
 

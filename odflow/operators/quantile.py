@@ -1,87 +1,71 @@
-"""Exact quantiles without gathering a whole column into one task.
+"""Exact quantiles and global ranks without gathering a column, or its ties, in one task.
 
-Spark's exact ``percentile`` merges every distinct value of a global aggregate in a single
-task.  Above a size limit the order statistics are found instead by ranks: the values are
-range-partitioned (and written once, so the partitioning is stable), the rows per
-partition are counted (one small row per partition), and only the partitions holding the
-two needed ranks are ranked - each one a single partition, sized for one task.
+Values are first grouped with their counts, so ties of any size are one row.  The distinct
+values are range-partitioned and written once; rows per partition (one small row each) give
+every partition its offset, and ranks are counted inside partitions.  The same steps serve
+every size.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odflow.operators._broadcast import materialize
 
-# Up to this many rows the one-row ``percentile`` aggregate is used directly.
-ONE_TASK_LIMIT = 5_000_000
 
+def _with_offsets(ranged: DataFrame, by: Sequence[str], n: str) -> DataFrame:
+    """``ranged`` with ``_before``, the rows of its group in earlier partitions, and ``_all``."""
+    parts = ranged.groupBy(*by, "_pid").agg(F.sum(n).alias("_rows"))
+    # One row per partition and group that reaches into it.
+    w = Window.partitionBy(*by, F.lit(0)).orderBy("_pid")
+    offsets = parts.select(
+        *[F.col(c).alias(f"_k_{c}") for c in by], F.col("_pid").alias("_p"),
+        F.coalesce(F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(Window.partitionBy(*by, F.lit(0))).alias("_all"))
+    on = F.col("_pid") == F.col("_p")
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return ranged.join(offsets, on).drop("_p", *[f"_k_{c}" for c in by])
 
-def _interpolate(p: float, n: int, lower: float, higher: float) -> float:
-    # Same formula as Spark's percentile: position = (n - 1) * p, linear between neighbours.
-    pos = (n - 1) * p
-    lo, hi = math.floor(pos), math.ceil(pos)
-    if lo == hi:
-        return lower
-    return (hi - pos) * lower + (pos - lo) * higher
 
+def exact_quantiles(df: DataFrame, col: str, p: float, by: Sequence[str] = (), out: str = "q") -> DataFrame:
+    """``(by..., q)``: the p-quantile of ``col`` per group (R type 7, linear interpolation).
 
-def exact_quantile(df: DataFrame, col: str, p: float, partitions: int | None = None
-                   ) -> float | None:
-    """The p-quantile of ``col`` (R type 7, linear interpolation), NULLs ignored."""
-    v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    spark = v.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(v.repartitionByRange(parts, "v")
-                         .withColumn("pid", F.spark_partition_id()))
-    sizes = sorted((r["pid"], r["n"]) for r in
-                   ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    n = sum(c for _, c in sizes)
-    if n == 0:
-        return None
-    pos = (n - 1) * p
-    want = sorted({math.floor(pos), math.ceil(pos)})
-    found = {}
-    start = 0
-    for pid, c in sizes:
-        inside = [r for r in want if start <= r < start + c]
-        if inside:
-            ranked = ranked_partition(ranged, pid)
-            rows = ranked.where(F.col("rk").isin([r - start + 1 for r in inside])).collect()
-            for row in rows:
-                found[row["rk"] - 1 + start] = row["v"]
-        start += c
-    lower = found[want[0]]
-    higher = found[want[-1]]
-    return _interpolate(p, n, lower, higher)
+    NULLs are ignored; a group without values has no row (without ``by``: one row, NULL).
+    """
+    by = list(by)
+    values = (df.select(*by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+              .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    ranged = materialize(values.repartitionByRange(*by, "_v").withColumn("_pid", F.spark_partition_id()))
+    # Ranks count from 0; a value covers the ranks from _upto - _n to _upto - 1.
+    ranked = _with_offsets(ranged, by, "_n").withColumn("_upto", F.col("_before") + F.sum("_n").over(
+        Window.partitionBy(*by, "_pid").orderBy("_v")))
+    pos = (F.col("_all") - 1) * F.lit(float(p))
+    lo, hi = F.floor(pos), F.ceil(pos)
+    found = ranked.groupBy(*by).agg(
+        F.min(F.when(F.col("_upto") > lo, F.col("_v"))).alias("_lo"),
+        F.min(F.when(F.col("_upto") > hi, F.col("_v"))).alias("_hi"), F.max("_all").alias("_all"))
+    q = F.when(lo == hi, F.col("_lo")).otherwise((hi - pos) * F.col("_lo") + (pos - lo) * F.col("_hi"))
+    return found.select(*by, q.alias(out))
 
 
-def ranked_partition(ranged: DataFrame, pid: int) -> DataFrame:
-    """Rows of one range partition with their rank ``rk`` (1-based) by value."""
-    part = ranged.where(F.col("pid") == pid)
-    return part.withColumn("rk", F.row_number().over(Window.partitionBy("pid").orderBy("v")))
+def exact_quantile(df: DataFrame, col: str, p: float) -> float | None:
+    """The p-quantile of a whole column as a number."""
+    return exact_quantiles(df, col, p).first()[0]
 
 
-def global_rank(df: DataFrame, order: list[str], out: str = "rank",
-                partitions: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame:
     """1-based position of every row in ``order`` (ties broken by the remaining columns).
 
-    Distributed: a range partition by ``order`` (written once, so it is stable), per-
-    partition row counts turned into offsets (one small row per partition, broadcast),
-    and a ``row_number`` inside each partition.  No window over the whole table.
+    Rows are range-partitioned by all columns, so rows that share the order columns are
+    spread as well; each partition is numbered by itself, after the rows before it.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(df.repartitionByRange(parts, *order)
-                         .withColumn("_pid", F.spark_partition_id()))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
-    tie = [c for c in df.columns if c not in order]
-    w = Window.partitionBy("_pid").orderBy(*order, *tie)
-    return ranged.join(F.broadcast(offsets), "_pid") \
-        .withColumn(out, F.row_number().over(w) + F.col("_off")).drop("_pid", "_off")
+    columns = [*order, *[c for c in df.columns if c not in order]]
+    ranged = materialize(df.repartitionByRange(*columns).withColumn("_pid", F.spark_partition_id()))
+    counted = _with_offsets(ranged.withColumn("_one", F.lit(1)), [], "_one")
+    w = Window.partitionBy("_pid").orderBy(*columns)
+    return counted.withColumn(out, F.row_number().over(w) + F.col("_before")) \
+        .drop("_pid", "_one", "_before", "_all")

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from odflow.operators.locate import cell_index, layer_plan, layer_plan_for, locate
+from odflow.operators._broadcast import materialize
+from odflow.operators.locate import cell_index, cell_size, locate
 
 
 def zone_trips(trips: DataFrame, layer: DataFrame, o_lon: str = "o_lon", o_lat: str = "o_lat",
@@ -17,18 +18,16 @@ def zone_trips(trips: DataFrame, layer: DataFrame, o_lon: str = "o_lon", o_lat:
     Output: ``keep`` columns plus ``orig, orig_lon, orig_lat, dest, dest_lon, dest_lat`` where
     the points are the zones' points (``cx``, ``cy`` of the layer) carried by the lookup
     itself, so no separate centroid join is needed.  Ends outside every zone keep NULLs.
-    Both lookups probe the same broadcast grid index; the trip stream is never shuffled.
+    Both lookups probe the same written grid index.
     """
     if cell is None:
-        cell, bc = layer_plan(layer)
-    else:
-        bc = layer_plan_for(layer, cell)
+        cell = cell_size(layer)
     t = trips if keep is None else trips.select(*dict.fromkeys([*keep, o_lon, o_lat, d_lon, d_lat]))
-    index = cell_index(layer, cell, {"cx": "cx", "cy": "cy"})  # one index, probed twice
+    index = materialize(cell_index(layer, cell, {"cx": "cx", "cy": "cy"}))  # probed twice
     t = locate(t, layer, o_lon, o_lat, out="orig", carry={"cx": "orig_lon", "cy": "orig_lat"},
-               keep_unmatched=True, cell=cell, broadcast=bc, index=index)
+               keep_unmatched=True, cell=cell, index=index)
     t = locate(t, layer, d_lon, d_lat, out="dest", carry={"cx": "dest_lon", "cy": "dest_lat"},
-               keep_unmatched=True, cell=cell, broadcast=bc, index=index)
+               keep_unmatched=True, cell=cell, index=index)
     if keep is not None:
         drop = [c for c in (o_lon, o_lat, d_lon, d_lat) if c not in keep]
         t = t.drop(*drop)

@@ -182,14 +182,14 @@ def q_weights_lookup(spark, sf_dir):
     return attach_weights(li, wt, "ID").withColumnRenamed("ID", "l_orderkey")
 
 
-_RT_TEXT = ("CASE WHEN l_returnflag = 'R' THEN 'RLINE ' || l_linestatus "
+_RT_TEXT = ("CASE WHEN l_returnflag = 'R' THEN 'COAST ' || l_linestatus "
             "ELSE CAST(l_suppkey AS VARCHAR) || ' ' || l_linestatus END")
 
 
 @register("route_type_lookup", f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey,
   regexp_replace({_RT_TEXT}, ' .*', '') AS route FROM lineitem)
 SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.route,
-  CASE WHEN t.route = '12' THEN 'Commuter rail' WHEN t.route IN ('RLINE') THEN t.route ELSE p.p_type END AS RouteType
+  CASE WHEN t.route = '12' THEN 'Harbour boat' WHEN t.route IN ('COAST') THEN t.route ELSE p.p_type END AS RouteType
 FROM t LEFT JOIN part p ON CAST(p.p_partkey AS DOUBLE) = TRY_CAST(t.route AS DOUBLE)""")
 def q_route_type_lookup(spark, sf_dir):
     """Route number from text, class by numeric lookup, named lines override."""
@@ -198,7 +198,7 @@ def q_route_type_lookup(spark, sf_dir):
         F.expr(_RT_TEXT.replace("VARCHAR", "STRING")).alias("ROUTE_SURVEYED"))
     classes = driver_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("Route"),
                                                          F.col("p_type").alias("RouteType"))
-    return attach_route_type(li, classes, named=["RLINE"], renamed={"12": "Commuter rail"}) \
+    return attach_route_type(li, classes, named=["COAST"], renamed={"12": "Harbour boat"}) \
         .select("l_orderkey", "l_linenumber", "l_partkey", "route", "RouteType")
 
 

@@ -37,7 +37,7 @@ SELECT zone AS zone_id, {rsql('cx')}, {rsql('cy')} FROM zc WHERE zone IN (SELECT
 def q_occupied_zones(spark, sf_dir):
     """Zones holding at least one trip end, origins and destinations together."""
     t = trips(spark, sf_dir)
-    return occupied_zones(layer(spark, sf_dir), [(t, "o_lon", "o_lat"), (t, "d_lon", "d_lat")]) \
+    return occupied_zones(layer(spark, sf_dir), t, [("o_lon", "o_lat"), ("d_lon", "d_lat")]) \
         .select("zone_id", "cx", "cy")
 
 
@@ -127,8 +127,11 @@ g AS (SELECT e.box_id, f.zone AS dest, zc.cx AS dest_lon, zc.cy AS dest_lat,
       GROUP BY e.box_id, f.zone, zc.cx, zc.cy),
 gn AS (SELECT * FROM g WHERE N IS NOT NULL)"""
     if heat:
+        # All boxes' trip ends stacked, then one sum: a missing weight removes the zone.
         return body + f""",
-h AS (SELECT dest, dest_lon, dest_lat, SUM(N) AS N FROM gn GROUP BY dest, dest_lon, dest_lat HAVING SUM(N) >= {min_n}),
+s AS (SELECT f.zone AS dest, zc.cx AS dest_lon, zc.cy AS dest_lat, COUNT(*) AS ends, COUNT(e.wt) AS weighted, SUM(e.wt) AS N
+      FROM ends e JOIN far f ON f.lon = e.flon AND f.lat = e.flat JOIN zc ON zc.zone = f.zone GROUP BY f.zone, zc.cx, zc.cy),
+h AS (SELECT dest, dest_lon, dest_lat, N FROM s WHERE ends = weighted AND N >= {min_n}),
 q AS (SELECT quantile_cont(N, 0.95) AS q FROM h)
 SELECT dest, {rsql('dest_lon')}, {rsql('dest_lat')}, {rsql('N')},
        {rsql('CASE WHEN N >= q THEN q ELSE N END', 'colN')} FROM h CROSS JOIN q"""

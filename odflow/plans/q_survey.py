@@ -231,7 +231,7 @@ k AS (SELECT *, CASE WHEN n > 1 THEN 'Multiple' WHEN n = 1 AND sel_a = 'Yes' THE
              regexp_replace(ROUTE_SURVEYED, ' .*', '') AS route FROM c)
 SELECT k.ID, k.l_linenumber, k.l_partkey, {rsql('k.l_extendedprice', 'l_extendedprice')}, {rsql('k.weight', 'weight')},
   k.category, NULLIF(k.sel_a, '') AS sel_a, k.route,
-  CASE WHEN k.route = '7' THEN 'Commuter rail' ELSE p.p_type END AS RouteType,
+  CASE WHEN k.route = '7' THEN 'Harbour boat' ELSE p.p_type END AS RouteType,
   CASE WHEN k.time_period IN {O.in_list(DOMAINS['time_period'])} THEN k.time_period END AS time_period,
   CASE k.time_period WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4 END AS time_period_ord,
   CASE WHEN k.segment IN {O.in_list(DOMAINS['segment'])} THEN k.segment END AS segment,
@@ -248,7 +248,7 @@ def q_prepare_survey(spark, sf_dir):
         F.col("p_partkey").alias("Route"), F.col("p_type").alias("RouteType"))
     prep = prepare_survey(
         raw, "ID", weights=weights, route_text="ROUTE_SURVEYED", route_classes=classes,
-        renamed_routes={"7": "Commuter rail"},
+        renamed_routes={"7": "Harbour boat"},
         flag_sets={"category": (FLAGS, "Multiple", "time_period")},
         codebook={"time_period": DOMAINS["time_period"], "segment": DOMAINS["segment"]},
         exclude_pattern="7")

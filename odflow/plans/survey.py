@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from odflow.operators._broadcast import bounded_broadcast
 from odflow.operators.clean import apply_overrides, blank_to_null
 from odflow.operators.codebook import apply_codebook, collapse_flags, label_of, level_ord
-from odflow.operators.crosstab import add_share, crosstab, small_samples
+from odflow.operators.crosstab import add_share, crosstab, sample_keys
 from odflow.operators.filters import exclude_ids
 from odflow.operators.joins import attach_route_type, attach_weights
 
@@ -33,11 +32,8 @@ def crosstab_report(trips: DataFrame, x: str | None = None, y: str | None = None
     if x is None or y is None or x == y:
         out = out.withColumn("small", F.col("obs") < min_obs)
     else:
-        grp = [x] if facet is None or facet in (x, y) else [x, facet]
-        flags = small_samples(xt, x, y, facet, n=min_obs).select(*grp).withColumn(
-            "small", F.lit(True))
-        out = out.join(bounded_broadcast(flags), grp, "left") \
-            .withColumn("small", F.coalesce(F.col("small"), F.lit(False)))
+        group = Window.partitionBy(*sample_keys(x, y, facet))
+        out = out.withColumn("small", F.sum("obs").over(group) < min_obs)
     for v, lv in (domains or {}).items():
         if v in keys:
             out = out.withColumn(f"{v}_ord", level_ord(v, lv))

@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+_LOCAL_DIR = "spark.odflow.local.dir"
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "odflow") -> SparkSession:
@@ -28,28 +30,25 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("spark.driver.memory", os.environ.get("ODFLOW_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("ODFLOW_DRIVER_MEMORY", "8g"))
     )
-    if master is not None and master.startswith("local"):
-        # Local runs only: a cluster names its shared folder in spark.checkpoint.dir.
-        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="odflow-ckpt-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Point RDD checkpoints at ``spark.checkpoint.dir`` as configured on the session.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, where intermediate tables are written.
 
-    The setting is read, never invented on a cluster; ``get_spark`` only supplies
-    one for local sessions where it is unset.
+    A cluster must name a folder that all its machines share.  Only a local master, whose
+    executors are the driver itself, gets a temporary one where the setting is missing.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the setting
-        return spark.conf.get("spark.checkpoint.dir", None)
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    return configured
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL_DIR, None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    folder = tempfile.mkdtemp(prefix="odflow-")
+    spark.conf.set(_LOCAL_DIR, folder)
+    return folder

@@ -68,14 +68,16 @@ def export(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrit
 
 
 def read_zones(spark: SparkSession, path: str, zone: str = "zone_id", seq: str = "seq",
-               x: str = "x", y: str = "y", fmt: str = "parquet") -> DataFrame:
+               x: str = "x", y: str = "y", fmt: str = "parquet", **layer) -> DataFrame:
     """Polygon layer from an ordered vertex table ``(zone, seq, x, y, ...)``.
 
-    Returns the canonical layer ``(zone_id, edges, minx, maxx, miny, maxy, cx, cy)``; see
-    :func:`odflow.operators.geometry_layer.layer_from_vertices`.
+    Returns the canonical layer ``(zone_id, edges, minx, maxx, miny, maxy, cx, cy, ...)``.
+    ``layer`` takes the further options of
+    :func:`odflow.operators.geometry_layer.layer_from_vertices`: ``part``, ``hole``,
+    ``attrs`` and the internal point ``cx``, ``cy``.
     """
     vertices = spark.read.format(fmt).load(path)
-    return layer_from_vertices(vertices, zone=zone, seq=seq, x=x, y=y)
+    return layer_from_vertices(vertices, zone=zone, seq=seq, x=x, y=y, **layer)
 
 
 def read_stop_sequence(stop_sequence: DataFrame, site: DataFrame,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from odflow.operators.locate import layer_plan
+from odflow.operators.locate import cell_size
 from odflow.plans.prepare import zone_trips
 
 
@@ -22,7 +22,7 @@ def zone_trips_stream(spark: SparkSession, source_path: str, schema: StructType
     log live there, so a restarted driver resumes exactly once).  The layer's grid cell is
     fixed once up front so every micro-batch probes the same index.
     """
-    cell, _ = layer_plan(layer)
+    cell = cell_size(layer)
     src = spark.readStream.schema(schema).format(fmt).load(source_path)
     out = zone_trips(src, layer, keep=keep, cell=cell, **cols)
     writer = (out.writeStream.format("parquet").outputMode("append")

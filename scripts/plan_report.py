@@ -12,7 +12,6 @@ import sys
 
 sys.path.insert(0, __file__.rsplit("/scripts/", 1)[0])
 
-from odflow.operators import _broadcast  # noqa: E402
 from odflow.plans.queries import QUERIES  # noqa: E402
 from odflow.session import get_spark  # noqa: E402
 
@@ -47,7 +46,6 @@ def summarise(plan: str) -> dict:
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_spark("local[8]")
-    _broadcast.MATERIALIZE = False  # report the whole plan, not the part after the cut
     out = ["# PLANS", "",
            f"Physical plans of the registered queries at `{sf}` after execution (AQE final",
            "plans), produced by `python scripts/plan_report.py`. Counts are operator",

@@ -8,7 +8,7 @@ from odflow.sources.io import export, load_prepared, read_table, read_zones, wri
 def test_csv_scan_prune_rename_and_export(spark):
     d = tempfile.mkdtemp(prefix="odflow-io-")
     with open(f"{d}/in.csv", "w") as fh:
-        fh.write("ID,ROUTE_SURVEYED,Unlinked Weight-AE\n1,10 Central,1.5\n2,XLINE x,\n")
+        fh.write("ID,ROUTE_SURVEYED,Unlinked Weight-AE\n1,4 Market,1.5\n2,COAST way,\n")
     df = read_table(spark, f"{d}/in.csv", columns=["ID", "Unlinked Weight-AE"],
                     rename={"Unlinked Weight-AE": "unlinked_wgts"})
     assert df.columns == ["ID", "unlinked_wgts"]

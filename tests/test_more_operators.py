@@ -6,9 +6,9 @@ from odflow.functions.text import flow_label, percent_text
 from odflow.operators.clean import (
     apply_overrides, assign_rules, cols_between, cols_like, direction_of, map_cols,
 )
-from odflow.operators.codebook import infer_domain, order_by_levels, segment_levels
+from odflow.operators.codebook import infer_domain, order_by_levels
 from odflow.operators.density import smoothed_density
-from odflow.operators.filters import LONG_LIST, filter_in, select_zones
+from odflow.operators.filters import filter_in, select_zones
 from odflow.operators.flows import intensity, od_heat, with_reverse
 from odflow.operators.geometry_layer import boxes_from_points, zone_centroids
 from odflow.operators.joins import attach_centroids, attach_route_type, records_in
@@ -83,7 +83,6 @@ def test_with_reverse_roles(spark):
 def test_filter_in_long_list_same_as_isin(spark):
     df = spark.range(3000).withColumnRenamed("id", "k")
     vals = list(range(0, 3000, 2))
-    assert len(vals) > LONG_LIST
     assert filter_in(df, {"k": vals}).count() == 1500
     assert filter_in(df, {"k": None}).count() == 3000 and filter_in(df, {"k": []}).count() == 0
 
@@ -119,7 +118,6 @@ def test_segment_flow_levels_keep_rows(spark):
     out = segment_flow(rides, 1, period="AM", direction="Any", levels=["B", "A"]).collect()
     assert sorted((r.board_segment, r.alight_segment, r.N, r.board_ord) for r in out) == \
         [("A", None, 1, 2), ("A", None, 1, 2)]
-    assert segment_levels(spark, {1: ["B", "A"]}).count() == 2
 
 
 def test_domain_and_order(spark):
@@ -139,10 +137,10 @@ def test_lines(spark):
 
 
 def test_route_type_lookup_and_semi(spark):
-    trips = spark.createDataFrame([("10 Central",), ("XLINE x",), ("888 N",)], "ROUTE_SURVEYED string")
-    classes = spark.createDataFrame([(10.0, "Local")], "Route double, RouteType string")
-    out = attach_route_type(trips, classes, named=["XLINE"], renamed={"888": "Commuter rail"}).collect()
-    assert sorted((r.route, r.RouteType) for r in out) == [("10", "Local"), ("888", "Commuter rail"), ("XLINE", "XLINE")]
+    trips = spark.createDataFrame([("4 Market",), ("COAST way",), ("31 Hill",)], "ROUTE_SURVEYED string")
+    classes = spark.createDataFrame([(4.0, "Street")], "Route double, RouteType string")
+    out = attach_route_type(trips, classes, named=["COAST"], renamed={"31": "Harbour boat"}).collect()
+    assert sorted((r.route, r.RouteType) for r in out) == [("31", "Harbour boat"), ("4", "Street"), ("COAST", "COAST")]
     ids = spark.createDataFrame([(1,), (1,)], "ID int")
     assert records_in(spark.createDataFrame([(1,), (2,)], "ID int"), ids, "ID").count() == 1
 

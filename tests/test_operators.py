@@ -155,7 +155,7 @@ def test_overlapping_boxes_count_once_per_box(spark):  # C7
 def test_full_cells_skip_ring_but_stay_exact(spark):
     from odflow.operators.locate import cell_index
     lay = _square_layer(spark, {1: (0, 0, 4), 2: (4, 0, 4)})
-    idx = cell_index(lay, 0.5).select(F.explode("cands").alias("z"))
+    idx = cell_index(lay, 0.5).select(F.explode("_cands").alias("z"))
     stats = idx.agg(F.sum(F.col("z.full").cast("int")).alias("full"), F.count("*").alias("n")).first()
     assert stats.full > 0 and stats.full < stats.n
     rnd = random.Random(11)
@@ -197,9 +197,63 @@ def test_locate_never_shuffles_points(spark):
     located = locate(pts, lay, "lon", "lat", cell=0.5)
     assert located.count() == located.select("pid").distinct().count()
     plan = plan_text(located)
-    index_plan = plan_text(cell_index(lay, 0.5))
-    assert plan.count("Exchange hashpartitioning") == index_plan.count("Exchange hashpartitioning")
-    assert "BroadcastHashJoin" in plan
+    assert plan.count("Exchange hashpartitioning") == 0 and "BroadcastHashJoin" in plan
+
+
+def test_locate_by_shuffle_gives_the_same(spark):
+    # A layer the planner will not broadcast: the points meet the index in a sort-merge join.
+    lay = _square_layer(spark, {z: (z % 20, z // 20, 1) for z in range(200)})
+    pts = spark.createDataFrame([(i, 0.3, 0.3) for i in range(2000)] + [(5000 + i, (i % 190) * 0.1 + 0.05, (i % 90) * 0.1 + 0.03) for i in range(3000)]
+                                + [(9000 + i, None, 1.0) for i in range(200)], "pid int, lon double, lat double")
+    want = {r.pid: r.zone_id for r in locate(pts, lay, "lon", "lat", keep_unmatched=True).collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = locate(pts, lay, "lon", "lat", keep_unmatched=True)
+        assert "SortMergeJoin" in plan_text(out)
+        assert {r.pid: r.zone_id for r in out.collect()} == want and len(want) == 5200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_one_huge_and_many_tiny_polygons(spark):
+    zones = {0: (0, 0, 40)} | {z: (z % 30 + 0.2, z // 30 + 0.2, 0.5) for z in range(1, 300)}
+    lay = _square_layer(spark, zones)
+    rnd = random.Random(12)
+    pts = spark.createDataFrame([(i, rnd.uniform(-1, 41), rnd.uniform(-1, 41)) for i in range(1500)]
+                                + [(2000 + i, rnd.uniform(0, 30), rnd.uniform(0, 10)) for i in range(1500)], "pid int, lon double, lat double")
+    got = {(r.pid, r.zone_id) for r in locate(pts, lay, "lon", "lat", how="all").collect()}
+    want = {(r.pid, z) for r in pts.collect() for z, (x, y, s) in zones.items() if x <= r.lon <= x + s and y <= r.lat <= y + s}
+    assert got == want
+
+
+def test_parts_holes_and_missing_points(spark):
+    ring = lambda z, p, h, pts: [(z, p, h, i, float(x), float(y), f"name {z}") for i, (x, y) in enumerate(pts)]
+    rows = (ring(1, 1, False, [(0, 0), (4, 0), (4, 4), (0, 4)]) + ring(1, 2, True, [(1, 1), (2, 1), (2, 2), (1, 2)])
+            + ring(2, 1, False, [(5, 0), (6, 0), (6, 1), (5, 1)]) + ring(2, 2, False, [(8, 0), (9, 0), (9, 1), (8, 1)]))
+    lay = layer_from_vertices(spark.createDataFrame(rows, "zone_id int, part int, hole boolean, seq int, x double, y double, name string"),
+                              part="part", hole="hole", attrs=["name"])
+    pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 5.5, 0.5), (4, 7.0, 0.5), (5, 8.5, 0.9), (6, float("nan"), 0.5),
+                                 (7, None, 0.5), (8, 0.5, float("nan"))], "pid int, lon double, lat double")
+    got = {r.pid: (r.zone_id, r.label) for r in locate(pts, lay, "lon", "lat", carry={"name": "label"}).collect()}
+    assert got == {1: (1, "name 1"), 3: (2, "name 2"), 5: (2, "name 2")}
+    kept = locate(pts, lay, "lon", "lat", keep_unmatched=True)
+    assert kept.count() == 8 and kept.where("zone_id IS NULL").count() == 5
+
+
+def test_missing_weight_in_one_box_removes_the_zone(spark):
+    clicks = spark.createDataFrame(
+        [(b, i, float(x), float(y)) for b, pts in {1: [(0, 0), (1, 0), (1, 1), (0, 1)], 2: [(2, 0), (3, 0), (3, 1), (2, 1)]}.items()
+         for i, (x, y) in enumerate(pts)], "box_id int, seq int, lon double, lat double")
+    zones = _square_layer(spark, {9: (10, 10, 5), 8: (20, 20, 5)})
+    trips = spark.createDataFrame([(0.5, 0.5, 12.0, 12.0, None, 1.0), (2.5, 0.5, 12.0, 12.0, 2.0, 1.0), (2.5, 0.5, 21.0, 21.0, 3.0, 1.0)],
+                                  "o_lon double, o_lat double, d_lon double, d_lat double, w double, m double")
+    assert [(r.dest, r.N) for r in box_heat(trips, boxes_from_points(clicks), zones).collect()] == [(8, 3.0)]
+
+
+def test_small_samples_with_facet_equal_to_x(spark):
+    t = spark.createDataFrame([("a", "b", 1, 1.0)], "x string, y string, obs int, N double")
+    assert small_samples(t, "x", "y", "x").columns == ["x", "obs"]
 
 
 def test_pair_counts_equal_fanout_counts(spark):
