@@ -18,7 +18,7 @@ SKIPPED = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(
 BLOCKS = (r"(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|main|aside|"
           r"title|body|blockquote|pre|hr|form|head|html)\b[^>]*>")
 TAGS = r"<[A-Za-z/!?][^>]*>"
-#: The named entities that are decoded; &amp; comes last.
+#: The named entities that are decoded.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
             ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")]
 
@@ -55,19 +55,29 @@ def header(pairs: Column, name: str) -> Column:
 
 
 def decoded(text: Column) -> Column:
-    """Numeric and the usual named entities as characters; others stay as they are."""
+    """Numeric and the usual named entities as characters; others stay as they are.
+
+    The text is cut at its ampersands and each piece is looked at once, so what an entity
+    gives is not decoded again.
+    """
+    named = F.create_map(*[F.lit(x) for entity, value in ENTITIES for x in (entity[1:-1], value)])
+
+    def char(name: Column) -> Column:
+        hexed = F.substring(name, 2, 1).isin("x", "X")
+        code = F.when(hexed, F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("int")
+        return F.transform(F.array(code), lambda c: F.when(
+            c.between(1, 0x10FFFF) & ~c.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")))[0]
+
+    def replaced(x: Column, name: Column) -> Column:
+        found = F.when(F.startswith(name, F.lit("#")), char(name)).otherwise(F.try_element_at(named, name))
+        return F.coalesce(F.concat(found, F.substring(x, F.length(name) + 2, F.length(x))), F.concat(F.lit("&"), x))
+
     def one(x: Column, i: Column) -> Column:
-        digits = F.regexp_extract(x, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-        code = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 8), 16, 10)).otherwise(digits).cast("int")
-        legal = (i > 0) & (digits != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(legal, F.concat(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"),
-                                      F.substring(x, F.length(digits) + 2, F.length(x)))) \
-            .when(i > 0, F.concat(F.lit("&#"), x)).otherwise(x)
+        name = F.regexp_extract(x, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-z]{2,8});", 1)
+        # Bound through an array of one, so that the pattern is matched once a piece.
+        return F.when(i == 0, x).otherwise(F.transform(F.array(name), lambda n: replaced(x, n))[0])
 
-    t = F.when(F.instr(text, "&#") > 0, F.array_join(F.transform(F.split(text, "&#"), one), "")).otherwise(text)
-    for entity, char in ENTITIES:
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return t
+    return F.array_join(F.transform(F.split(text, "&"), one), "")
 
 
 def plain_text(html: Column) -> Column:
@@ -92,12 +102,15 @@ def derivatives(responses: DataFrame, id_col: str = "page_id", header_col: str =
     empty; a response without a record id gets one from its target and date.  Missing headers
     are left out.  Rows that repeat a response repeat its records.
     """
-    block = F.coalesce(F.col(block_col), F.lit(""))
+    responses = responses.withColumn("__b", F.coalesce(F.col(block_col), F.lit("")))
+    block = F.col("__b")
     end = F.instr(block, CRLF + CRLF)
-    r = responses.select(
-        F.col(id_col).alias("id"), headers(F.col(header_col)).alias("w"),
-        F.when(end > 0, F.substring(block, F.lit(1), end - 1)).otherwise("").alias("h"),
-        F.when(end > 0, F.substring(block, end + 4, F.length(block))).otherwise(block).alias("body"))
+    # A generator over an array of one: the parts are made once, not in each of their uses.
+    once = lambda *cols: F.inline(F.array(F.struct(*cols)))
+    r = responses.select(F.col(id_col).alias("id"), once(
+        headers(F.col(header_col)).alias("w"),
+        F.when(end > 0, F.substring_index(block, CRLF + CRLF, 1)).otherwise("").alias("h"),
+        F.when(end > 0, F.substring(block, end + 4, F.lit(1 << 30))).otherwise(block).alias("body")))
     r = r.select("id", "w", F.substring_index("h", CRLF, 1).alias("status"), headers(F.col("h")).alias("http"), "body",
                  header(F.col("w"), "WARC-Target-URI").alias("target_uri"), header(F.col("w"), "WARC-Date").alias("date"),
                  header(F.col("w"), "WARC-Payload-Digest").alias("stated"),
