@@ -55,26 +55,6 @@ def inside_ring(edges: str | Column, px: str | Column, py: str | Column) -> Colu
     return (crossing_count(edges, px, py) % 2 == 1) | on_ring_edge(edges, px, py)
 
 
-def segment_touches_rect(e: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
-    """True when edge ``e`` meets the closed rectangle [x0, x1] x [y0, y1].
-
-    Bounding boxes overlap and the rectangle's corners are not all strictly on one side of
-    the edge's line.
-    """
-    def side(x, y):
-        return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-
-    overlap = ((F.greatest(e["x1"], e["x2"]) >= x0) & (F.least(e["x1"], e["x2"]) <= x1)
-               & (F.greatest(e["y1"], e["y2"]) >= y0) & (F.least(e["y1"], e["y2"]) <= y1))
-    s = [side(x0, y0), side(x1, y0), side(x1, y1), side(x0, y1)]
-    all_pos = s[0] > 0
-    all_neg = s[0] < 0
-    for v in s[1:]:
-        all_pos = all_pos & (v > 0)
-        all_neg = all_neg & (v < 0)
-    return overlap & ~all_pos & ~all_neg
-
-
 def _mercator_y(lat_deg: Column) -> Column:
     return F.log(F.tan(F.lit(math.pi / 4) + lat_deg * F.lit(math.pi / 360)))
 

@@ -2,8 +2,8 @@
 
 Spark has no containment join, so the layer is indexed on a regular grid:
 
-1. every polygon is laid over square cells by halving twice per level, from four times the
-   median polygon extent down to a sixteenth of it; a cell keeps only the edges that matter
+1. every polygon is laid over square cells, a quarter as wide at each level, from the median
+   polygon extent down to a sixteenth of it; a cell keeps only the edges that matter
    for its points, and only cells that an edge touches are divided further;
 2. each point computes its cell as ``floor(lon * (1 / cell))``, ``floor(lat * (1 / cell))``,
    the same expression that lays out the index, and an equi-join on the cell pair attaches
@@ -24,12 +24,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odflow.functions.geo import crossing_count, on_ring_edge, segment_touches_rect
+from odflow.functions.geo import crossing_count, on_ring_edge
 from odflow.operators._broadcast import materialize
 from odflow.operators.filters import present
 
 # The median polygon extent covers so many cells; the coarsest level is LEVELS divisions up.
-PER_EXTENT, LEVELS = 16, 3
+PER_EXTENT, LEVELS = 16, 2
 
 
 def cell_size(layer: DataFrame, per_extent: int = PER_EXTENT) -> float:
@@ -39,57 +39,60 @@ def cell_size(layer: DataFrame, per_extent: int = PER_EXTENT) -> float:
     return float(ext) / per_extent if ext else 1.0
 
 
-def _divided(cells: DataFrame, cell: float, size: int) -> DataFrame:
-    """Cells of ``size`` fine cells a side, classified: ``full``, or still touched by edges.
+def _classified(cells: DataFrame, cell: float) -> DataFrame:
+    """``_kind`` of each cell (``_size`` fine cells a side): 1 touched by an edge, 2 wholly inside.
 
     In the even-odd ray test (ray towards +x) an edge counts only when its y-range holds the
     point's y.  Of a cell's edges those outside its horizontal strip and those wholly left of
     it never count; those wholly right of it that span the strip always count once and are
     folded into ``par``.  The kept edges go through the same arithmetic as a test of the whole
-    ring.  Cells that no edge touches lie inside or outside as their centre does.
+    ring.  Cells that no edge touches lie inside or outside as their centre does; outside
+    ones are dropped, inside ones keep no edges.
     """
-    side = cell * size
-    # Widened by a hair: rounding of a point's cell never moves it out of the rectangle.
-    eps = cell * 1e-7
-    x0, x1 = F.col("_gx") * F.lit(side) - eps, (F.col("_gx") + 1) * F.lit(side) + eps
-    y0, y1 = F.col("_gy") * F.lit(side) - eps, (F.col("_gy") + 1) * F.lit(side) + eps
-
-    def low(e):
-        return F.least(e["y1"], e["y2"])
-
-    def high(e):
-        return F.greatest(e["y1"], e["y2"])
-
-    def spans_right(e):
-        return (F.least(e["x1"], e["x2"]) > x1) & (low(e) < y0) & (high(e) > y1)
-
-    kept = F.filter("_edges", lambda e: (high(e) >= y0) & (low(e) <= y1)
-                    & (F.greatest(e["x1"], e["x2"]) >= x0) & ~spans_right(e))
-    par = (F.col("_par") + F.size(F.filter("_edges", spans_right))) % 2
-    rest = [c for c in cells.columns if c not in ("_edges", "_par")]
-    # The generator keeps the optimizer from inlining the filters into every later use.
-    cells = cells.select(*rest, F.inline(F.array(F.struct(kept.alias("_edges"), par.alias("_par")))))
-    touch = F.exists("_edges", lambda e: segment_touches_rect(e, x0, x1, y0, y1))
-    centre = (crossing_count("_edges", (F.col("_gx") + 0.5) * F.lit(side), (F.col("_gy") + 0.5) * F.lit(side))
-              + F.col("_par")) % 2 == 1
-    cells = cells.select("*", F.explode(F.array(F.when(touch, F.lit(1)).when(centre, F.lit(2)).otherwise(F.lit(0))))
-                         .alias("_kind"))
-    return cells.where(F.col("_kind") > 0)
-
-
-def _children(cells: DataFrame, parts: int) -> DataFrame:
-    """Each cell replaced by ``parts`` x ``parts`` smaller ones."""
-    steps = F.sequence(F.lit(0), F.lit(parts - 1))
+    # As SQL text: one expression each, instead of a Python call for every operator.  The
+    # rectangle is widened by a hair: rounding of a point's cell never moves it out.
+    c, eps = repr(float(cell)) + "D", repr(cell * 1e-7) + "D"
+    rect = cells.select("*", F.expr(f"""inline(array(struct(
+        _gx * ({c} * _size) - {eps} AS x0, (_gx + 1) * ({c} * _size) + {eps} AS x1, (_gx + 0.5D) * ({c} * _size) AS xm,
+        _gy * ({c} * _size) - {eps} AS y0, (_gy + 1) * ({c} * _size) + {eps} AS y1, (_gy + 0.5D) * ({c} * _size) AS ym)))"""))
+    spans = "(least(e.x1, e.x2) > x1 AND least(e.y1, e.y2) < y0 AND greatest(e.y1, e.y2) > y1)"
+    near = "greatest(e.y1, e.y2) >= y0 AND least(e.y1, e.y2) <= y1 AND greatest(e.x1, e.x2) >= x0"
+    # The generators keep the optimizer from inlining the filters into every later use.
+    kept = rect.select(*[x for x in rect.columns if x not in ("_edges", "_par")], F.expr(f"""inline(array(struct(
+        filter(_edges, e -> {near} AND NOT {spans}) AS _edges,
+        (_par + size(filter(_edges, e -> {spans}))) % 2 AS _par)))"""))
+
+    def side(x, y):
+        return f"(e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1)"
+
+    corners = [side(x, y) for x in ("x0", "x1") for y in ("y0", "y1")]
+    touch = (f"exists(_edges, e -> greatest(e.x1, e.x2) >= x0 AND least(e.x1, e.x2) <= x1 AND greatest(e.y1, e.y2) >= y0 "
+             f"AND least(e.y1, e.y2) <= y1 AND NOT ({' AND '.join(f'{x} > 0' for x in corners)}) "
+             f"AND NOT ({' AND '.join(f'{x} < 0' for x in corners)}))")
+    crossings = ("aggregate(_edges, 0, (n, e) -> n + CASE WHEN (e.y1 > ym) != (e.y2 > ym) THEN "
+                 "CASE WHEN xm < (e.x2 - e.x1) * (ym - e.y1) / (e.y2 - e.y1) + e.x1 THEN 1 ELSE 0 END ELSE 0 END)")
+    rest = [x for x in cells.columns if x not in ("_edges", "_kind")]
+    cells = kept.select(*rest, "_edges", F.expr(
+        f"explode(array(CASE WHEN _kind = 2 THEN 2 WHEN {touch} THEN 1 WHEN ({crossings} + _par) % 2 = 1 THEN 2 ELSE 0 END))")
+        .alias("_now")).where("_now > 0")
+    return cells.select(*rest, F.when(F.col("_now") == 1, F.col("_edges")).otherwise(F.array()).alias("_edges"),
+                        F.col("_now").alias("_kind"))
+
+
+def _children(cells: DataFrame, kind: int, parts) -> DataFrame:
+    """Cells of one kind replaced by ``parts`` x ``parts`` smaller ones, the others kept."""
+    n = F.when(F.col("_kind") == kind, parts).otherwise(F.lit(1))
+    steps = F.sequence(F.lit(0), n - 1)
     cells = cells.select("*", F.explode(steps).alias("_i")).select("*", F.explode(steps).alias("_j"))
-    return cells.withColumns({"_gx": F.col("_gx") * parts + F.col("_i"),
-                              "_gy": F.col("_gy") * parts + F.col("_j")}).drop("_i", "_j")
+    return cells.withColumns({"_gx": F.col("_gx") * n + F.col("_i"), "_gy": F.col("_gy") * n + F.col("_j"),
+                              "_size": (F.col("_size") / n).cast("int")}).drop("_i", "_j")
 
 
 def cell_index(layer: DataFrame, cell: float, carry: Mapping[str, str] | None = None) -> DataFrame:
     """``(_gx, _gy, _sure, _cands)``: per fine grid cell, the polygons that reach into it.
 
     ``_cands`` lists them by zone id, ``_sure`` is the lowest one's answer if the cell lies
-    wholly inside it.  Polygons' work is spread by cells between the levels.
+    wholly inside it.  Polygons' work is spread by cells.
     """
     carry = dict(carry or {})
     size = 4 ** LEVELS
@@ -98,24 +101,17 @@ def cell_index(layer: DataFrame, cell: float, carry: Mapping[str, str] | None =
     def span(lo, hi):
         return F.explode(F.sequence(F.floor(F.col(lo) * inv), F.floor(F.col(hi) * inv)))
 
-    cells = layer.select("zone_id", *carry, "minx", "maxx", "miny", "maxy", F.col("edges").alias("_edges"),
-                         F.lit(0).alias("_par"), span("minx", "maxx").alias("_gx")) \
+    cells = layer.select("zone_id", *carry, "minx", "maxx", "miny", "maxy", F.lit(size).alias("_size"), F.lit(0).alias("_kind"),
+                         F.lit(0).alias("_par"), F.col("edges").alias("_edges"), span("minx", "maxx").alias("_gx")) \
         .select("*", span("miny", "maxy").alias("_gy")).repartition("_gx", "_gy", "zone_id")
-    cells = _divided(cells, cell, size)
-    done = []
-    while size > 1:
-        # Whole cells keep no edges; they are only spread out to their fine cells.
-        done.append(_children(cells.where("_kind = 2").drop("_kind", "_edges"), size).withColumn("_full", F.lit(True)))
-        size //= 4
-        cells = _divided(_children(cells.where("_kind = 1").drop("_kind"), 4).repartition("_gx", "_gy", "zone_id"),
-                         cell, size)
-    fine = cells.withColumn("_full", F.col("_kind") == 2).drop("_kind")
-    empty = F.array().cast(layer.schema["edges"].dataType)
-    for d in done:
-        fine = fine.unionByName(d.withColumn("_edges", empty).select(*fine.columns))
+    cells = _classified(cells, cell)
+    for _ in range(LEVELS):
+        cells = _classified(_children(cells, 1, F.lit(4)), cell)
+    # Whole cells are only spread out to their fine cells.
+    fine = _children(cells.repartition("_gx", "_gy", "zone_id"), 2, F.col("_size"))
     # ``o`` is the row a hit contributes, ready-made so no per-point transform is needed.
     o = F.struct(F.col("zone_id").alias("_hit_zone"), *[F.col(c).alias(f"_hit_{c}") for c in carry])
-    fields = F.struct(F.col("zone_id"), F.col("_full").alias("full"), F.col("minx"), F.col("maxx"), F.col("miny"),
+    fields = F.struct(F.col("zone_id"), (F.col("_kind") == 2).alias("full"), F.col("minx"), F.col("maxx"), F.col("miny"),
                       F.col("maxy"), F.col("_par").alias("par"), F.col("_edges").alias("edges"), o.alias("o"))
     cands = fine.groupBy("_gx", "_gy").agg(F.array_sort(F.collect_list(fields)).alias("_cands"))
     lowest = F.col("_cands")[0]
