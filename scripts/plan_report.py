@@ -12,6 +12,7 @@ import sys
 
 sys.path.insert(0, __file__.rsplit("/scripts/", 1)[0])
 
+from odflow.operators import _broadcast  # noqa: E402
 from odflow.plans.queries import QUERIES  # noqa: E402
 from odflow.session import get_spark  # noqa: E402
 
@@ -23,7 +24,7 @@ OPS = ["Exchange hashpartitioning", "Exchange SinglePartition", "Exchange rangep
 
 def summarise(plan: str) -> dict:
     counts = {op: plan.count(op) for op in OPS}
-    scans = sorted(set(re.findall(r"FileScan parquet [^\n]*?ReadSchema: (struct<[^>]*>)", plan)))
+    scans = sorted(set(re.findall(r"FileScan parquet [^\n]*?ReadSchema: (struct<[^\n]*)", plan)))
     pushed = set()
     for start in [m.end() for m in re.finditer(r"PushedFilters: \[", plan)]:
         depth, i, part, parts = 1, start, "", []
@@ -43,6 +44,25 @@ def summarise(plan: str) -> dict:
             "pushed": sorted(pushed)}
 
 
+def plan_text(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def record_written() -> list[str]:
+    """The plans of tables that operators write, collected as they run."""
+    plans: list[str] = []
+    real = _broadcast.materialize
+
+    def materialize(df):
+        plans.append(plan_text(df))
+        return real(df)
+
+    for module in list(sys.modules.values()):
+        if getattr(module, "materialize", None) is real:
+            module.materialize = materialize
+    return plans
+
+
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_spark("local[8]")
@@ -55,20 +75,20 @@ def main() -> None:
            "numbers; no library operator joins pairs of rows without a key.",
            "`ReadSchema` lists the columns each parquet scan reads, and the pushed filters",
            "beyond `IsNotNull` are listed when a filter is on a stored column (most",
-           "filters here are on columns the stand-in views compute). The report is taken with",
-           "the flow checkpoint switched off so that each plan shows its whole upstream;",
-           "in normal runs the aggregated flow table is checkpointed and the quantile and",
-           "the rows read it, so the upstream subtrees counted twice here run once.", ""]
+           "filters here are on columns the stand-in views compute). A query that writes",
+           "intermediate tables runs several plans: all are counted, the last one after AQE,",
+           "the written ones as planned, and `steps` tells how many there are.", ""]
+    written = record_written()
     for name in sorted(QUERIES):
+        written.clear()
         df = QUERIES[name](spark, sf)
         df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        s = summarise(plan)
+        s = summarise("\n".join([*written, plan_text(df)]))
         ops = ", ".join(f"{k} x{v}" for k, v in s["counts"].items())
         out.append(f"## {name}")
         out.append("")
         out.append(f"- tables: {', '.join(s['tables'])}")
-        out.append(f"- operators: {ops}")
+        out.append(f"- steps: {len(written) + 1}; operators: {ops}")
         for r in s["scans"]:
             out.append(f"- scan reads `{r}`")
         if s["pushed"]:
