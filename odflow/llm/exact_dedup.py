@@ -13,7 +13,9 @@ fewer than ``HOT``) are grouped before they move and get their names by a join i
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +40,16 @@ def _numbered(rows: DataFrame, schema: str) -> DataFrame:
         base = TaskContext.get().partitionId() << _PART_BITS
         last, rank = None, -1
         for batch in batches:
-            content = batch.column(batch.schema.get_field_index("content")).to_pylist()
-            names = []
-            for c in content:
-                if c != last or rank < 0:
-                    rank, last = rank + 1, c
-                names.append(base + rank)
+            content = batch.column(batch.schema.get_field_index("content"))
+            if not len(content):
+                continue
+            new = np.ones(len(content), dtype=np.int64)
+            new[0] = rank < 0 or content[0].as_py() != last
+            new[1:] = pc.not_equal(content.slice(1), content.slice(0, len(content) - 1)).to_numpy(zero_copy_only=False)
+            ranks = rank + np.cumsum(new)
+            rank, last = int(ranks[-1]), content[len(content) - 1].as_py()
             rest = [i for i, n in enumerate(batch.schema.names) if n not in ("h", "content")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(names, pa.int64())],
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(base + ranks)],
                                              names=[*(batch.schema.names[i] for i in rest), "name"])
 
     return rows.mapInArrow(run, schema)
