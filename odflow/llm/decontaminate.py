@@ -16,6 +16,12 @@ answer's word shingles (and of the whole item's) that occur in the text.  The an
 item's last line, or the last sentence of an item of one line; the question is what comes
 before.
 
+A question or answer that leaks alone can weigh little in its segment, so a second index holds
+the word shingles of every side of at least ``SIDE_WORDS`` words.  All shingles of all texts
+are sought there, and every side that the confirmation accepts is a candidate, whatever its
+segment scores.  Its own segments, weighed with the words' weights in all segments, are then
+BM25 units too: a side that stands verbatim in a text scores 1.
+
 The index holds at most about ``ITEMS`` items or ``INDEX_BYTES`` bytes of item text; a larger
 benchmark is taken in blocks of that size, with one pass over the texts for each.
 """
@@ -49,6 +55,10 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (head + dot.strip(), tail) if dot else (text, "")
 
 
+def _cut(words: np.ndarray) -> list[np.ndarray]:
+    return [words[s:s + SEGMENT] for s in range(0, len(words), SEGMENT)]
+
+
 def _hash_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return _words.word_hashes(*_words.buffers(pa.array(texts, pa.string())), _words.PUNCTUATED)
 
@@ -72,13 +82,14 @@ class Index:
         parts = [question_and_answer(t) for _, t in items]
         self.shingles = list(zip(_shingle_sets([t for _, t in items]), _shingle_sets([q for q, _ in parts]),
                                  _shingle_sets([a for _, a in parts])))
-        self.side_words = [tuple(int(n) for n in np.diff(_hash_texts(list(p))[1])) for p in parts]
+        sides = [_hash_texts(list(p)) for p in parts]
+        self.side_words = [tuple(int(n) for n in np.diff(f)) for _, f in sides]
         words, first = _hash_texts([t for _, t in items])
         segments, owner = [], []
         for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
-            for s in range(a, b, SEGMENT):
-                segments.append(words[s:min(s + SEGMENT, b)])
-                owner.append(i)
+            cut = _cut(words[a:b])
+            segments += cut
+            owner += [i] * len(cut)
         order = np.argsort([len(s) for s in segments], kind="stable")
         segments = [segments[i] for i in order]
         self.owner = np.array([owner[i] for i in order], dtype=np.int64)
@@ -97,7 +108,8 @@ class Index:
         length = np.array([len(s) for s in segments], dtype=float)
         df = np.bincount(term, minlength=len(self.vocabulary))
         idf = np.log1p((len(segments) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1)) if len(length) else length
+        mean = max(length.mean(), 1) if len(length) else 1
+        norm = K1 * (1 - B + B * length / mean)
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[seg])
         own = np.bincount(seg, weight, minlength=len(segments))
         weight = weight / own[seg] if len(seg) else weight
@@ -109,37 +121,86 @@ class Index:
         top = np.zeros(cells)
         np.maximum.at(top, key, self.weight)
         self.top = top.reshape(len(self.vocabulary), self.blocks).astype(np.float32) * np.float32(1.00001)
-        self.low = np.zeros(1 << 20, dtype=bool)
-        self.low[(self.vocabulary & _words.U((1 << 20) - 1)).astype(np.int64)] = True
+        self.low = _low_bits(self.vocabulary)
+        self._index_sides(sides, idf, mean)
+
+    def _index_sides(self, sides: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float) -> None:
+        """Shingles of the sides that can be confirmed alone, and their BM25 units."""
+        self.side_item, self.side_size, self.side_units, runs, side = [], [], [], [], []
+        for i, (words, first) in enumerate(sides):
+            for j, n in enumerate(self.side_words[i]):
+                if n < SIDE_WORDS:
+                    continue
+                shingles = self.shingles[i][1 + j][1]
+                runs.append(shingles)
+                side.append(np.full(len(shingles), len(self.side_item)))
+                self.side_item.append(i)
+                self.side_size.append(len(shingles))
+                units = []
+                for s in _cut(words[first[j]:first[j + 1]]):
+                    t, tf = np.unique(np.searchsorted(self.vocabulary, s), return_counts=True)
+                    w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(s) / mean))
+                    units.append((t, w / w.sum()))
+                self.side_units.append(units)
+        run = np.concatenate([np.zeros(0, _words.U), *runs])
+        by = np.argsort(run, kind="stable")
+        self.run_side = np.concatenate([np.zeros(0, np.int64), *side])[by]
+        self.runs, at = np.unique(run[by], return_index=True)
+        self.run_at = np.append(at, len(run))
+        self.run_low = _low_bits(self.runs)
+
+    def leaked_sides(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+        """(text, side) where the text holds the share ``SIDE`` of the side's shingles."""
+        if not len(self.runs) or not len(words):
+            return []
+        h, out = _words.shingles(words, first, WIDTH)
+        at, run = _lookup(h, self.runs, self.run_low)
+        pair = np.unique((np.searchsorted(out, at, "right") - 1) * len(self.runs) + run)
+        text, run = pair // len(self.runs), pair % len(self.runs)
+        row, posting = _ranges(self.run_at[run], self.run_at[run + 1])
+        sides = len(self.side_item)
+        key, n = np.unique(text[row] * sides + self.run_side[posting], return_counts=True)
+        key = key[n / np.array(self.side_size)[key % sides] >= SIDE]
+        return list(zip((key // sides).tolist(), (key % sides).tolist()))
+
+    def side_score(self, side: int, passage: np.ndarray, term: np.ndarray) -> float:
+        """The largest BM25 share of a segment of the side in one passage."""
+        best = 0.0
+        for t, w in self.side_units[side]:
+            at = np.minimum(np.searchsorted(t, term), len(t) - 1)
+            ok = t[at] == term
+            if ok.any():
+                best = max(best, float(np.bincount(passage[ok] - passage[0], w[at[ok]]).max()))
+        return best
 
     def terms(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the words that the index knows, and their numbers."""
-        at = np.flatnonzero(self.low[(words & _words.U((1 << 20) - 1)).astype(np.int64)])
-        n = np.searchsorted(self.vocabulary, words[at])
-        n[n == len(self.vocabulary)] = 0
-        ok = self.vocabulary[n] == words[at]
-        return at[ok], n[ok]
+        return _lookup(words, self.vocabulary, self.low)
 
-    def retrieve(self, words: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, segment, score) of all passages' segments at or above the threshold."""
-        none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        if not self.blocks or not len(words):
-            return none
+    def passages(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct known words of each passage: (passage, word), and the texts' first passages."""
         n = np.diff(first)
         cells = -(-n // self.cell)
         base = np.concatenate([[0], np.cumsum(cells)])
         at, term = self.terms(words)
-        if not len(at):
-            return none
         text = np.searchsorted(first, at, "right") - 1
         cell = base[text] + (at - first[text]) // self.cell
-        # The distinct words of each passage, which is a cell and the next one of its text; a
-        # text's last cell lies in the passage before it, unless it is the only one.
+        # A passage is a cell and the next one of its text; a text's last cell lies in the
+        # passage before it, unless it is the only one.
         v, first_cell, last_cell = len(self.vocabulary), base[text], base[text + 1] - 1
         own = (cell < last_cell) | (cell == first_cell)
         before = cell > first_cell
         pair = _words.unique(np.concatenate([cell[own] * v + term[own], (cell[before] - 1) * v + term[before]]))
-        passage, term = pair // v, pair % v
+        return pair // v, pair % v, base
+
+    def retrieve(self, words: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, segment, score) of all passages' segments at or above the threshold."""
+        none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        if not self.blocks or not len(words):
+            return none
+        passage, term, base = self.passages(words, first)
+        if not len(passage):
+            return none
         lo = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
         hi = np.append(lo[1:], len(passage))
         where, block = np.nonzero(np.add.reduceat(self.top[term], lo, axis=0) >= threshold)
@@ -166,6 +227,13 @@ class Index:
         for t, s, x in zip(text.tolist(), seg.tolist(), score.tolist()):
             key = (t, int(self.owner[s]))
             best[key] = max(best.get(key, 0.0), x)
+        last = -1
+        for t, side in self.leaked_sides(words, first):
+            if t != last:
+                passage, term, _ = self.passages(words[first[t]:first[t + 1]], np.array([0, first[t + 1] - first[t]]))
+                last = t
+            key = (t, self.side_item[side])
+            best[key] = max(best.get(key, 0.0), self.side_score(side, passage, term))
         out, last, have = [], -1, {}
         for (t, i), x in sorted(best.items()):
             if t != last:
@@ -185,6 +253,21 @@ class Index:
         return float(np.isin(shingles, have[width]).mean())
 
 
+def _low_bits(values: np.ndarray) -> np.ndarray:
+    low = np.zeros(1 << 20, dtype=bool)
+    low[(values & _words.U((1 << 20) - 1)).astype(np.int64)] = True
+    return low
+
+
+def _lookup(values: np.ndarray, known: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the values that are known, and their numbers among the sorted known ones."""
+    at = np.flatnonzero(low[(values & _words.U((1 << 20) - 1)).astype(np.int64)])
+    n = np.searchsorted(known, values[at])
+    n[n == len(known)] = 0
+    ok = known[n] == values[at] if len(known) else np.zeros(len(at), bool)
+    return at[ok], n[ok]
+
+
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each i the numbers lo[i] .. hi[i] - 1: (i, number) in two arrays."""
     n = hi - lo

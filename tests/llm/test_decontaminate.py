@@ -95,6 +95,41 @@ def test_benchmark_in_blocks_gives_the_same(spark, docs, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in d.find_leaks(docs(rows), bench).collect()} >= want
 
 
+def test_question_or_answer_alone(spark, docs):
+    """Every side of 13 words or more is found alone, however little its item's segment it weighs."""
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("aeioubcd") for _ in range(rng.randint(3, 6))) for _ in range(900)]
+    sent = lambda n: " ".join(rng.choice(vocab) for _ in range(n)).capitalize() + "."
+    sizes = [(115, 13), (13, 115), (14, 300), (300, 14), (60, 20), (200, 13), (12, 60), (60, 12), (13, 13), (150, 150)]
+    items = [(i, sent(q) + "\n" + sent(a)) for i, (q, a) in enumerate(sizes)]
+    rows = []
+    for _, t in items:
+        q, a = d.question_and_answer(t)
+        rows += [q, a, sent(300) + " " + q + " " + sent(700), sent(500) + " " + a + " " + sent(90)]
+        w = a.split()
+        # A side in pieces far apart still holds its word runs; one word changed leaves a part.
+        rows += [" ".join(w[:len(w) // 2 + 4]) + " " + sent(900) + " " + " ".join(w[len(w) // 2:]),
+                 " ".join(w[:-1]) + " zzz", " ".join([*w[:6], "zzz", *w[7:]])]
+    rows = list(enumerate(rows))
+    runs = lambda w: {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))}
+    want = set()
+    for k, t in rows:
+        have = runs(words(t))
+        for i, item in items:
+            for side in d.question_and_answer(item):
+                s = runs(words(side))
+                if len(words(side)) >= d.SIDE_WORDS and len(s & have) / len(s) >= d.SIDE:
+                    want.add((k, i))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id): r for r in d.find_leaks(docs(rows), bench).collect()}
+    assert len(want) > 50 and set(found) >= want
+    assert all(max(r.question_overlap, r.answer_overlap) >= d.SIDE or r.overlap >= d.OVERLAP for r in found.values())
+    verbatim = [(7 * i + j, i) for i, (q, a) in enumerate(sizes) for j, n in ((0, q), (1, a), (2, q), (3, a)) if n >= d.SIDE_WORDS]
+    assert all(found[k].score == 1 for k in verbatim)
+    left = {r.doc_id for r in d.decontaminate(docs(rows), bench).collect()}
+    assert left == {k for k, _ in rows} - {k for k, _ in found}
+
+
 def test_edge_cases(spark, docs):
     item = "what is the largest planet of our solar system.\nthe largest planet is jupiter with many moons"
     bench = spark.createDataFrame([(1, item), (2, None), (None, "x"), (3, ""), (4, "...")], "item_id bigint, text string")
