@@ -92,3 +92,38 @@ def test_one_class_or_no_labels(spark):
     for labels, want in (([], 0.0), ([(1, 1), (2, 1)], 1.0), ([(1, 0)], 0.0)):
         model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
         assert {r.score for r in toxicity.score_toxicity(docs, model).collect()} == {want}
+
+
+def labelled(labels):
+    return labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"), F.xxhash64("doc_id", F.lit(42)).alias("h"))
+
+
+def test_one_long_labelled_text_leaves_only_itself(spark):
+    """A text of 34 MB that comes first in the order of the sample costs no other row."""
+    rows, labels = corpus(900, 4)
+    docs, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    first = labelled(lab).orderBy("h").first().id
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.expr("repeat('nasty ', 6000000)")).otherwise(F.col("text")))
+    model = toxicity.fit(long, lab)
+    assert model.constant is None
+    out = toxicity.score_toxicity(docs, model).join(lab, "doc_id").collect()
+    assert np.mean([r.rejected == (r.toxic == 1) for r in out]) > 0.97
+
+
+def test_sample_of_long_texts_keeps_every_class_and_part(spark, monkeypatch):
+    rows, labels = corpus(900, 5)
+    docs = spark.createDataFrame([(i, t.ljust(3000 if i % 3 else 5000, "x"), lang) for i, t, lang in rows], SCHEMA)
+    lab = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    sample = lambda: toxicity._sample(docs, labelled(lab), "doc_id", "text", "lang").collect()
+    assert len(sample()) == 900
+    count = lambda got: {k: sum((r.part, r.y) == k for r in got) for k in ((0, 0), (0, 1), (1, 0), (1, 1))}
+    whole = count(sample())
+    monkeypatch.setattr(toxicity, "TEXT_BYTES", 4000)
+    got = sample()
+    assert {r.id for r in got} == {i for i, _, _ in rows if i % 3}      # single texts only
+    for size in (900_000, 300_000, 12_000):
+        monkeypatch.setattr(toxicity, "SAMPLE_BYTES", size)
+        got = sample()
+        assert sum(len(r.text) for r in got) <= max(size, 4 * 4000) and all(count(got).values())
+        if size == 900_000:     # classes keep their proportions
+            assert all(abs(n / len(got) - whole[k] / 900) < 0.03 for k, n in count(got).items())
