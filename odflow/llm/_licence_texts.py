@@ -51,3 +51,56 @@ KNOWN: list[tuple[str, str, str]] = [
     ("MPL-2.0", "notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("all-rights-reserved", "notice", "All rights reserved."),
 ]
+
+_TITLES = {
+    "MIT": ["The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License",
+                     "New BSD License", "Revised BSD License", "BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"],
+}
+_BODIES = {name: text for name, kind, text in KNOWN if kind == "text"}
+_ISC_AND = _BODIES["ISC"].replace("and/or distribute", "and distribute")
+#: The texts above under their usual title lines, and without numbers before the conditions.
+TITLED: list[tuple[str, str, str]] = [
+    (name, "text", title + body)
+    for name, titles in _TITLES.items() for title in ["", *[t + "\n\n" for t in titles]]
+    for body in dict.fromkeys([_BODIES[name], _BODIES[name].replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* "),
+                               *([_ISC_AND] if name == "ISC" else [])])
+]
+
+#: (licence, digest) of whole licences as published, made by ``canonical`` without holders' lines:
+#: with and without the appendix behind the terms, http and https links.
+FULL: list[tuple[str, str]] = [
+    ("Apache-2.0", "129294488cadbe2acee6d28d177d42a3acc4e0cfb69893738a3ca4965b35cdf9"),
+    ("Apache-2.0", "1503ed7ce6c2188ed269646562607a76b5c74bff588f36b20862ee3af525f3ea"),
+    ("Apache-2.0", "4f14b6cbdd362d5a6d1023eaee7538d57a6c9271c5e1de4bdc60e02a182c0730"),
+    ("Apache-2.0", "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6"),
+    ("Apache-2.0", "7dc0ccfedfe9cf9e59c97a3e43eea7b035a0e7a7be84d714acef36eb5c9fb4bc"),
+    ("Apache-2.0", "f9138026e58bdb767e6c6e974637ff9aacbaedf2695e30fef144e5d7d84448ff"),
+    ("CC-BY-SA-4.0", "6fd32d7fe30fa66c101714769c97e3e375bdf90cc19532508e2dfb4d98a92a9d"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GPL-2.0", "0c64ee746791150d3c6210d29a2984d92afca30fa433f834ca884a3002b96384"),
+    ("GPL-2.0", "0f235ec4132d80f44b01ed351abb7f9b1c0b86cd4cc4d8532e632188d1bdfb2b"),
+    ("GPL-2.0", "167af632af808c0ecc0422c201f8e3ee3f23858845a64ea6bdbae2175bee3101"),
+    ("GPL-2.0", "46ec682e8becf1a940f25e4a762e223a9bf07dbe74bde1b6305471593dc922a0"),
+    ("GPL-2.0", "6186c2b9e1fbbfe994a454357b050eab51d49760436171460ff3d09dc6877fd1"),
+    ("GPL-2.0", "9f09905c095ca67f0f87b18b9d330d3b43cd6a75a43a0cb1a39cdbc257601443"),
+    ("GPL-2.0", "9f871ce679a9dd4c702298774a45f34fe5dda57aaa9492c1214c525d59a72b16"),
+    ("GPL-2.0", "a692f1cb3097cff45a40a996ead5dd80162238fb68187fdcd1a02eb56656e007"),
+    ("GPL-2.0", "a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0"),
+    ("GPL-2.0", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-2.0", "ebd4f0d228fbcd41efd19a83a933502ccc7f758b9c0acdf5b6400819af646b75"),
+    ("GPL-3.0", "158302bba42ffffd9ebd468b95aca480c990d662430ac44bb2edba378ebeb545"),
+    ("GPL-3.0", "42b67f6c2a10d2b6cb4c48a2c1a454953ad6d664174e0493c9d92e45feb4b408"),
+    ("GPL-3.0", "42de4913c0ec220db6e274a84efcdc7a52715762d22943334032232048072bc1"),
+    ("GPL-3.0", "4a9083dfa89bea4f460e373a4c7a4645205d5e3d3be775d544b10357e357f57b"),
+    ("GPL-3.0", "719567f94c59314608007f0c51247c578702bae1919b3a2410889832649a72d8"),
+    ("GPL-3.0", "f57dc110ec70381765c7a95b7c56af79956ff5b57624f88ae05cc8486b46813d"),
+    ("LGPL-2.1", "65484d3c9f900f96945bd4e6c5397aaa24f93bdc8f720eae06fbd377c62cfe97"),
+    ("LGPL-2.1", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", "9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+]

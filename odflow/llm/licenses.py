@@ -5,6 +5,10 @@ to single blanks within a line, equivalent spellings unified) and its SHA-256 is
 with the digests of known licences made the same way.  Two units are looked up, each as an
 entire text: the whole document, against licence texts and notices, and each of its lines,
 against notices.
+
+The whole document is also looked up without the lines of rights holders that name no year
+(``HOLDER``), and without an all-rights-reserved line that follows a holder's line.  An
+all-rights-reserved notice at the end of a holder's line counts as a line of its own.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odflow.llm._licence_texts import KNOWN
+from odflow.llm._licence_texts import FULL, KNOWN, TITLED
 
 #: Fixed values: (words that must occur, pattern, replacement) over canonical words.
 SPELLINGS: list[tuple[tuple[str, ...], str, str]] = [
@@ -26,6 +30,14 @@ SPELLINGS: list[tuple[tuple[str, ...], str, str]] = [
 ]
 #: A line that names who holds the rights: a copyright word or sign, then a year or the sign.
 COPYRIGHT = r"(?imd)^[ \t]*(copyright|\(c\)|©)[ \t]+(\(c\)|©|[0-9]{4})[^\n]*"
+#: Such a line, or one of the word "Copyright" and a name; no phrase of a licence's own text.
+HOLDER = (r"(?md)^[ \t]*(?:(?i:copyright|\(c\)|©)[ \t]+(?:(?i:\(c\))|©|[0-9]{4})|Copyright[ \t]+(?:by[ \t]+)?"
+          r"(?!(?i:licen[cs]es?|holders?|owners?|notices?|laws?|acts?|office|statements?|and|or)\b)\p{Lu})[^\n]*")
+_RESERVED = r"(?i:all rights reserved)[ \t\r.]*$"
+
+
+def _holderless(text: Column) -> Column:
+    return F.regexp_replace(text, HOLDER + rf"(?:\s+{_RESERVED})?", "")
 
 
 def canonical(text: Column) -> Column:
@@ -49,10 +61,16 @@ def canonical(text: Column) -> Column:
     return t
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str, str]] = KNOWN) -> DataFrame:
-    """licence, kind, digest of the known texts, one row for each kind and digest."""
-    rows = spark.createDataFrame(known, "licence string, kind string, text string").withColumn("t", canonical(F.col("text")))
-    return rows.groupBy("kind", _digest("t").alias("digest")).agg(F.min("licence").alias("licence"))
+def known_digests(spark: SparkSession, known: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """licence, kind, digest of the known texts, one row for each kind and digest.
+
+    Without a list all that this subpackage knows: ``KNOWN``, ``TITLED`` and ``FULL``.
+    """
+    rows = spark.createDataFrame(KNOWN + TITLED if known is None else known, "licence string, kind string, text string")
+    rows = rows.select("licence", "kind", canonical(F.col("text")).alias("t")).select("licence", "kind", _digest("t").alias("digest"))
+    if known is None:
+        rows = rows.unionByName(spark.createDataFrame([(n, "text", d) for n, d in FULL], "licence string, kind string, digest string"))
+    return rows.groupBy("kind", "digest").agg(F.min("licence").alias("licence"))
 
 
 def _digest(canonical: str) -> Column:
@@ -64,29 +82,36 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     """One row per document: id, digest, licence, notices.
 
     ``digest`` is the SHA-256 of the canonical whole text, ``licence`` the known licence or
-    notice that the whole text is (else null), ``notices`` the licences whose notices are
-    lines of the text, sorted and joined by commas (empty if none).  A null text counts as
-    empty; the empty text matches nothing.  Rows that repeat an id and a canonical text get
-    the same answer.  An empty table gives an empty result.
+    notice that the whole text is, with or without its holders' lines (else null), ``notices``
+    the licences whose notices are lines of the text or stand at the end of a holder's line,
+    sorted and joined by commas (empty if none).  A null text counts as empty; the empty text
+    matches nothing.  An empty table gives an empty result.
     """
     known = known if known is not None else known_digests(docs.sparkSession)
     lookup = (known.groupBy("digest").agg(F.min("licence").alias("found")).withColumn("whole", F.lit(True))
               .unionByName(known.where("kind = 'notice'").select("digest", F.col("licence").alias("found"),
                                                                  F.lit(False).alias("whole"))))
-    t = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("t"))
-    unit = lambda digest, whole: F.struct(digest.alias("digest"), F.lit(whole).alias("whole"))
-    # One pass over the texts: a unit for the whole and one for each line, of which only
+    text = F.col(text_col)
+    t = docs.select(F.col(id_col).alias("id"), canonical(text).alias("t"),
+                    F.when(text.rlike(HOLDER), canonical(_holderless(text))).alias("u"),
+                    F.coalesce(text.rlike(HOLDER + r"(?<=\W)" + _RESERVED), F.lit(False)).alias("reserved"))
+    unit = lambda digest, whole, row=False: F.struct(
+        digest.alias("digest"), F.lit(whole).alias("whole"), F.lit(row).alias("row"))
+    # One pass over the texts: units for the whole and one for each line, of which only
     # those that are known travel on; a document's few units are then put together again.
-    units = t.select("id", _digest("t").alias("text_digest"), "t").select(
-        "id", "text_digest", F.inline_outer(F.concat(
-            F.array(unit(F.col("text_digest"), True)),
+    keys = ["id", "text_digest", "bare_digest", "reserved"]
+    units = t.select("id", _digest("t").alias("text_digest"), _digest("u").alias("bare_digest"), "reserved", "t").select(
+        *keys, F.inline_outer(F.concat(
+            F.array(unit(F.col("text_digest"), True, True)),
+            F.when(F.col("bare_digest") != F.col("text_digest"), F.array(unit(F.col("bare_digest"), True))).otherwise(F.array()),
+            F.when(F.col("reserved"), F.array(unit(F.sha2(F.lit("all rights reserved"), 256), False))).otherwise(F.array()),
             F.transform(F.split("t", "\n"), lambda x: unit(F.sha2(x, 256), False)))))
     one = F.col("whole")
-    docs = (units.join(lookup, ["digest", "whole"], "left").where(one | F.col("found").isNotNull())
-            .groupBy("id", "text_digest")
+    docs = (units.join(lookup, ["digest", "whole"], "left").where(F.col("row") | F.col("found").isNotNull())
+            .groupBy(*keys)
             .agg(F.min(F.when(one, F.col("found"))).alias("licence"),
                  F.array_join(F.array_sort(F.collect_set(F.when(~one, F.col("found")))), ",").alias("notices"),
-                 F.sum(one.cast("int")).alias("rows")))
+                 F.sum(F.col("row").cast("int")).alias("rows")))
     # As many rows as came in with this id and text.
     return (docs.select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))))
             .select(F.col("id").alias(id_col), F.col("text_digest").alias("digest"), "licence", "notices"))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -42,6 +43,40 @@ def test_known_texts_are_found_by_their_own_digest(spark, docs):
     assert got == {i: KNOWN[i][0] for i in got}
 
 
+def test_published_forms_and_holders_lines(docs):
+    body = {n: t for n, k, t in KNOWN if k == "text"}
+    rows = [("BSD-3-Clause", "all-rights-reserved", "BSD 3-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n" + body["BSD-3-Clause"]),
+            ("BSD-2-Clause", "all-rights-reserved", "Copyright (c) 2020, Some One\r\nCopyright (c) 2021 An Other\r\nAll rights reserved.\r\n" + body["BSD-2-Clause"]),
+            ("BSD-3-Clause", "all-rights-reserved", "Copyright (c) The Regents.\nAll rights reserved.\n\n" + body["BSD-3-Clause"]),
+            ("ISC", "", "ISC License\n\nCopyright (c) Isaac, 2022\n\n" + body["ISC"]),
+            ("ISC", "", "The ISC License\n\nCopyright Isaac and Contributors\n\n" + body["ISC"].replace("and/or", "and")),
+            ("0BSD", "", "BSD Zero Clause License\n\n" + body["0BSD"]),
+            ("MIT", "", "The MIT License (MIT)\n\nCopyright (c) 2014 X\n\n" + body["MIT"]),
+            ("MIT", "all-rights-reserved", "Copyright Node.js contributors. All rights reserved.\n\n" + body["MIT"]),
+            (None, "all-rights-reserved", "Prose.\nCopyright (c) 2020 X. All rights reserved.\nMore prose."),
+            (None, "", "Copyright (c) 2020 X. All rights reserved by X.\nMore prose."),
+            (None, "", "Copyright Notice\n" + body["MIT"]), (None, "", "Copyright laws apply.\n" + body["ISC"]),
+            (None, "", "Copyright 2020 X"), (None, "", body["ISC"] + "\nand one more line")]
+    # Rows that repeat an id and a digest keep their own answers.
+    rows += [("MIT", "", body["MIT"]), ("MIT", "all-rights-reserved", "(c) 2020 X. All rights reserved.\n" + body["MIT"])]
+    found = scan_licenses(docs([(min(i, 14), t) for i, (_, _, t) in enumerate(rows)])).collect()
+    assert sorted(((r.doc_id, r.licence, r.notices) for r in found), key=repr) == \
+        sorted(((min(i, 14), w, n) for i, (w, n, _) in enumerate(rows)), key=repr)
+
+
+PUBLISHED = [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"),
+             ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")]
+
+
+def test_full_texts_as_published(docs):
+    folder = Path("/usr/share/common-licenses")
+    texts = [(i, (folder / f).read_text()) for i, (f, _) in enumerate(PUBLISHED) if (folder / f).exists()]
+    if not texts:
+        pytest.skip("no licence texts on this machine")
+    got = {r.doc_id: r.licence for r in scan_licenses(docs([*texts, *[(100 + i, t + "\nmore") for i, t in texts]])).collect()}
+    assert got == {i: PUBLISHED[i][1] if i < 100 else None for i in got}
+
+
 def test_licences_and_mixing_are_native(docs):
     rows = docs([(1, "a"), (2, "b")])
     for df in (scan_licenses(rows), mix(rows)):
