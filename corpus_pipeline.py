@@ -47,8 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard manifest: 16 shards of near equal bytes."""
-    return shard_documents(docs, SHARDS)
+    """The shard manifest: 16 shards of near equal bytes, each in the order of the mix."""
+    return shard_documents(docs, SHARDS, order_seed="mix")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near), ("decontaminate", drop_leaks),

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odflow.llm._store import written
+from odflow.llm.mixing import hashed_bits
 
 CHUNK, BUNDLES, TOP = 16384, 64, 24576
 #: Items above 1/LARGE of all bytes go straight to the last level; there are fewer than LARGE.
@@ -110,14 +111,16 @@ def balanced(items: DataFrame, shards: int) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", order_seed: str | None = None) -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard.
 
     ``size`` is the text's UTF-8 bytes plus 1.  Equal texts are one indivisible group; a null
     text counts as empty, so null and empty texts are one group.  The law is ``bytes``: the
     shards' total sizes are as near equal as differencing makes them.  ``slot`` numbers a
     shard's documents from 0 without gaps, in an order fixed by id and text; rows that repeat
-    id and text take neighbouring slots, a null id comes first of its block.  ``grown_shard``
+    id and text take neighbouring slots, a null id comes first of its block.  With ``order_seed``
+    a shard's slots follow the order that ``mixing.mix`` gives under that seed, a hash of (seed,
+    id, copy), rows that repeat id and text being the copies.  ``grown_shard``
     is null: under this law one more shard moves documents freely.  An empty table gives an
     empty result.
     """
@@ -130,14 +133,19 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id",
     # Slots: rows are dealt by hash into blocks of bounded size, numbered inside a block, and
     # moved up by the rows of the shard's blocks before it.
     blocks = -(-max(1, rows.count()) // SLOT_ROWS)
-    block = F.pmod(F.xxhash64("id", "item", F.lit(3)), F.lit(blocks))
+    block, order = F.pmod(F.xxhash64("id", "item", F.lit(3)), F.lit(blocks)), "id, item"
+    if order_seed is not None:
+        out = (out.withColumn("copy", F.expr("row_number() OVER (PARTITION BY id, item ORDER BY crc) - 1"))
+               .withColumn("place", hashed_bits(order_seed, "order", F.coalesce(F.col("id").cast("string"), F.lit("")),
+                                                F.col("copy").cast("string"))))
+        block, order = F.floor(F.col("place") / F.lit(float(1 << 52)) * blocks), "place, id, item"
     out = written(out.withColumn("block", block), "blocks")
     sizes = out.groupBy("shard", "block").agg(F.count("*").alias("m"))
     before = sizes.select("shard", "block", F.expr(
         "sum(m) OVER (PARTITION BY shard ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
         .alias("offset"))
     return (out.join(written(before, "offsets"), ["shard", "block"])
-            .withColumn("i", F.expr("row_number() OVER (PARTITION BY shard, block ORDER BY id, item) - 1"))
+            .withColumn("i", F.expr(f"row_number() OVER (PARTITION BY shard, block ORDER BY {order}) - 1"))
             .select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
                     "shard", (F.coalesce("offset", F.lit(0)) + F.col("i")).cast("bigint").alias("slot"),
                     F.lit(None).cast("int").alias("grown_shard")))

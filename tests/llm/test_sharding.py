@@ -63,3 +63,26 @@ def test_levels_agree_with_one_heap(docs, monkeypatch):
 def test_empty_and_single(docs):
     assert shard_documents(docs([])).count() == 0
     assert check([(1, "a")], shard_documents(docs([(1, "a")])), 16).sum() == 2
+
+
+def test_slots_follow_the_mix(spark, docs, monkeypatch):
+    """Copies of one document lie apart: a shard's slots are in the order that mix gave."""
+    from odflow.llm.mixing import mix
+
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 50)
+    rows = docs([(i, f"text {i}") for i in range(40)], source="small").unionByName(
+        docs([(1000 + i, "word " * (i % 7)) for i in range(400)], source="big"))
+    mixed = mix(rows, weights={"small": 5.0, "big": 1.0})
+    order = {}
+    for r in mixed.collect():
+        order.setdefault((r.doc_id, zlib.crc32(r.text.encode())), []).append(r["__order"])
+    out = shard_documents(mixed.drop("__copy", "__order"), 2, order_seed="mix").orderBy("shard", "slot").collect()
+    assert len(out) == sum(map(len, order.values()))
+    neighbours = 0
+    for s in range(2):
+        mine = [r for r in out if r.shard == s]
+        assert [r.slot for r in mine] == list(range(len(mine)))
+        want = sorted((o, k) for k in {(r.doc_id, r.text_crc32) for r in mine} for o in order[k])
+        assert [(r.doc_id, r.text_crc32) for r in mine] == [k for _, k in want]
+        neighbours += sum(a.doc_id == b.doc_id for a, b in zip(mine, mine[1:]))
+    assert neighbours < len(out) / 5
