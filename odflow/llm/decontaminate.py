@@ -23,7 +23,9 @@ segment scores.  Its own segments, weighed with the words' weights in all segmen
 BM25 units too: a side that stands verbatim in a text scores 1.
 
 The index holds at most about ``ITEMS`` items or ``INDEX_BYTES`` bytes of item text; a larger
-benchmark is taken in blocks of that size, with one pass over the texts for each.
+benchmark is taken in blocks of that size, with one pass over the texts for each.  The words'
+segment counts and the mean segment length are those of the whole benchmark in every block, so
+scores do not depend on the blocks.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odflow.llm import _words
+from odflow.llm._store import written
 
 SEGMENT, BLOCK = 128, 16
 ITEMS, INDEX_BYTES = 2048, 4 << 20
@@ -75,9 +78,13 @@ def _shingle_sets(texts: list[str]) -> list[tuple[int, np.ndarray]]:
 
 
 class Index:
-    """Block-max BM25 index of (item id, lower-cased text) pairs."""
+    """Block-max BM25 index of (item id, lower-cased text) pairs.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    ``whole`` has the statistics of a larger benchmark: segments, their mean length, sorted
+    word hashes that hold those of the items, and the segments that hold each.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, float, np.ndarray, np.ndarray] | None = None):
         self.ids = [i for i, _ in items]
         parts = [question_and_answer(t) for _, t in items]
         self.shingles = list(zip(_shingle_sets([t for _, t in items]), _shingle_sets([q for q, _ in parts]),
@@ -107,8 +114,11 @@ class Index:
         term, seg, tf = map(np.concatenate, (term, seg, tf))
         length = np.array([len(s) for s in segments], dtype=float)
         df = np.bincount(term, minlength=len(self.vocabulary))
-        idf = np.log1p((len(segments) - df + 0.5) / (df + 0.5))
-        mean = max(length.mean(), 1) if len(length) else 1
+        count, mean = len(segments), max(length.mean(), 1) if len(length) else 1
+        if whole is not None:
+            count, mean, known, of_all = whole
+            df = of_all[np.searchsorted(known, self.vocabulary)]
+        idf = np.log1p((count - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length / mean)
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[seg])
         own = np.bincount(seg, weight, minlength=len(segments))
@@ -275,15 +285,42 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str):
+def _segment_words(batches):
+    """(block, word, segments with it) of each item, and its (block, null, segments, words)."""
+    for batch in batches:
+        words, first = _hash_texts(batch.column(1).to_pylist())
+        for block, a, b in zip(batch.column(0).to_pylist(), first[:-1], first[1:]):
+            cut = _cut(words[a:b])
+            word, n = np.unique(np.concatenate([np.zeros(0, _words.U), *map(np.unique, cut)]), return_counts=True)
+            m = len(word)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(m + 1, block)), pa.array([*word.view(np.int64).tolist(), None], pa.int64()),
+                 pa.array([*n.tolist(), len(cut)], pa.int64()), pa.array([0] * m + [int(b - a)], pa.int64())],
+                names=["b", "w", "n", "words"])
+
+
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, with_ids: bool = True):
     """Broadcast indexes over blocks of the benchmark of bounded size."""
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.lower(text_col).alias("t")) \
-        .where("i IS NOT NULL AND t IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("i") if with_ids else F.lit(0).cast("bigint").alias("i"),
+                             F.lower(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     blocks = max(1, -(-n // ITEMS), -(-size // INDEX_BYTES))
+    items = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("bigint"))
+    whole = None
+    if blocks > 1:
+        per = written(items.select("b", "t").mapInArrow(_segment_words, "b bigint, w bigint, n bigint, words bigint")
+                      .groupBy("b", "w").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "item-words")
+        count, length = per.where("w IS NULL").agg(F.sum("n"), F.sum("words")).first()
+        words = per.where("w IS NOT NULL")
+        words = written(words.select("b", "w").join(words.groupBy("w").agg(F.sum("n").alias("n")), "w"), "item-words")
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index(sorted((r[0], r[1]) for r in rows)))
+        rows = items.where(F.col("b") == b).select("i", "t").collect()
+        if blocks > 1:
+            table = words.where(F.col("b") == b).select("w", "n").toArrow()
+            known = table["w"].to_numpy().view(_words.U)
+            by = np.argsort(known)
+            whole = count, max(length / max(count, 1), 1), known[by], table["n"].to_numpy()[by]
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(sorted((r[0], r[1]) for r in rows), whole))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -318,9 +355,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the texts that leak an item; each row is judged where it lies."""
+    """``docs`` without the texts that leak an item; each row is judged where it lies.
+
+    Items count whether they have an id or not.
+    """
     out = docs
-    for shared in _indexes(benchmark, item_col, item_text_col):
+    for shared in _indexes(benchmark, item_col, item_text_col, with_ids=False):
         names = out.columns
 
         def run(batches, shared=shared, names=names):

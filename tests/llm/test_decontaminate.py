@@ -95,6 +95,25 @@ def test_benchmark_in_blocks_gives_the_same(spark, docs, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in d.find_leaks(docs(rows), bench).collect()} >= want
 
 
+def test_scores_do_not_depend_on_the_blocks(spark, docs, monkeypatch):
+    items, rows, _ = corpus(3)
+    rows += [(100 + i, " ".join(t.split()[:max(1, 2 * len(t.split()) // 3)])) for i, t in items]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = lambda: sorted(tuple(r) for r in d.find_leaks(docs(rows), bench).collect())
+    whole = found()
+    monkeypatch.setattr(d, "ITEMS", 9)
+    blocks = found()
+    assert [r[:2] for r in blocks] == [r[:2] for r in whole]
+    assert np.allclose(np.array(blocks, float), np.array(whole, float), atol=2e-6) and any(r[2] < 0.99 for r in whole)
+
+
+def test_items_without_id_are_filtered(spark, docs):
+    item = "what is the largest planet of our solar system.\nthe largest planet is jupiter with many moons"
+    bench = spark.createDataFrame([(None, item), (2, "an other item of some words.")], "item_id bigint, text string")
+    rows = [(1, "so " + item), (2, "clean text"), (None, "an other item of some words")]
+    assert [r.doc_id for r in d.decontaminate(docs(rows), bench).collect()] == [2]
+
+
 def test_question_or_answer_alone(spark, docs):
     """Every side of 13 words or more is found alone, however little its item's segment it weighs."""
     rng = random.Random(5)
