@@ -14,6 +14,7 @@ from odflow.llm.decontaminate import find_leaks
 from odflow.llm.exact_dedup import exact_duplicates
 from odflow.llm.mixing import mix
 from odflow.llm.near_dedup import near_duplicates
+from odflow.llm.periodic_runs import periodic_runs
 from odflow.llm.sharding import shard_documents
 from odflow.llm.url_filter import filter_urls
 
@@ -205,3 +206,66 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (toxicity.score_toxicity(docs, model)
             .select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
                     (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "rejected"))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document, by a hash of its id, repeats from some word on.
+
+    With h = crc32(doc_id), g = h / 10 and n words, where 10 divides h each word i >= a becomes
+    word a + (i - a) % p, with a = g % n and p = 1 + (n - a) / (3 + g % 8).
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n = F.size("w")
+    a = (F.col("g") % n).cast("int")
+    p = (F.floor((n - a) / (3 + F.col("g") % 8)) + 1).cast("int")
+    often = F.ceil((n - a) / p).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", a + 1, p), often)), F.lit(1), n - a)
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), a), again), " ")
+    return rows.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+#: Unsigned crc32 of a decimal number; the constants are the checksum's fixed values.
+_CRC32_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(range(1, length({x}) + 1), lambda k: ascii(substr({x}, k, 1))::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+_OP11_SQL = rf"""
+WITH word AS (
+  SELECT doc_id, coalesce(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) AS w,
+    {_CRC32_SQL.format(x="CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+part AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 AND h % 10 = 0 THEN (h // 10) % len(w) END AS a FROM word),
+said AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_concat(w[1:a], list_transform(range(0, n - a),
+    lambda i: w[a + i % (1 + (n - a) // (3 + (h // 10) % 8)) + 1])) END AS w FROM part),
+five AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 5], ' ') AS k FROM said, unnest(range(0, n - 4)) u(i)),
+same AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM five a JOIN five b
+  ON a.doc_id = b.doc_id AND a.k = b.k AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+stretch AS (SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 5 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same) GROUP BY doc_id, q, island),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+per AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+  FROM run GROUP BY doc_id),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, i FROM run, unnest(range(start + period, start + length)) u(i)),
+left_ AS (SELECT s.doc_id, string_agg(w[u.i + 1], ' ' ORDER BY u.i) AS t FROM said s, unnest(range(0, n)) u(i)
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = s.doc_id AND g.i = u.i) GROUP BY s.doc_id)
+SELECT s.doc_id, coalesce(p.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+  sha256(coalesce(p.runs, '')) AS runs_sha256, sha256(coalesce(l.t, '')) AS collapsed_sha256
+FROM said s LEFT JOIN per p USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN left_ l USING (doc_id)
+"""
+
+
+@_query("op11_periodic_runs", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word runs of every document, the longest one, and the text without their repeats."""
+    found = periodic_runs(planted_runs(_table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"], r["period"])))
+    found = found.withColumn("best", best)
+    length, period = -F.col("best.less"), F.col("best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"),
+        length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
