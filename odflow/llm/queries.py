@@ -12,6 +12,7 @@ from odflow.llm._licence_texts import KNOWN
 from odflow.llm.chat import repair_chats
 from odflow.llm.decontaminate import find_leaks
 from odflow.llm.exact_dedup import exact_duplicates
+from odflow.llm.fingerprints import edited_fingerprints
 from odflow.llm.mixing import mix
 from odflow.llm.near_dedup import near_duplicates
 from odflow.llm.periodic_runs import periodic_runs
@@ -269,3 +270,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
         F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@_query("op13_fingerprints")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how like they are."""
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
