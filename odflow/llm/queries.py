@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odflow.llm import licenses, toxicity, warc
+from odflow.llm import licenses, merkle, toxicity, warc
 from odflow.llm._licence_texts import KNOWN
 from odflow.llm.chat import repair_chats
 from odflow.llm.decontaminate import find_leaks
@@ -272,6 +272,66 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _leaf_sql(text: str) -> str:
+    value = [text if c == "text" else f"CAST({c} AS VARCHAR)" for c in _FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in value) + ")"
+
+
+_OP12_SQL = f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, source, {_leaf_sql('text')} AS leaf,
+    CASE WHEN {_CRC32_SQL.format(x="CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql('text')} END AS other,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents),
+tree AS (
+  SELECT 0 AS l, source, pos, n, leaf AS digest FROM leaf
+  UNION ALL SELECT l + 1, source, pos // 3, any_value((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY pos))
+  FROM tree WHERE n > 1 GROUP BY l, source, pos // 3),
+sub AS (SELECT source, l AS height, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos,
+  count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS l, pos, n, subroot AS digest FROM sub
+  UNION ALL SELECT l + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY l, pos // 3),
+step AS (
+  SELECT a.l, a.source, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+    coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM tree a JOIN tree b ON a.l = b.l AND a.source IS NOT DISTINCT FROM b.source AND a.pos // 3 = b.pos // 3
+  WHERE a.n > 1 GROUP BY a.l, a.source, a.pos),
+top_step AS (
+  SELECT a.l, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+    coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM top a JOIN top b ON a.l = b.l AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.l, a.pos),
+path AS (
+  SELECT f.doc_id, s.l, before, after FROM leaf f JOIN step s ON f.source IS NOT DISTINCT FROM s.source AND s.pos = f.pos // CAST(pow(3, s.l) AS BIGINT)
+  UNION ALL SELECT f.doc_id, u.height + t.l, before, after FROM leaf f JOIN sub u ON f.source IS NOT DISTINCT FROM u.source
+  JOIN top_step t ON t.pos = u.pos // CAST(pow(3, t.l) AS BIGINT)),
+fold AS (
+  SELECT doc_id, 0 AS l, other AS h FROM leaf
+  UNION ALL SELECT f.doc_id, f.l + 1, sha256(p.before || f.h || p.after) FROM fold f JOIN path p ON p.doc_id = f.doc_id AND p.l = f.l),
+proof AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY l)) AS proof FROM path GROUP BY doc_id),
+ended AS (SELECT doc_id, arg_max(h, l) AS folded_root FROM fold GROUP BY doc_id)
+SELECT f.doc_id, f.leaf, u.subroot, r.digest AS root, coalesce(p.proof, sha256('')) AS proof_sha256, e.folded_root,
+  e.folded_root = r.digest AS verified
+FROM leaf f JOIN sub u ON f.source IS NOT DISTINCT FROM u.source JOIN ended e USING (doc_id) LEFT JOIN proof p USING (doc_id),
+  (SELECT digest FROM top WHERE n = 1) r
+"""
+
+
+@_query("op12_merkle", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents, with every second row, by a hash, tampered and checked."""
+    docs = _table(spark, sf_dir, "documents")
+    other = merkle.leaf_digest([F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else c for c in _FIELDS])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, other)
+    leaves = docs.select("doc_id", "source", merkle.leaf_digest(_FIELDS).alias("leaf"), tampered.alias("tampered"))
+    out = merkle.manifest(leaves, keep=("tampered",))
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), "witness")
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest("witness").alias("proof_sha256"),
+                      folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 @_query("op13_fingerprints")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how like they are."""
