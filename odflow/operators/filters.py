@@ -58,6 +58,19 @@ def select_zones(df: DataFrame, ids: Sequence, exclude_self: bool = False,
     return out
 
 
+def select_zones_in(df: DataFrame, selected: DataFrame, exclude_self: bool = False, orig: str = "orig",
+                    dest: str = "dest", zone: str = "zone_id") -> DataFrame:
+    """Origin in a table of selected zones; optionally destination not in it (F7 as a relation).
+
+    Two joins, ``left_semi`` and ``left_anti``, against the distinct zones: a selection of any
+    length, and where the fact is partitioned by the origin the planner prunes its partitions
+    by the selection at run time.  A missing destination is not in the selection.
+    """
+    ids = selected.select(F.col(zone).alias("_zone")).where("_zone IS NOT NULL").distinct()
+    out = df.join(ids, F.col(orig) == F.col("_zone"), "left_semi")
+    return out.join(ids, F.col(dest) == F.col("_zone"), "left_anti") if exclude_self else out
+
+
 def filter_day_parts(df: DataFrame, parts: Sequence[str], day_type: str,
                      all_day: str = "0", part_col: str = "day_part",
                      type_col: str = "day_type") -> DataFrame:

@@ -16,7 +16,7 @@ from odflow.functions.geo import great_circle_params, great_circle_point, great_
 from odflow.functions.text import flow_label
 from odflow.functions.weights import na_sum, weight_col
 from odflow.operators._broadcast import materialize, one_row
-from odflow.operators.filters import complete, filter_in
+from odflow.operators.filters import complete, filter_in, select_zones_in
 from odflow.operators.quantile import exact_quantiles
 
 OD_PAIRS = (("orig", "dest"), ("orig_lat", "dest_lat"), ("orig_lon", "dest_lon"))
@@ -88,11 +88,14 @@ def intensity(df: DataFrame, col: str = "colN", out: str = "intensity") -> DataF
 
 def od_flows(zone_trips: DataFrame, direction: str = "orig",
              filters: Mapping[str, Sequence | None] | None = None,
-             selection: Sequence | None = None, linked: bool = False, min_n: float = 0,
+             selection: Sequence | DataFrame | None = None, linked: bool = False, min_n: float = 0,
              exclude_self: bool = False, p: float = 0.95, w: str = "w", m: str = "m"
              ) -> DataFrame:
     """Weighted flows between zone pairs with a capped value (A2).
 
+    ``selection`` is a list of zone ids, or a table with a ``zone_id`` column (a selection of
+    any length, matched by joins).
+
     direction -> filters -> selection (origin in it; optionally destination not in it) ->
     ``N = na_sum(weight)`` per (orig, point, dest, point) -> ``N >= min_n`` -> complete
     cases -> ``colN`` capped at the p-quantile of ``N``.
@@ -101,7 +104,10 @@ def od_flows(zone_trips: DataFrame, direction: str = "orig",
     contribute when one of its ends is selected), which keeps the doubled stream small.
     """
     t = filter_in(zone_trips, filters)
-    if selection is not None:
+    if isinstance(selection, DataFrame):
+        t = orient(t.select(*FLOW_KEYS, weight_col(linked, w, m).alias("_wt")), direction)
+        t, selection = select_zones_in(t, selection, exclude_self), None
+    elif selection is not None:
         sel = list(selection)
         if direction == "both":
             t = t.where(F.col("orig").isin(sel) | F.col("dest").isin(sel))
@@ -109,7 +115,8 @@ def od_flows(zone_trips: DataFrame, direction: str = "orig",
             t = t.where(F.col("dest").isin(sel))
         else:
             t = t.where(F.col("orig").isin(sel))
-    t = orient(t.select(*FLOW_KEYS, weight_col(linked, w, m).alias("_wt")), direction)
+    if "_wt" not in t.columns:
+        t = orient(t.select(*FLOW_KEYS, weight_col(linked, w, m).alias("_wt")), direction)
     if selection is not None:
         t = t.where(F.col("orig").isin(sel))
         if exclude_self:

@@ -26,14 +26,14 @@ def attach_route_type(trips: DataFrame, classes: DataFrame, route_text: str = "R
     """Route number from the route text and its class by a numeric lookup.
 
     The route is the first token of the text; its tolerant numeric cast is the key of a
-    left lookup into the class table.  Routes without a number get a key of their own by
-    hash, which no class has, so they do not meet under one NULL key.  Named lines listed in ``named``
+    left lookup into the class table.  Routes without a number get a key by a hash of
+    their text, which no class has, so different ones do not meet under one NULL key.  Named lines listed in ``named``
     take their own name as class, ``renamed`` maps further routes to fixed classes; later
     rules win, as in the reference.
     """
     t = trips.withColumn(route_out, first_token(route_text)) \
         .withColumn("_rkey", F.struct(to_number(route_out).alias("n"), F.when(
-            to_number(route_out).isNull(), F.coalesce(F.xxhash64(*trips.columns), F.lit(0))).alias("h")))
+            to_number(route_out).isNull(), F.xxhash64(route_text)).alias("h")))
     # Struct keys compare NULL fields as equal: a class never has a hash, a nameless route has no number.
     c = classes.where(F.col(class_key).isNotNull()).select(
         F.struct(F.col(class_key).cast("double").alias("n"), F.lit(None).cast("bigint").alias("h")).alias("_rkey"),

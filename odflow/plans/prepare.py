@@ -6,28 +6,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from odflow.operators._broadcast import materialize
-from odflow.operators.locate import cell_index, cell_size, locate
+from odflow.operators.locate import LayerIndex, cell_index, locate
 
 
 def zone_trips(trips: DataFrame, layer: DataFrame, o_lon: str = "o_lon", o_lat: str = "o_lat",
                d_lon: str = "d_lon", d_lat: str = "d_lat", keep: Sequence[str] | None = None,
-               cell: float | None = None) -> DataFrame:
+               index: LayerIndex | None = None) -> DataFrame:
     """Locate both ends of every trip in a zone layer (Q10 = J8 twice + J7).
 
     Output: ``keep`` columns plus ``orig, orig_lon, orig_lat, dest, dest_lon, dest_lat`` where
     the points are the zones' points (``cx``, ``cy`` of the layer) carried by the lookup
     itself, so no separate centroid join is needed.  Ends outside every zone keep NULLs.
-    Both lookups probe the same written grid index.
+    Both lookups probe the same written index (``index``, where the caller has one of the
+    layer with ``cx`` and ``cy``).
     """
-    if cell is None:
-        cell = cell_size(layer)
     t = trips if keep is None else trips.select(*dict.fromkeys([*keep, o_lon, o_lat, d_lon, d_lat]))
-    index = materialize(cell_index(layer, cell, {"cx": "cx", "cy": "cy"}))  # probed twice
+    index = index or cell_index(layer, carry=["cx", "cy"])  # probed twice
     t = locate(t, layer, o_lon, o_lat, out="orig", carry={"cx": "orig_lon", "cy": "orig_lat"},
-               keep_unmatched=True, cell=cell, index=index)
+               keep_unmatched=True, index=index, spread=[d_lon, d_lat])
     t = locate(t, layer, d_lon, d_lat, out="dest", carry={"cx": "dest_lon", "cy": "dest_lat"},
-               keep_unmatched=True, cell=cell, index=index)
+               keep_unmatched=True, index=index, spread=[o_lon, o_lat])
     if keep is not None:
         drop = [c for c in (o_lon, o_lat, d_lon, d_lat) if c not in keep]
         t = t.drop(*drop)

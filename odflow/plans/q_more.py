@@ -7,21 +7,23 @@ import uuid
 from pyspark.sql import functions as F
 
 from odflow.functions.text import percent_text, thousands
+from odflow.operators._broadcast import materialize
 from odflow.operators.clean import apply_overrides, cols_between, cols_like, direction_of, map_cols
 from odflow.operators.codebook import apply_codebook, infer_domain, order_by_levels
 from odflow.operators.crosstab import add_share, crosstab
 from odflow.operators.density import by_role, point_density, point_listing
 from odflow.operators.filters import filter_in
-from odflow.operators.flows import flow_lines
+from odflow.operators.flows import flow_lines, od_flows
 from odflow.operators.geometry_layer import layer_from_vertices, zone_centroids
 from odflow.operators.joins import records_in
 from odflow.operators.lines import points_to_line, route_map
-from odflow.operators.locate import locate, zone_at
+from odflow.operators.locate import locate, located_in, zone_at
 from odflow.operators.segments import at_nodes, at_seqs, attach_segments, band, classify_stops, on_off
 from odflow.operators.selection import box_flows, individual_lines, individual_trips
 from odflow.plans import oracle as O
 from odflow.plans import q_flows, q_spatial
 from odflow.plans.catalog import layer, register, rsql, trips
+from odflow.plans.prepare import zone_trips
 from odflow.session import shared_dir
 from odflow.sources import views as V
 from odflow.sources.io import export, load_prepared, read_stop_sequence, read_table, read_zones, write_prepared
@@ -193,8 +195,27 @@ SELECT {KEY_SQL}, o.zone AS zone_id FROM trip t JOIN o_in o ON o.lon = t.o_lon A
 def q_clicked_zone(spark, sf_dir):
     """Trips that start in the zone under a clicked point."""
     lay = layer(spark, sf_dir)
-    t = locate(trips(spark, sf_dir).select(*KEY, "o_lon", "o_lat"), lay, "o_lon", "o_lat")
-    return t.join(zone_at(spark, -93.35, 44.94, lay), "zone_id", "left_semi").select(*KEY, "zone_id")
+    t = trips(spark, sf_dir).select(*KEY, "o_lon", "o_lat")
+    clicked = materialize(zone_at(spark, -93.35, 44.94, lay))
+    return located_in(t, lay, clicked, "o_lon", "o_lat").select(*KEY, "zone_id")
+
+
+@register("od_flows_relation", f"""{O.views('trip', 'zone_edge')},
+{O.zone_trips_ctes(O.TRIP_KEY + ['w', 'm'])},
+sel AS (SELECT DISTINCT n_nationkey AS zone FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%'),
+g AS (SELECT orig, orig_lat, orig_lon, dest, dest_lat, dest_lon, CASE WHEN COUNT(w) = COUNT(*) THEN SUM(w) END AS N
+  FROM zone_trips WHERE orig IN (SELECT zone FROM sel) AND dest NOT IN (SELECT zone FROM sel) GROUP BY ALL),
+f AS (SELECT * FROM g WHERE N IS NOT NULL),
+q AS (SELECT quantile_cont(N, 0.95) AS q FROM f)
+SELECT orig, {rsql('orig_lat')}, {rsql('orig_lon')}, dest, {rsql('dest_lat')}, {rsql('dest_lon')}, {rsql('N')},
+  {rsql('CASE WHEN N >= q THEN q ELSE N END', 'colN')} FROM f CROSS JOIN q""")
+def q_od_flows_relation(spark, sf_dir):
+    """Flows out of the zones that another query selects, destinations outside them (F7, Q3 with a table of zones)."""
+    nation = V.driver_table(spark, sf_dir, "nation")
+    region = V.driver_table(spark, sf_dir, "region").where(F.col("r_name").startswith("A"))
+    sel = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_nationkey").alias("zone_id"))
+    zt = zone_trips(trips(spark, sf_dir), layer(spark, sf_dir), keep=["w", "m"])
+    return od_flows(zt, "orig", selection=sel, exclude_self=True)
 
 
 # ---------------------------------------------------------------- cleaning and domains

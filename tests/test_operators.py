@@ -155,7 +155,7 @@ def test_overlapping_boxes_count_once_per_box(spark):  # C7
 def test_full_cells_skip_ring_but_stay_exact(spark):
     from odflow.operators.locate import cell_index
     lay = _square_layer(spark, {1: (0, 0, 4), 2: (4, 0, 4)})
-    idx = cell_index(lay, 0.5).select(F.explode("_cands").alias("z"))
+    idx = cell_index(lay, 0.5).leaves.select(F.explode("_cands").alias("z"))
     stats = idx.agg(F.sum(F.col("z.full").cast("int")).alias("full"), F.count("*").alias("n")).first()
     assert stats.full > 0 and stats.full < stats.n
     rnd = random.Random(11)
