@@ -78,3 +78,28 @@ def smoothed_density(trips: DataFrame, lon: str, lat: str, routes: Sequence | No
         (F.col("gx") + F.col("_k.dx")).alias("gx"), (F.col("gy") + F.col("_k.dy")).alias("gy"),
         (F.col("n") * F.col("_k.k")).alias("w"))
     return spread.groupBy("gx", "gy").agg(F.sum("w").alias("density"))
+
+
+def cluster_pyramid(points: DataFrame, lon: str, lat: str, zooms: tuple[int, int], routes: Sequence | None = None,
+                    route_col: str = "route") -> DataFrame:
+    """Clusters of every zoom of a range from one pass over the points.
+
+    Zoom z divides 360 x 360 degrees into 2^z x 2^z cells, so a cell's four parts are the cells
+    of the next zoom.  Points are counted and summed once, in the finest cells; every coarser
+    zoom is rolled up from those, by the digits of the cell numbers.  Rows: ``zoom, gx, gy`` with
+    the cluster they open into one zoom out (``parent_gx, parent_gy``; null at the first zoom),
+    the count ``n`` and the mean point ``lon, lat``.  Counts and sums merge exactly by zoom, and
+    a crowded cell is combined in every task before the shuffle.
+    """
+    low, high = zooms
+    t = points if routes is None or "All" in routes else points.where(F.col(route_col).isin(list(routes)))
+    cell = 360.0 / (1 << high)
+    finest = has_point(t, lon, lat).groupBy(
+        F.floor((F.col(lon) + 180.0) / F.lit(cell)).alias("gx"), F.floor((F.col(lat) + 180.0) / F.lit(cell)).alias("gy")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(lon).alias("sx"), F.sum(lat).alias("sy"))
+    every = finest.select("*", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("zoom")).select(
+        "zoom", F.expr(f"shiftright(gx, {high} - zoom)").alias("gx"), F.expr(f"shiftright(gy, {high} - zoom)").alias("gy"), "n", "sx", "sy")
+    g = every.groupBy("zoom", "gx", "gy").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy")])
+    up = lambda c: F.when(F.col("zoom") > low, F.shiftright(c, 1))
+    return g.select("zoom", "gx", "gy", up("gx").alias("parent_gx"), up("gy").alias("parent_gy"), "n",
+                    (F.col("sx") / F.col("n")).alias("lon"), (F.col("sy") / F.col("n")).alias("lat"))

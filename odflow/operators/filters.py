@@ -104,3 +104,29 @@ def options(df: DataFrame, var: str, prior_filters: Mapping[str, Sequence | None
     if levels is not None:
         return d.withColumn("ord", level_ord("value", levels)).where(F.col("ord").isNotNull()).orderBy("ord")
     return d.orderBy("value")
+
+
+def options_all(df: DataFrame, cascade: Sequence[tuple[str, Sequence | None]],
+                levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """All lists of a cascade from one scan (F12, A16): ``step, variable, value, ord, n``.
+
+    ``cascade`` gives the variables in order, each with what is chosen of it (``None``: no
+    choice yet).  The list of step k holds the non-null values under the choices of all earlier
+    steps.  A row belongs to the lists up to the first filter it fails, so its position says
+    which it feeds, and one aggregate over (step, value) answers every list.  Values are text;
+    with ``levels`` values outside a variable's domain are no choices and ``ord`` is their
+    place in it.  ``n`` is the number of rows behind a choice.
+    """
+    first = F.lit(len(cascade))
+    for k, (var, chosen) in reversed(list(enumerate(cascade))):
+        if chosen is not None:
+            first = F.when(F.coalesce(F.col(var).isin(list(chosen)), F.lit(False)), first).otherwise(F.lit(k))
+    each = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(var).alias("variable"), F.col(var).cast("string").alias("value"))
+                     for k, (var, _) in enumerate(cascade)])
+    rows = df.select(F.inline(F.filter(each, lambda e: (e["step"] <= first) & e["value"].isNotNull())))
+    found = rows.groupBy("step", "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    place = F.lit(None).cast("int")
+    for var, domain in (levels or {}).items():
+        place = F.when(F.col("variable") == var, level_ord("value", domain)).otherwise(place)
+    found = found.withColumn("ord", place)
+    return found.where(~F.col("variable").isin(list(levels)) | F.col("ord").isNotNull()) if levels else found

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflow.operators.quantile import global_rank
+from odflow.operators.quantile import global_rank, rank_within
 
 
 def trip_lines(trips: DataFrame, key: Sequence[str], which: str = "od",
@@ -45,6 +45,16 @@ def points_to_line(points: DataFrame, lon: str, lat: str, id_field: str,
         "_p", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("vertices"))
 
 
+def line_vertices(points: DataFrame, lon: str, lat: str, id_field: str, sort_field: str) -> DataFrame:
+    """Polylines as rows ``(id, vertex, lon, lat)``: vertices numbered in the order of the sort field (G1, O3).
+
+    Unlike :func:`points_to_line`, no array holds an id's points: an id of any length is spread
+    over partitions and numbered by their offsets.  Equal sort values are ordered by the point.
+    """
+    rows = points.select(id_field, F.col(sort_field).alias("_sort"), F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+    return rank_within(rows, [id_field], ["_sort"], "vertex").select(id_field, "vertex", "lon", "lat")
+
+
 def trip_ends(trips: DataFrame, keep: Sequence[str],
               legs: dict[str, Sequence[tuple[str, str]]] | None = None,
               type_col: str = "Type", key_order: Sequence[str] | None = None,

@@ -69,3 +69,22 @@ def global_rank(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame
     w = Window.partitionBy("_pid").orderBy(*columns)
     return counted.withColumn(out, F.row_number().over(w) + F.col("_before")) \
         .drop("_pid", "_one", "_before", "_all")
+
+
+def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rank") -> DataFrame:
+    """0-based position of every row in ``order`` inside its group ``by`` (ties by the other columns).
+
+    Rows are range-partitioned by group and order, so one group may take many partitions; rows
+    are numbered where they lie, and each partition's number of rows of a group gives the
+    offset of the next.  No group is gathered.
+    """
+    by = list(by)
+    columns = [*by, *order, *[c for c in df.columns if c not in (*by, *order)]]
+    at = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_at", F.monotonically_increasing_id())
+    ranged = materialize(at.withColumn("_pid", F.shiftright("_at", 33)))
+    counted = _with_offsets(ranged.withColumn("_one", F.lit(1)), by, "_one")
+    first = ranged.groupBy(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_pid").alias("_p")).agg(F.min("_at").alias("_first"))
+    on = F.col("_pid") == F.col("_p")
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return counted.join(first, on).withColumn(out, F.col("_at") - F.col("_first") + F.col("_before")).select(*df.columns, out)
