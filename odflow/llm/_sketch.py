@@ -74,6 +74,15 @@ def band_keys(table: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def member(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which elements of ``a`` the sorted set ``b`` holds."""
+    if not len(a) or not len(b):
+        return np.zeros(len(a), dtype=bool)
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = len(b) - 1
+    return b[at] == a
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets without repeats."""
     if len(a) > len(b):

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +40,18 @@ def written(df: DataFrame, name: str, task_rows: int | None = None) -> DataFrame
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     return table if task_rows is None else table.coalesce(max(1, -(-table.count() // task_rows)))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def integer_id(df: DataFrame, column: str) -> None:
+    """An error that says so where an id is not an integer."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{column} must be an integer column, not {kind.simpleString()}")

@@ -3,17 +3,21 @@
 1. Each text becomes its whole set of hashed word shingles, a sketch of it, and band keys.
    Texts with the same set (a 128-bit identity over the whole set) form one class, so
    groups of copies enter what follows as one row.
-2. Classes that share a band key form a bucket.  A bucket is not expanded into pairs: each
-   member is paired with one centre, the least id, and the pair is confirmed on full sets.
-3. Buckets that share members form a family.  Where confirmed links leave a family in
-   several components, its members outside the family's main component are compared with
-   all its members, in blocks of ``BLOCK`` texts a task.  A block prunes pairs by their
-   sketches, confirms the rest on full sets, most similar first, skips pairs that are
-   already connected, and returns only links.
+2. Classes that share a band key form a bucket, and buckets that share members a family.
+   Neither is expanded into pairs: a bucket is a star of id links, a family its components.
+3. A family's texts are dealt out in chunks, and each text is compared, on full sets, with
+   the family's centres, ``CENTRES`` of its members chosen by hash.  A family of no more
+   members than that is thereby compared whole.
+4. What the centres leave in several components is joined on prefixes: two sets that reach
+   the similarity share one of the first ``n - ceil(s n) + 1`` shingles of each in any common
+   order.  Shingles that few centres hold come first, so pages of one template, which have
+   only its text in common, meet nowhere.  Members outside a family's main component are
+   paired with those of other components that share such a shingle and have a fitting size,
+   and the pairs are confirmed on full sets.  No link of a family is lost.
 
 Pairs inside one component need no comparison, as only components are asked for.  With 40
 bands of 6 bins, a pair at similarity 0.8 shares no band with probability 5e-6, at 0.9 with
-2e-13.  Sketches prune at five standard deviations below the similarity.
+2e-13.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odflow.llm import _sketch, _words
-from odflow.llm._store import written
+from odflow.llm._store import free_name, integer_id, written
 from odflow.llm.components import TASK_LINKS, components
 
 BANDS, ROWS = 40, 6
-BLOCK = 256
+CENTRES = 8
+CHUNK = 256
 
 
 def _sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,40 +85,78 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return two.mapInArrow(run, "a bigint, b bigint")
 
 
-def _block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between the two sides of each block (fam, i, j) of (side, id, root, text) rows."""
-    bins = BANDS * ROWS
-    s = percent / 100
-    least = s - 5 * (s * (1 - s) / bins) ** 0.5
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, roots = table["id"].to_numpy(), table["root"].to_numpy()
-        outer = np.flatnonzero(table["outer"].to_numpy(zero_copy_only=False))
-        inner = np.setdiff1d(np.arange(len(ids)), outer)
-        sh, at = _sets(table["text"].combine_chunks(), width)
-        sk = _sketch.sketch(sh, at, bins)
-        up: dict[int, int] = {}
-
-        def top(x):
-            while up.get(x, x) != x:
-                x = up[x]
-            return x
-
-        for x, r in zip(ids.tolist(), roots.tolist()):
-            up[top(x)] = top(r)
-        near = []
-        for i in outer:
-            alike = (sk[inner] == sk[i]).mean(axis=1)
-            near += [(-alike[k], i, inner[k]) for k in np.flatnonzero((alike >= least) & (roots[inner] != roots[i]))]
-        out = []
-        for _, i, k in sorted(near):
-            x, y = top(int(ids[i])), top(int(ids[k]))
-            if x != y and _reaches(sh[at[i]:at[i + 1]], sh[at[k]:at[k + 1]], percent):
-                up[x] = y
-                out.append((int(ids[i]), int(ids[k])))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    return rows.groupBy("fam", "i", "j").applyInArrow(run, "a bigint, b bigint")
+def _compared(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(fam, id, n, centres, prefix) of each member: the centres it reaches, and its rarest shingles.
+
+    ``rows`` (fam, chunk, centre, copy, m, id, text): a chunk's centres come first; copies are
+    there to be compared with only.  Families of ``CENTRES`` members or fewer need no prefix.
+    """
+    rows = rows.repartition("fam", "chunk").sortWithinPartitions("fam", "chunk", F.desc("centre"), "id")
+
+    def answer(fam, i, m, own, centres):
+        """The centres a set reaches, and the prefix of its shingles, those that few centres hold first."""
+        seen, links = np.zeros(len(own), np.int8), []
+        for c, other in centres:
+            held = _sketch.member(own, other)
+            both = int(held.sum())
+            seen += held
+            if both and c != i and 100 * both >= percent * (len(own) + len(other) - both):
+                links.append(c)
+        least = len(own) - -(-percent * len(own) // 100) + 1 if m > CENTRES else 0
+        return fam, i, len(own), links, own[np.lexsort((own, seen))[:least]].view(np.int64).tolist()
+
+    def batch_of(out):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)],
+                                          names=["fam", "id", "n", "centres", "prefix"])
+
+    def run(batches):
+        here, centres, waiting = None, [], []
+        for batch in batches:
+            for part in _words.small_batches(batch, 6, 4 << 20):
+                sh, at = _sets(part.column(6), width)
+                fam, chunk, centre, copy, m, ids = (part.column(i).to_pylist() for i in range(6))
+                out = []
+                for k in range(part.num_rows):
+                    if waiting and ((fam[k], chunk[k]) != here or not centre[k]):
+                        # All centres of the chunk are there; those that are its members come next.
+                        out += [answer(*w, centres) for w in waiting]
+                        waiting = []
+                    if (fam[k], chunk[k]) != here:
+                        here, centres = (fam[k], chunk[k]), []
+                    own = sh[at[k]:at[k + 1]]
+                    if centre[k]:
+                        own = own.copy()
+                        centres.append((ids[k], own))
+                        waiting += [] if copy[k] else [(fam[k], ids[k], m[k], own)]
+                    else:
+                        out.append(answer(fam[k], ids[k], m[k], own, centres))
+                if out:
+                    yield batch_of(out)
+        if waiting:
+            yield batch_of([answer(*w, centres) for w in waiting])
+
+    return rows.mapInArrow(run, "fam bigint, id bigint, n bigint, centres array<bigint>, prefix array<bigint>")
+
+
+def _beyond_centres(found: DataFrame, of, root: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components of a family, by their prefixes."""
+    member = written(of(found.where("size(prefix) > 0"), "id", "root", root).select("fam", "id", "n", "root", "prefix"), "rooted")
+    part = member.groupBy("fam", "root").agg(F.count("*").alias("m"))
+    open_ = written(part.groupBy("fam").agg(F.count("*").alias("parts"), F.max(F.struct("m", "root")).alias("main"))
+                    .where("parts > 1").select("fam", F.col("main.root").alias("main")), "open")
+    shingle = written(member.join(open_, "fam").select("fam", "id", "n", "root", (F.col("root") != F.col("main")).alias("outer"),
+                                                       F.explode("prefix").alias("s")), "prefixes")
+    met = written(shingle.groupBy("fam", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+                  .where("lo < hi").select("fam", "s"), "met")
+    shingle = shingle.join(met, ["fam", "s"])
+    x = shingle.where("outer").select("fam", "s", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    y = shingle.select("fam", "s", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+    pairs = (x.join(y, ["fam", "s"]).where("rx <> ry").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    pairs = written(pairs, "met-pairs", TASK_LINKS)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return _confirmed(pairs, written(texts.join(ids, "id", "left_semi"), "texts"), width, percent)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -123,10 +166,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked when 100 * |A & B| >= percent * |A | B| over their sets of distinct
     ``width``-word shingles (a shorter text is one shingle).  ``component_id`` is the least id
     reachable by links, ``kept`` is doc_id = component_id.  Texts without words, empty and
-    null texts have an empty set and link with nothing.  A row with a null id is linked with
-    nothing, keeps a null component and is kept.  Rows that share an id are one vertex of the
-    link graph; each of them is returned.  An empty table gives an empty result.
+    null texts have an empty set and link with nothing.  Ids are integers (others are an
+    error); a row with a null id is linked with nothing, keeps a null component and is kept.
+    Rows that share an id are one vertex of the link graph; each of them is returned.  Very
+    long texts are hashed by the megabyte and held, as a set of shingles, one at a time and
+    for the centres of one family.  Other columns are not read; an empty table gives an empty
+    result.
     """
+    integer_id(docs, id_col)
     rows = written(_sketched(docs, id_col, text_col, width), "sketches")
     real = rows.where("n > 0 AND id IS NOT NULL")
     classes = written(real.groupBy("n", "f1", "f2").agg(F.min("id").alias("c")), "classes")
@@ -139,45 +186,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      .where("m > 1").select("key", "centre"), "buckets")
     pairs = written(band.join(shared, "key").where("id != centre")
                     .select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs", TASK_LINKS)
-    # The one shuffle of whole texts, planned alike at every size.
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-                    .join(ids.hint("shuffle_merge"), "id", "left_semi"), "texts")
     # An id with several texts may stand for several classes; they are one vertex.
     again = (classed.where("id IS NOT NULL").groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("z"))
              .where("a < z").select("id", "a").join(classed.select("id", F.col("c").alias("b")), "id").select("a", "b"))
-    links = _confirmed(pairs, texts, width, percent).unionByName(again)
-    root = components(links, "a", "b")
-    of = lambda df, col, to: (df.join(root.select(F.col("node").alias(col), F.col("root").alias("__r")), col, "left")
-                              .withColumn(to, F.coalesce("__r", col)).drop("__r"))
-    bridges = of(of(pairs, "a", "ra"), "b", "rb").where("ra != rb").select("ra", "rb")
-    family = components(bridges, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("fam"))
-    member = written(of(ids, "id", "root").join(family, "root", "left")
-                     .select("id", "root", F.coalesce("fam", "root").alias("fam")), "members", TASK_LINKS)
-    part = member.groupBy("fam", "root").agg(F.count("*").alias("m"))
-    open_ = (part.groupBy("fam").agg(F.count("*").alias("parts"), F.sum("m").alias("all"),
-                                     F.max(F.struct("m", "root")).alias("main")).where("parts > 1")
-             .select("fam", F.col("main.root").alias("main"),
-                     F.ceil(F.col("all") / BLOCK).alias("inners"),
-                     F.ceil((F.col("all") - F.col("main.m")) / BLOCK).alias("outers")))
-    member = written(member.join(written(open_, "open", TASK_LINKS), "fam"), "members", TASK_LINKS)
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    outer = member.where("root != main").select("fam", dealt("outers").alias("i"), upto("inners").alias("j"),
-                                                F.lit(True).alias("outer"), "id", "root")
-    inner = member.select("fam", upto("outers").alias("i"), dealt("inners").alias("j"), F.lit(False).alias("outer"),
-                          "id", "root")
-    more = _block_links(outer.unionByName(inner).join(texts, "id"), width, percent)
-    last = (components(of(of(more, "a", "ra"), "b", "rb").select("ra", "rb"), "ra", "rb")
+    of = lambda df, col, to, root: (df.join(root.select(F.col("node").alias(col), F.col("root").alias("__r")), col, "left")
+                                    .withColumn(to, F.coalesce("__r", col)).drop("__r"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    member = written(of(ids, "id", "fam", components(pairs, "a", "b")), "members", TASK_LINKS)
+    chosen = F.array(*[F.min_by("id", F.xxhash64("id", F.lit(j))) for j in range(CENTRES)])
+    family = written(member.groupBy("fam").agg(F.count("*").alias("m"), chosen.alias("chosen")), "families", TASK_LINKS)
+    chunks = F.ceil(F.col("m") / CHUNK)
+    member = member.join(family, "fam").select(
+        "id", "fam", "m", ((F.col("m") <= CENTRES) | F.array_contains("chosen", F.col("id"))).alias("centre"),
+        F.pmod(F.xxhash64("id", F.lit(-1)), chunks).alias("own"), chunks.alias("chunks"))
+    every = F.when(F.col("centre"), F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).otherwise(F.array("own"))
+    places = written(member.select("id", "fam", "m", "centre", "own", F.explode(every).alias("chunk")), "places", TASK_LINKS)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    # The one shuffle of all texts by id, planned alike at every size; the families' texts then move to their chunks.
+    placed = texts.join(places.hint("shuffle_merge"), "id").select(
+        "fam", "chunk", "centre", (F.col("chunk") != F.col("own")).alias("copy"), "m", "id", "text")
+    found = written(_compared(placed, width, percent), "compared")
+    root = components(found.select("id", F.explode("centres").alias("c")).unionByName(
+        again.select(F.col("a").alias("id"), F.col("b").alias("c"))), "id", "c")
+    more = _beyond_centres(found, of, root, texts, width, percent)
+    last = (components(of(of(more, "a", "ra", root), "b", "rb", root).select("ra", "rb"), "ra", "rb")
             .select(F.col("node").alias("r"), F.col("root").alias("last")))
-    done = of(classed, "c", "r").join(last, "r", "left").withColumn("component", F.coalesce("last", "r"))
+    done = of(classed, "c", "r", root).join(last, "r", "left").withColumn("component", F.coalesce("last", "r"))
     return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
                        F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group; of rows that repeat a kept id, all stay."""
-    found = near_duplicates(docs, id_col, text_col, width, percent).where("NOT kept")
-    gone = found.select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each group: that of the least id.
+
+    Of rows that repeat a kept id one stays.  A row without an id counts as a document behind
+    all those that have one; of equal texts without ids one stays.  Texts without words are
+    nobody's duplicates and all stay.  All columns, whatever their names, are passed through.
+    """
+    integer_id(docs, id_col)
+    key = free_name(docs, "__key")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    behind = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 3)
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("bigint"), behind))
+    found = near_duplicates(keyed.select(key, text.alias("text")), key, "text", width, percent)
+    # Keys that go, and kept keys with words that several rows have.
+    state = written(found.groupBy(key).agg(F.max(F.col("kept").cast("int")).alias("k"), F.count("*").alias("m"),
+                                           F.max("n_shingles").alias("n")).where("k = 0 OR (m > 1 AND n > 0)"), "dropped")
+    gone, twice = state.where("k = 0").select(key), state.where("k = 1").select(key)
+    left = keyed.join(gone, key, "left_anti")
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    worded = F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
+    copies = left.join(twice, key, "left_semi")
+    rest = left.join(twice, key, "left_anti").unionByName(copies.where(~F.coalesce(worded, F.lit(False))))
+    return rest.unionByName(copies.where(worded).dropDuplicates([key])).select(*docs.columns)

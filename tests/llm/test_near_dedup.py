@@ -101,9 +101,10 @@ def test_against_brute_force_with_families(docs):
     assert answer(near_duplicates(docs(rows), width=4)) == brute(rows)
 
 
-def test_family_split_over_blocks(docs, monkeypatch):
+def test_family_split_over_chunks(docs, monkeypatch):
     from odflow.llm import near_dedup
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "CHUNK", 4)
+    monkeypatch.setattr(near_dedup, "CENTRES", 2)
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
     base = [rng.choice(words) for _ in range(120)]
@@ -123,7 +124,8 @@ def test_repeated_rows_and_pipeline_form(docs):
     assert [g[1:] for g in got if not g[0]] == [(3, 3, True), (3, 3, True), (5, 3, False), (9, 9, True), (9, 9, True)]
     left = drop_near_duplicates(docs(rows))
     assert left.columns == docs(rows).columns
-    assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [3, 3, 9, 9]
+    assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [3, 9, 9]
+    assert left.where("doc_id IS NULL").count() == 0
 
 
 def test_components_of_random_graphs(spark):
@@ -144,3 +146,71 @@ def test_components_of_random_graphs(spark):
         got = dict(components(df).collect())
         want = {x: top(x) for e in links for x in e if top(x) != x}
         assert got == want
+
+
+def template_pages(n, seed=4):
+    """Pages of one template: about 0.7 similar, none linked."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(330)]
+    return [(i, " ".join(base + [word() for _ in range(55)])) for i in range(n)]
+
+
+def folder_bytes(path):
+    import os
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(path) for f in files if f.endswith(".parquet"))
+
+
+def test_template_pages_move_in_proportion(spark, docs, tmp_path, monkeypatch):
+    from odflow.llm import near_dedup
+    seen = {}
+    for n in (500, 2000):
+        kept = []
+
+        def counted(df, name, rows=None, into=kept, k=n):
+            path = str(tmp_path / f"{k}-{len(into)}")
+            df.write.parquet(path)
+            into.append(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        monkeypatch.setattr(near_dedup, "written", counted)
+        rows = template_pages(n)
+        out = near_dedup.near_duplicates(docs(rows))
+        assert out.where("kept").count() == n
+        seen[n] = sum(folder_bytes(p) for p in kept), sum(len(t) for _, t in rows)
+    assert seen[2000][0] < 3 * seen[2000][1] and seen[2000][0] < 7 * seen[500][0], seen
+
+
+def test_links_outside_the_centres(docs, monkeypatch):
+    """Variants whose links form chains and side groups that no centre reaches."""
+    from odflow.llm import near_dedup
+    monkeypatch.setattr(near_dedup, "CENTRES", 1)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    rows = []
+    for side in range(6):
+        t = base[:]
+        for k in range(side * 12):
+            t[(k * 17) % 200] = word()
+        for _ in range(8):
+            u = t[:]
+            for _ in range(rng.randint(0, 4)):
+                u[rng.randrange(200)] = word()
+            rows.append((len(rows), " ".join(u)))
+    rng.shuffle(rows)
+    assert answer(near_duplicates(docs(rows), width=4)) == brute(rows)
+
+
+def test_text_ids_are_rejected_and_names_may_clash(spark):
+    df = spark.createDataFrame([("a", "one two")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="doc_id must be an integer"):
+        near_duplicates(df)
+    text = "the quick brown fox jumps over the lazy dog again"
+    rows = [(1, text, "p", 1, "x"), (2, text, "q", 2, "y"), (None, text, "r", 3, "z"), (None, "other words entirely", "s", 4, "w"),
+            (None, "other words entirely", "t", 5, "v")]
+    clash = spark.createDataFrame(rows, "doc_id int, text string, __key string, __gone int, kept string")
+    left = drop_near_duplicates(clash)
+    assert left.columns == clash.columns
+    assert sorted((r[0] is None, r[3]) for r in left.collect())[0] == (False, 1)
+    assert left.count() == 2
