@@ -6,14 +6,15 @@
 2. Classes that share a band key form a bucket, and buckets that share members a family.
    Neither is expanded into pairs: a bucket is a star of id links, a family its components.
 3. A family's texts are dealt out in chunks, and each text is compared, on full sets, with
-   the family's centres, ``CENTRES`` of its members chosen by hash.  A family of no more
-   members than that is thereby compared whole.
-4. What the centres leave in several components is joined on prefixes: two sets that reach
-   the similarity share one of the first ``n - ceil(s n) + 1`` shingles of each in any common
-   order.  Shingles that few centres hold come first, so pages of one template, which have
-   only its text in common, meet nowhere.  Members outside a family's main component are
-   paired with those of other components that share such a shingle and have a fitting size,
-   and the pairs are confirmed on full sets.  No link of a family is lost.
+   the family's centres, a few of its members chosen by hash: ``CENTRES`` of them, and where
+   these leave the family in several components ``MORE``.  A family of no more members than
+   that is thereby compared whole.
+4. What remains in several components is joined on prefixes: two sets that reach the
+   similarity share one of the first ``n - ceil(s n) + 1`` shingles of each in any common
+   order, and not too far behind in either.  Shingles that few centres hold come first, so
+   pages of one template, which have only its text in common, meet nowhere.  Members outside a
+   family's main component are paired with those of other components that they meet so, and
+   the pairs are confirmed on full sets.  No link of a family is lost.
 
 Pairs inside one component need no comparison, as only components are asked for.  With 40
 bands of 6 bins, a pair at similarity 0.8 shares no band with probability 5e-6, at 0.9 with
@@ -32,8 +33,8 @@ from odflow.llm._store import free_name, integer_id, written
 from odflow.llm.components import TASK_LINKS, components
 
 BANDS, ROWS = 40, 6
-CENTRES = 8
-CHUNK = 256
+CENTRES, MORE = 8, 64
+CHUNK = 512
 
 
 def _sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,11 +86,25 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return two.mapInArrow(run, "a bigint, b bigint")
 
 
-def _compared(rows: DataFrame, width: int, percent: int) -> DataFrame:
+def _places(member: DataFrame, centres: int) -> DataFrame:
+    """Chunks of (id, fam) rows: (id, fam, chunk, centre, copy, m), a family's centres in every chunk."""
+    chosen = F.array(*[F.min_by("id", F.xxhash64("id", F.lit(j))) for j in range(centres)])
+    family = written(member.groupBy("fam").agg(F.count("*").alias("m"), chosen.alias("chosen")), "families", TASK_LINKS)
+    chunks = F.ceil(F.col("m") / CHUNK)
+    member = member.join(family, "fam").select(
+        "id", "fam", "m", ((F.col("m") <= centres) | F.array_contains("chosen", F.col("id"))).alias("centre"),
+        F.pmod(F.xxhash64("id", F.lit(-1)), chunks).alias("own"), chunks.alias("chunks"))
+    every = F.when(F.col("centre"), F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).otherwise(F.array("own"))
+    return written(member.select("id", "fam", "m", "centre", "own", F.explode(every).alias("chunk"))
+                   .select("id", "fam", "chunk", "centre", (F.col("chunk") != F.col("own")).alias("copy"), "m"), "places", TASK_LINKS)
+
+
+def _compared(rows: DataFrame, width: int, percent: int, whole: int | None) -> DataFrame:
     """(fam, id, n, centres, prefix) of each member: the centres it reaches, and its rarest shingles.
 
     ``rows`` (fam, chunk, centre, copy, m, id, text): a chunk's centres come first; copies are
-    there to be compared with only.  Families of ``CENTRES`` members or fewer need no prefix.
+    there to be compared with only.  Only families of more than ``whole`` members have
+    prefixes (None: no family has).
     """
     rows = rows.repartition("fam", "chunk").sortWithinPartitions("fam", "chunk", F.desc("centre"), "id")
 
@@ -102,7 +117,7 @@ def _compared(rows: DataFrame, width: int, percent: int) -> DataFrame:
             seen += held
             if both and c != i and 100 * both >= percent * (len(own) + len(other) - both):
                 links.append(c)
-        least = len(own) - -(-percent * len(own) // 100) + 1 if m > CENTRES else 0
+        least = len(own) - -(-percent * len(own) // 100) + 1 if whole is not None and m > whole else 0
         return fam, i, len(own), links, own[np.lexsort((own, seen))[:least]].view(np.int64).tolist()
 
     def batch_of(out):
@@ -146,13 +161,19 @@ def _beyond_centres(found: DataFrame, of, root: DataFrame, texts: DataFrame, wid
     open_ = written(part.groupBy("fam").agg(F.count("*").alias("parts"), F.max(F.struct("m", "root")).alias("main"))
                     .where("parts > 1").select("fam", F.col("main.root").alias("main")), "open")
     shingle = written(member.join(open_, "fam").select("fam", "id", "n", "root", (F.col("root") != F.col("main")).alias("outer"),
-                                                       F.explode("prefix").alias("s")), "prefixes")
+                                                       "prefix", F.posexplode("prefix").alias("at", "s")), "prefixes")
     met = written(shingle.groupBy("fam", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                   .where("lo < hi").select("fam", "s"), "met")
     shingle = shingle.join(met, ["fam", "s"])
-    x = shingle.where("outer").select("fam", "s", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    y = shingle.select("fam", "s", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-    pairs = (x.join(y, ["fam", "s"]).where("rx <> ry").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    x = shingle.where("outer").select("fam", "s", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("root").alias("rx"),
+                                      F.slice("prefix", F.lit(1), F.col("at")).alias("px"))
+    y = shingle.select("fam", "s", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("root").alias("ry"),
+                       F.slice("prefix", F.lit(1), F.col("at")).alias("py"))
+    # From the first shingle two sets share, no more can be common than either has behind it.
+    room = (100 + percent) * F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= percent * (F.col("nx") + F.col("ny"))
+    # Only where they meet first; both sides of a pair may be outside the main component.
+    first = ~F.coalesce(F.arrays_overlap("px", "py"), F.lit(False))
+    pairs = (x.join(y, ["fam", "s"]).where("rx <> ry").where(room).where(first)
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     pairs = written(pairs, "met-pairs", TASK_LINKS)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -193,21 +214,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                     .withColumn(to, F.coalesce("__r", col)).drop("__r"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     member = written(of(ids, "id", "fam", components(pairs, "a", "b")), "members", TASK_LINKS)
-    chosen = F.array(*[F.min_by("id", F.xxhash64("id", F.lit(j))) for j in range(CENTRES)])
-    family = written(member.groupBy("fam").agg(F.count("*").alias("m"), chosen.alias("chosen")), "families", TASK_LINKS)
-    chunks = F.ceil(F.col("m") / CHUNK)
-    member = member.join(family, "fam").select(
-        "id", "fam", "m", ((F.col("m") <= CENTRES) | F.array_contains("chosen", F.col("id"))).alias("centre"),
-        F.pmod(F.xxhash64("id", F.lit(-1)), chunks).alias("own"), chunks.alias("chunks"))
-    every = F.when(F.col("centre"), F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).otherwise(F.array("own"))
-    places = written(member.select("id", "fam", "m", "centre", "own", F.explode(every).alias("chunk")), "places", TASK_LINKS)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    # The one shuffle of all texts by id, planned alike at every size; the families' texts then move to their chunks.
-    placed = texts.join(places.hint("shuffle_merge"), "id").select(
-        "fam", "chunk", "centre", (F.col("chunk") != F.col("own")).alias("copy"), "m", "id", "text")
-    found = written(_compared(placed, width, percent), "compared")
-    root = components(found.select("id", F.explode("centres").alias("c")).unionByName(
-        again.select(F.col("a").alias("id"), F.col("b").alias("c"))), "id", "c")
+    # The one shuffle of all texts, by id and planned alike at every size; later steps read the families' texts.
+    placed = written(texts.join(_places(member, CENTRES).hint("shuffle_merge"), "id")
+                     .select("fam", "chunk", "centre", "copy", "m", "id", "text"), "texts")
+    texts = placed.where("NOT copy").select("id", "text")
+    found = written(_compared(placed, width, percent, None), "compared")
+    near = lambda found: found.select(F.col("id").alias("a"), F.explode("centres").alias("b"))
+    links = written(near(found).unionByName(again), "links", TASK_LINKS)
+    root = components(links, "a", "b")
+    # Families that the centres leave in several components, with more centres.
+    rooted = of(found.select("fam", "id"), "id", "root", root)
+    open_ = written(rooted.groupBy("fam").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+                    .where(f"m > {CENTRES} AND lo < hi").select("fam"), "open")
+    member = written(member.join(open_, "fam", "left_semi"), "members", TASK_LINKS)
+    placed = texts.join(_places(member, MORE), "id").select("fam", "chunk", "centre", "copy", "m", "id", "text")
+    found = written(_compared(placed, width, percent, MORE), "compared")
+    root = components(links.unionByName(near(found)), "a", "b")
     more = _beyond_centres(found, of, root, texts, width, percent)
     last = (components(of(of(more, "a", "ra", root), "b", "rb", root).select("ra", "rb"), "ra", "rb")
             .select(F.col("node").alias("r"), F.col("root").alias("last")))

@@ -105,6 +105,7 @@ def test_family_split_over_chunks(docs, monkeypatch):
     from odflow.llm import near_dedup
     monkeypatch.setattr(near_dedup, "CHUNK", 4)
     monkeypatch.setattr(near_dedup, "CENTRES", 2)
+    monkeypatch.setattr(near_dedup, "MORE", 5)
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
     base = [rng.choice(words) for _ in range(120)]
@@ -185,6 +186,7 @@ def test_links_outside_the_centres(docs, monkeypatch):
     """Variants whose links form chains and side groups that no centre reaches."""
     from odflow.llm import near_dedup
     monkeypatch.setattr(near_dedup, "CENTRES", 1)
+    monkeypatch.setattr(near_dedup, "MORE", 2)
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     base = [word() for _ in range(200)]
