@@ -6,10 +6,11 @@ as the longest segment, and two neighbouring cells are a passage, so every place
 segment can stand lies whole in one passage.  A segment's score is its BM25 weight in the
 passage's distinct words over its weight in its own, between 0 and 1.
 
-Retrieval is block-max WAND: segments stand in blocks of ``BLOCK``, and for each word the
-index keeps its largest weight within each block.  Summed over a passage's words these bound
-every score in the block; only blocks whose bound reaches the threshold are scored.  All
-segments at or above the threshold are returned.
+Retrieval is block-max WAND: segments stand in blocks of ``BLOCK``, and for each word and block
+that has it the index keeps the largest weight.  Summed over a passage's words these bound
+every score in the block; only blocks whose bound reaches the threshold are scored.  There is
+no pivot: the bounds of all blocks are summed, for many passages at once, as every segment at
+or above the threshold is wanted and not the best few.
 
 A retrieved item is confirmed on the whole text: the shares of the question's and the
 answer's word shingles (and of the whole item's) that occur in the text.  The answer is the
@@ -36,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odflow.llm import _words
-from odflow.llm._store import written
+from odflow.llm._store import free_name, integer_id, written
 
 SEGMENT, BLOCK = 128, 16
 ITEMS, INDEX_BYTES = 2048, 4 << 20
+#: A word in at least one of so many blocks has a row of all blocks; so many bounds are gathered at once.
+DENSE, GATHER = 8, 4 << 20
 K1, B = 1.2, 0.75
 THRESHOLD = 0.4
 WIDTH = 5
@@ -125,12 +128,21 @@ class Index:
         weight = weight / own[seg] if len(seg) else weight
         by = np.lexsort((seg, term))
         self.term, self.seg, self.weight = term[by], seg[by], weight[by]
+        # One entry for each word and block that has it: its postings and its largest weight.
         key = self.term * max(self.blocks, 1) + self.seg // BLOCK
-        cells = len(self.vocabulary) * self.blocks
-        self.at = np.searchsorted(key, np.arange(cells + 1))
-        top = np.zeros(cells)
-        np.maximum.at(top, key, self.weight)
-        self.top = top.reshape(len(self.vocabulary), self.blocks).astype(np.float32) * np.float32(1.00001)
+        self.key, start = np.unique(key, return_index=True)
+        self.at = np.append(start, len(key))
+        top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.top = top.astype(np.float32) * np.float32(1.00001)
+        self.term_at = np.searchsorted(self.key, np.arange(len(self.vocabulary) + 1) * max(self.blocks, 1))
+        # Words of many blocks have a row of all blocks (at most DENSE times their entries); row 0 is empty.
+        many = np.flatnonzero(np.diff(self.term_at) * DENSE >= max(self.blocks, 1))
+        self.row = np.zeros(len(self.vocabulary), np.int32)
+        self.row[many] = np.arange(1, len(many) + 1)
+        self.rows = np.zeros((len(many) + 1, self.blocks), np.float32)
+        if len(many):
+            r, entry = _ranges(self.term_at[many], self.term_at[many + 1])
+            self.rows[r + 1, self.key[entry] % self.blocks] = self.top[entry]
         self.low = _low_bits(self.vocabulary)
         self._index_sides(sides, idf, mean)
 
@@ -213,18 +225,36 @@ class Index:
             return none
         lo = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
         hi = np.append(lo[1:], len(passage))
-        where, block = np.nonzero(np.add.reduceat(self.top[term], lo, axis=0) >= threshold)
-        if not len(where):
+        out, i = [], 0
+        most = max(1, GATHER // self.blocks)
+        while i < len(lo):
+            # As many passages as keep what is gathered bounded, one at least.
+            j = max(i + 1, int(np.searchsorted(hi, lo[i] + most, "right")))
+            where, block = np.nonzero(self._bounds(term[lo[i]:hi[j - 1]], lo[i:j] - lo[i]) >= threshold)
+            out += [self._scores(where[k:k + 4096] + i, block[k:k + 4096], lo, hi, term, threshold)
+                    for k in range(0, len(where), 4096)]
+            i = j
+        if not out:
             return none
-        out = [self._scores(where[i:i + 4096], block[i:i + 4096], lo, hi, term, threshold)
-               for i in range(0, len(where), 4096)]
         w, seg, score = map(np.concatenate, zip(*out))
         return np.searchsorted(base, passage[lo[w]], "right") - 1, seg, score
 
+    def _bounds(self, term: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Upper bound of every score in each block, for passages whose words start at ``lo``."""
+        bound = np.add.reduceat(self.rows[self.row[term]], lo, axis=0).astype(np.float64)
+        few = np.flatnonzero(self.row[term] == 0)
+        r, entry = _ranges(self.term_at[term[few]], self.term_at[term[few] + 1])
+        passage = np.searchsorted(lo, few[r], "right") - 1
+        return bound + np.bincount(passage * self.blocks + self.key[entry] % self.blocks, self.top[entry],
+                                   bound.size).reshape(bound.shape)
+
     def _scores(self, where, block, lo, hi, term, threshold):
         row, at = _ranges(lo[where], hi[where])
         key = term[at] * self.blocks + block[row]
-        r, posting = _ranges(self.at[key], self.at[key + 1])
+        entry = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        known = np.flatnonzero(self.key[entry] == key)
+        r, posting = _ranges(self.at[entry[known]], self.at[entry[known] + 1])
+        r = known[r]
         score = np.bincount(row[r] * BLOCK + self.seg[posting] % BLOCK, self.weight[posting], len(where) * BLOCK)
         hit = np.flatnonzero(score >= threshold)
         return where[hit // BLOCK], block[hit // BLOCK] * BLOCK + hit % BLOCK, score[hit]
@@ -301,6 +331,8 @@ def _segment_words(batches):
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str, with_ids: bool = True):
     """Broadcast indexes over blocks of the benchmark of bounded size."""
+    if with_ids:
+        integer_id(benchmark, item_col)
     items = benchmark.select(F.col(item_col).cast("bigint").alias("i") if with_ids else F.lit(0).cast("bigint").alias("i"),
                              F.lower(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
@@ -328,8 +360,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(id, item, score, overlap, question_overlap, answer_overlap) of every confirmed leak.
 
     Texts without a leak have no row.  Null texts are empty and leak nothing; a null id keeps
-    its row.  Rows that repeat an id each bring their leaks.  Items with a null id or text are
-    left out; an item without words matches nothing.  Empty tables give an empty result.
+    its row.  Rows that repeat an id each bring their leaks.  Item ids are integers (others are
+    an error); items with a null id or text are left out; an item without words matches
+    nothing.  Very long texts are hashed by the megabyte and judged whole, passage by passage.
+    Other columns are not read.  Empty tables give an empty result.
     """
     rows = docs.select(F.col(id_col), F.lower(text_col).alias("__text"))
     kind = rows.schema[0].dataType.simpleString()
@@ -357,9 +391,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                   item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the texts that leak an item; each row is judged where it lies.
 
-    Items count whether they have an id or not.
+    Items count whether they have an id or not.  Null and empty texts stay, repeated rows go or
+    stay alike, very long texts are judged whole.  All columns, whatever their names, are passed
+    through.  Empty tables give an empty result, an empty benchmark all rows.
     """
-    out = docs
+    out, lower = docs, free_name(docs, "__text")
     for shared in _indexes(benchmark, item_col, item_text_col, with_ids=False):
         names = out.columns
 
@@ -370,5 +406,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     keep = np.ones(part.num_rows, dtype=bool)
                     keep[bad] = False
                     yield part.filter(pa.array(keep)).select(range(len(names)))
-        out = out.select("*", F.lower(F.col(text_col)).alias("__text")).mapInArrow(run, docs.schema)
+        out = out.select("*", F.lower(F.col(text_col)).alias(lower)).mapInArrow(run, docs.schema)
     return out

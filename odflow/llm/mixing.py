@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odflow.llm._store import written
+from odflow.llm._store import free_name, written
 
 PIECE = 8.0
 # P(Poisson(8) > 64) is below 2**-52, the spacing of the hashed uniform numbers.
@@ -77,22 +77,31 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     Null sources are a source of their own.  A null id hashes as an empty text; rows that
     repeat an id get the same count.  An empty table stays empty.
     """
-    per = rates(docs, source_col, weights).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    return _counted(docs, id_col, source_col, seed, weights, free_name(docs, "__copies"))
+
+
+def _counted(docs, id_col, source_col, seed, weights, copies: str) -> DataFrame:
+    source, rate = free_name(docs, "__source"), free_name(docs, "__rate")
+    per = rates(docs, source_col, weights).select(F.col("source").alias(source), F.col("rate").alias(rate))
     per = written(per, "rates")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return (docs.join(per, F.col(source_col).eqNullSafe(F.col("__source")))
-            .withColumn("__copies", poisson_count(F.col("__rate"), seed, key)).drop("__source"))
+    return (docs.join(per, F.col(source_col).eqNullSafe(F.col(source)))
+            .select(*[docs[c] for c in docs.columns], poisson_count(F.col(rate), seed, key).alias(copies)))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: str = "mix",
-        weights: dict[str | None, float] | None = None) -> DataFrame:
+        weights: dict[str | None, float] | None = None, copy_col: str = "__copy", order_col: str = "__order") -> DataFrame:
     """The mixed corpus: ``docs``' columns, __copy (from 0) and __order, sorted by __order.
 
     __order is a 52-bit hash of (seed, id, copy); rows come in its order over
-    the whole result, by a range partitioning, so copies of one document lie far apart.
+    the whole result, by a range partitioning, so copies of one document lie far apart.  Rows
+    that tie in it (those that repeat an id) come in any order.  Null sources are a source of
+    their own, a null id hashes as an empty text, null, empty and very long texts are passed
+    through.  ``copy_col`` and ``order_col`` are lengthened by ``_`` where a column of ``docs``
+    has the name.  An empty table stays empty.
     """
-    chosen = with_copies(docs, id_col, source_col, seed, weights).where("__copies > 0")
-    copies = chosen.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("__copy"))
-    order = hashed_bits(seed, "order", F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-                        F.col("__copy").cast("string"))
-    return copies.withColumn("__order", order).orderBy("__order")
+    copies, copy, order = free_name(docs, "__copies"), free_name(docs, copy_col), free_name(docs, order_col)
+    chosen = _counted(docs, id_col, source_col, seed, weights, copies).where(F.col(copies) > 0)
+    each = chosen.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias(copy))
+    place = hashed_bits(seed, "order", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(copy).cast("string"))
+    return each.withColumn(order, place).orderBy(order)

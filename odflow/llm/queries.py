@@ -149,8 +149,7 @@ FROM documents d JOIN times USING (doc_id), unnest(range(0, CAST(n AS BIGINT)))
 @_query("op7_mixing", _OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights that grow with the square root of a source's size."""
-    return (mix(_table(spark, sf_dir, "documents"))
-            .withColumnRenamed("__copy", "copy").withColumnRenamed("__order", "mix_order"))
+    return mix(_table(spark, sf_dir, "documents"), copy_col="copy", order_col="mix_order")
 
 
 #: The rules the task states.

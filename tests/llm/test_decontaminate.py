@@ -165,3 +165,25 @@ def test_question_and_answer():
     assert d.question_and_answer("a b?\nc d") == ("a b?", "c d")
     assert d.question_and_answer("one two. three four.") == ("one two.", "three four")
     assert d.question_and_answer("only one") == ("only one", "")
+
+
+def test_index_size_at_its_bound():
+    import pickle
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(40_000)]
+    common = vocab[:300]
+    items = [(i, " ".join(rng.choice(common) if rng.random() < 0.5 else rng.choice(vocab) for _ in range(rng.randint(100, 400))))
+             for i in range(2000)]
+    index = d.Index(items)
+    assert sum(len(t) for _, t in items) > 2_500_000
+    assert len(pickle.dumps(index)) < 50_000_000
+
+
+def test_names_may_clash_and_text_item_ids_are_rejected(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron")], "item_id int, text string")
+    leak = "so alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron it is"
+    docs = spark.createDataFrame([(1, leak, "a", 1), (2, "clean words", "b", 2)], "doc_id int, text string, __text string, __Text_ int")
+    left = d.decontaminate(docs, bench)
+    assert left.columns == docs.columns and [r[0] for r in left.collect()] == [2]
+    with pytest.raises(TypeError, match="item_id must be an integer"):
+        d.find_leaks(docs, bench.selectExpr("cast(item_id AS string) item_id", "text"))

@@ -177,3 +177,13 @@ def test_url_edges(spark):
     trie = build_trie(URL_RULES)
     assert longest(trie, "www.example.org", "/en/12/x") == ("example.org/en/1", "block")
     assert url_filter.TRIE_BYTES > 0 and licenses.SPELLINGS
+
+
+def test_mixing_with_clashing_names(spark):
+    df = spark.createDataFrame([(i, f"t{i}", "ab"[i % 2], i, "r", "s", 1, 2) for i in range(40)],
+                               "doc_id int, text string, source string, copy int, __rate string, __Source string, __copies int, mix_order int")
+    out = mix(df, copy_col="copy", order_col="mix_order")
+    assert out.columns == [*df.columns, "copy_", "mix_order_"]
+    rows = out.collect()
+    assert rows and all(r["copy"] == r["doc_id"] and r["__copies"] == 1 and r["mix_order"] == 2 for r in rows)
+    assert [r["mix_order_"] for r in rows] == sorted(r["mix_order_"] for r in rows)
