@@ -156,7 +156,7 @@ def unique(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def small_batches(batch: pa.RecordBatch, column: int, limit: int = 8 << 20):
+def small_batches(batch: pa.RecordBatch, column: int, limit: int = 3 << 20):
     """Slices of a batch with about ``limit`` bytes of text each (one row at least)."""
     _, offsets = buffers(batch.column(column))
     i = 0

@@ -42,7 +42,7 @@ from odflow.llm._store import free_name, integer_id, written
 SEGMENT, BLOCK = 128, 16
 ITEMS, INDEX_BYTES = 2048, 4 << 20
 #: A word in at least one of so many blocks has a row of all blocks; so many bounds are gathered at once.
-DENSE, GATHER = 8, 4 << 20
+DENSE, GATHER = 8, 1 << 20
 K1, B = 1.2, 0.75
 THRESHOLD = 0.4
 WIDTH = 5

@@ -128,7 +128,7 @@ def _compared(rows: DataFrame, width: int, percent: int, whole: int | None) -> D
     def run(batches):
         here, centres, waiting = None, [], []
         for batch in batches:
-            for part in _words.small_batches(batch, 6, 4 << 20):
+            for part in _words.small_batches(batch, 6, 2 << 20):
                 sh, at = _sets(part.column(6), width)
                 fam, chunk, centre, copy, m, ids = (part.column(i).to_pylist() for i in range(6))
                 out = []
