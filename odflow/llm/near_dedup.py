@@ -6,8 +6,8 @@
 2. Classes that share a band key form a bucket, and buckets that share members a family.
    Neither is expanded into pairs: a bucket is a star of id links, a family its components.
 3. A family's texts are dealt out in chunks, and each text is compared, on full sets, with
-   the family's centres, a few of its members chosen by hash: ``CENTRES`` of them, and where
-   these leave the family in several components ``MORE``.  A family of no more members than
+   the family's centres, a few of its members chosen by hash: about ``CENTRES`` of them, and
+   where these leave the family in several components about ``MORE``.  A family of no more members than
    that is thereby compared whole.
 4. What remains in several components is joined on prefixes: two sets that reach the
    similarity share one of the first ``n - ceil(s n) + 1`` shingles of each in any common
@@ -88,11 +88,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
 def _places(member: DataFrame, centres: int) -> DataFrame:
     """Chunks of (id, fam) rows: (id, fam, chunk, centre, copy, m), a family's centres in every chunk."""
-    chosen = F.array(*[F.min_by("id", F.xxhash64("id", F.lit(j))) for j in range(centres)])
-    family = written(member.groupBy("fam").agg(F.count("*").alias("m"), chosen.alias("chosen")), "families", TASK_LINKS)
+    family = written(member.groupBy("fam").agg(F.count("*").alias("m")), "families", TASK_LINKS)
     chunks = F.ceil(F.col("m") / CHUNK)
+    # All members of a small family, else so many on average, by a hash of the id.
+    chosen = F.col("m") * F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(1 << 20)) < centres << 20
     member = member.join(family, "fam").select(
-        "id", "fam", "m", ((F.col("m") <= centres) | F.array_contains("chosen", F.col("id"))).alias("centre"),
+        "id", "fam", "m", ((F.col("m") <= centres) | chosen).alias("centre"),
         F.pmod(F.xxhash64("id", F.lit(-1)), chunks).alias("own"), chunks.alias("chunks"))
     every = F.when(F.col("centre"), F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).otherwise(F.array("own"))
     return written(member.select("id", "fam", "m", "centre", "own", F.explode(every).alias("chunk"))
