@@ -11,7 +11,8 @@
    that is thereby compared whole.
 4. What remains in several components is joined on prefixes: two sets that reach the
    similarity share one of the first ``n - ceil(s n) + 1`` shingles of each in any common
-   order, and not too far behind in either.  Shingles that few centres hold come first, so
+   order, and not too far behind in either; in longer prefixes they share as
+   many more, and bits of parity bound how far two sets differ.  Shingles that few centres hold come first, so
    pages of one template, which have only its text in common, meet nowhere.  Members outside a
    family's main component are paired with those of other components that they meet so, and
    the pairs are confirmed on full sets.  No link of a family is lost.
@@ -35,6 +36,8 @@ from odflow.llm.components import TASK_LINKS, components
 BANDS, ROWS = 40, 6
 CENTRES, MORE = 8, 64
 CHUNK = 512
+#: Bits a set; beyond some thousand shingles they say little and the prefixes alone decide.
+PARITY = 1024
 
 
 def _sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +103,14 @@ def _places(member: DataFrame, centres: int) -> DataFrame:
                    .select("id", "fam", "chunk", "centre", (F.col("chunk") != F.col("own")).alias("copy"), "m"), "places", TASK_LINKS)
 
 
+def _parity(own: np.ndarray) -> list[int]:
+    """``PARITY`` bits: whether an odd number of the set's shingles falls on each."""
+    odd = np.bincount(((own ^ (own >> np.uint64(32))) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _compared(rows: DataFrame, width: int, percent: int, whole: int | None) -> DataFrame:
-    """(fam, id, n, centres, prefix) of each member: the centres it reaches, and its rarest shingles.
+    """(fam, id, n, centres, prefix, parity) of each member: the centres it reaches, its rarest shingles and its bits.
 
     ``rows`` (fam, chunk, centre, copy, m, id, text): a chunk's centres come first; copies are
     there to be compared with only.  Only families of more than ``whole`` members have
@@ -119,12 +128,12 @@ def _compared(rows: DataFrame, width: int, percent: int, whole: int | None) -> D
             if both and c != i and 100 * both >= percent * (len(own) + len(other) - both):
                 links.append(c)
         least = len(own) - -(-percent * len(own) // 100) + 1 if whole is not None and m > whole else 0
-        return fam, i, len(own), links, own[np.lexsort((own, seen))[:least]].view(np.int64).tolist()
+        return fam, i, len(own), links, own[np.lexsort((own, seen))[:least]].view(np.int64).tolist(), _parity(own) if least else []
 
     def batch_of(out):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)],
-                                          names=["fam", "id", "n", "centres", "prefix"])
+                                          names=["fam", "id", "n", "centres", "prefix", "parity"])
 
     def run(batches):
         here, centres, waiting = None, [], []
@@ -152,29 +161,37 @@ def _compared(rows: DataFrame, width: int, percent: int, whole: int | None) -> D
         if waiting:
             yield batch_of([answer(*w, centres) for w in waiting])
 
-    return rows.mapInArrow(run, "fam bigint, id bigint, n bigint, centres array<bigint>, prefix array<bigint>")
+    return rows.mapInArrow(run, "fam bigint, id bigint, n bigint, centres array<bigint>, prefix array<bigint>, parity array<bigint>")
 
 
 def _beyond_centres(found: DataFrame, of, root: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between members of different components of a family, by their prefixes."""
-    member = written(of(found.where("size(prefix) > 0"), "id", "root", root).select("fam", "id", "n", "root", "prefix"), "rooted")
+    member = written(of(found.where("size(prefix) > 0"), "id", "root", root).select("fam", "id", "n", "root", "prefix", "parity"), "rooted")
     part = member.groupBy("fam", "root").agg(F.count("*").alias("m"))
     open_ = written(part.groupBy("fam").agg(F.count("*").alias("parts"), F.max(F.struct("m", "root")).alias("main"))
                     .where("parts > 1").select("fam", F.col("main.root").alias("main")), "open")
     shingle = written(member.join(open_, "fam").select("fam", "id", "n", "root", (F.col("root") != F.col("main")).alias("outer"),
-                                                       "prefix", F.posexplode("prefix").alias("at", "s")), "prefixes")
+                                                       "prefix", "parity", F.posexplode("prefix").alias("at", "s")), "prefixes")
     met = written(shingle.groupBy("fam", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                   .where("lo < hi").select("fam", "s"), "met")
     shingle = shingle.join(met, ["fam", "s"])
     x = shingle.where("outer").select("fam", "s", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("root").alias("rx"),
-                                      F.slice("prefix", F.lit(1), F.col("at")).alias("px"))
+                                      F.col("prefix").alias("px"), F.col("parity").alias("bx"))
     y = shingle.select("fam", "s", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("root").alias("ry"),
-                       F.slice("prefix", F.lit(1), F.col("at")).alias("py"))
+                       F.col("prefix").alias("py"), F.col("parity").alias("by"))
     # From the first shingle two sets share, no more can be common than either has behind it.
     room = (100 + percent) * F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= percent * (F.col("nx") + F.col("ny"))
     # Only where they meet first; both sides of a pair may be outside the main component.
-    first = ~F.coalesce(F.arrays_overlap("px", "py"), F.lit(False))
-    pairs = (x.join(y, ["fam", "s"]).where("rx <> ry").where(room).where(first)
+    first = ~F.coalesce(F.arrays_overlap(F.slice("px", F.lit(1), F.col("ax")), F.slice("py", F.lit(1), F.col("ay"))), F.lit(False))
+    # Sets with ``both`` shingles in common have at most ``n - both`` others in front of any of
+    # them, so prefixes of ``n - both + k`` shingles share k.
+    both = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
+    least = F.least(F.size("px") - F.col("nx"), F.size("py") - F.col("ny")) + both
+    shared = F.size(F.array_intersect("px", "py")) >= least
+    # Bits differ only where a shingle of one set is missing in the other: no more than those may.
+    differ = F.aggregate(F.zip_with("bx", "by", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
+    alike = (100 + percent) * differ <= (100 - percent) * (F.col("nx") + F.col("ny"))
+    pairs = (x.join(y, ["fam", "s"]).where("rx <> ry").where(room).where(first).where(alike).where(shared)
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     pairs = written(pairs, "met-pairs", TASK_LINKS)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()

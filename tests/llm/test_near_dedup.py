@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from odflow.llm import _sketch, _words
+from odflow.llm import _sketch, _words, near_dedup
 from odflow.llm.components import components
 from odflow.llm.near_dedup import drop_near_duplicates, near_duplicates
 
@@ -216,3 +216,42 @@ def test_text_ids_are_rejected_and_names_may_clash(spark):
     assert left.columns == clash.columns
     assert sorted((r[0] is None, r[3]) for r in left.collect())[0] == (False, 1)
     assert left.count() == 2
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n, gone in ((1, 0), (60, 7), (800, 100), (9000, 2000)):
+        own = np.unique(rng.integers(0, 1 << 63, n + gone, dtype=np.uint64))
+        other = np.unique(np.concatenate([own[gone:], rng.integers(0, 1 << 63, gone, dtype=np.uint64)]))
+        x, y = (np.array(near_dedup._parity(s)).view(np.uint8) for s in (own, other))
+        differ = int(np.unpackbits(x ^ y).sum())
+        assert differ <= len(np.setxor1d(own, other))
+        assert gone or not differ
+
+
+def test_edited_texts_around_the_limit_against_brute_force(spark, monkeypatch):
+    """A family of edited texts whose similarities lie on both sides of the limit, with few centres."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.integers(0, 150, int(rng.integers(1, 5))):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(146)} for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert 1 < len(set(root)) < len(texts)
+    met, confirmed = [], near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "CENTRES", 2)
+    monkeypatch.setattr(near_dedup, "MORE", 4)
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, *a: (met.append(pairs.count()), confirmed(pairs, *a))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(root))
+    assert sum(met) < len(texts) ** 2 // 8
