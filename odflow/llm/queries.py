@@ -163,7 +163,8 @@ page AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER_ASC
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM part)
 SELECT page_id, host, path, rh || rp AS rule, coalesce(v, 'allow') AS verdict
 FROM page LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
-QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh) + length(rp) DESC NULLS LAST) = 1
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh) - length(replace(rh, '.', '')) DESC NULLS LAST,
+  length(rp) DESC, v = 'block' DESC) = 1
 """
 
 

@@ -5,10 +5,10 @@ of it and whose path starts with the rule's path; a path need not end at a segme
 ``/en/1`` fits ``/en/17/x``.  Of the rules that fit, the one with most host labels wins,
 then the longest path, then the one that blocks.
 
-Up to ``TRIE_BYTES`` of rule text the trie is broadcast (its size is known before it is
-built, as the rules are counted first).  Larger lists are joined instead: each URL is
-expanded to its (host suffix, whole path segments) keys, at most labels times segments of
-one URL, and the keys are joined with the rules' own.
+Rules are counted first and go into as many tries as hold ``TRIE_BYTES`` of rule text each
+(equal rules into one); the usual list is a single trie.  Each trie is broadcast alone and
+every URL walks it, keeping the better of its winner and the one so far, so no list is too
+long and no worker holds more than one trie.
 """
 
 from __future__ import annotations
@@ -19,15 +19,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odflow.llm._store import written
+
 TRIE_BYTES = 8 << 20
 
 
+def _lower_ascii(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty for a null url or one without ``://``."""
     rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
     rest = F.coalesce(rest, F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-                       "abcdefghijklmnopqrstuvwxyz")
+    host = _lower_ascii(F.regexp_extract(rest, r"^[^/?#]*", 0))
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return host, path
 
@@ -37,7 +42,8 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
 
     A host node keeps its subdomains under ``h`` and its path tree under ``p``; a path node
     keeps sub-segments under ``s`` and, under ``r``, its rules as (rest of the path within
-    the next segment, rule, verdict), longest rest first and blocks before allows.
+    the next segment, rule, verdict, length of the path), longest rest first and blocks before
+    allows.
     """
     root: dict = {}
     for host, path, verdict in rules:
@@ -48,24 +54,24 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
         *whole, rest = path.split("/")
         for segment in whole:
             node = node.setdefault("s", {}).setdefault(segment, {})
-        node.setdefault("r", []).append((rest, host + path, verdict))
+        node.setdefault("r", []).append((rest, host + path, verdict, len(path)))
         node["r"].sort(key=lambda x: (-len(x[0]), x[2] != "block"))
     return root
 
 
-def longest(trie: dict, host: str, path: str) -> tuple[str | None, str | None]:
-    """(rule, verdict) of the winning rule, or (None, None)."""
-    best: tuple[str | None, str | None] = (None, None)
+def _winner(trie: dict, host: str, path: str) -> tuple[int, int, str | None, str | None]:
+    """(host labels, path length, rule, verdict) of the winning rule; (0, 0, None, None) without one."""
+    best: tuple[int, int, str | None, str | None] = (0, 0, None, None)
     node = trie
-    for label in reversed(host.split(".")):
+    for labels, label in enumerate(reversed(host.split(".")), 1):
         node = node.get("h", {}).get(label)
         if node is None:
             break
         tree, segments, i = node.get("p"), path.split("/"), 0
         while tree is not None:
-            for rest, rule, verdict in tree.get("r", ()):
+            for rest, rule, verdict, length in tree.get("r", ()):
                 if segments[i].startswith(rest):
-                    best = (rule, verdict)
+                    best = (labels, length, rule, verdict)
                     break
             # The last segment is not followed by a slash, so it is no whole one.
             tree = tree.get("s", {}).get(segments[i]) if i + 1 < len(segments) else None
@@ -73,57 +79,51 @@ def longest(trie: dict, host: str, path: str) -> tuple[str | None, str | None]:
     return best
 
 
+def longest(trie: dict, host: str, path: str) -> tuple[str | None, str | None]:
+    """(rule, verdict) of the winning rule, or (None, None)."""
+    return _winner(trie, host, path)[2:]
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 default: str = "allow", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row per URL: id, host, path, rule (host + path of the winner, else null), verdict.
 
     ``rules`` has the columns host, path and verdict (allow or block).  A URL no rule fits
     gets ``default``.  A null url or one without ``://`` has an empty host and path, which no
-    rule fits.  Rules with a null host or verdict are left out, a null path is empty; hosts of
-    rules are lower-cased.  Repeated rows and ids are judged row by row; an empty table gives
-    an empty result and an empty rule list gives every URL the default.
+    rule fits.  Rules with a null host or verdict are left out, a null path is empty; A to Z in
+    hosts of rules are lower-cased, as in URLs.  Repeated rows and ids are judged row by row, a
+    very long url like any other; an empty table gives an empty result and an empty rule list
+    gives every URL the default.
     """
     rules = (rules.where("host IS NOT NULL AND verdict IS NOT NULL")
-             .select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict"))
-    host, path = url_parts(F.col(url_col))
-    urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+             .select(_lower_ascii(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").distinct())
     size = rules.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
-    if size > trie_bytes:
-        return _joined(urls, rules, id_col, default)
-    trie = pages.sparkSession.sparkContext.broadcast(build_trie(rules.collect()))
-
+    parts = max(1, -(-size // trie_bytes))
+    host, path = url_parts(F.col(url_col))
+    urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.lit(0).alias("labels"),
+                        F.lit(0).alias("length"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    for part in range(parts):
+        own = rules.where(F.pmod(F.xxhash64("host", "path"), F.lit(parts)) == part).collect()
+        urls = _walked(urls, pages.sparkSession.sparkContext.broadcast(build_trie(own)))
+        if part + 1 < parts:
+            urls = written(urls, "urls")
+    return urls.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+
+
+def _walked(urls: DataFrame, trie) -> DataFrame:
+    """``urls`` with the winner of this trie where it is better than the one so far."""
     def run(batches):
         for batch in batches:
             seen: dict = {}
             found = []
-            for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                key = (h, p)
-                if key not in seen:
-                    seen[key] = longest(trie.value, h, p)
-                found.append(seen[key])
+            for h, p, *before in zip(*[batch.column(i).to_pylist() for i in range(1, 7)]):
+                if (h, p) not in seen:
+                    seen[h, p] = _winner(trie.value, h, p)
+                # Equal lengths of one URL's fitting rules mean equal rules, which lie in one trie.
+                found.append(seen[h, p] if seen[h, p][:2] > tuple(before[:2]) else before)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([r for r, _ in found], pa.string()),
-                 pa.array([v or default for _, v in found], pa.string())],
-                names=[*batch.schema.names, "rule", "verdict"])
-
-    kind = urls.schema[0].dataType.simpleString()
-    return urls.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
-
-
-def _joined(urls: DataFrame, rules: DataFrame, id_col: str, default: str) -> DataFrame:
-    # Each distinct (host, path) is looked up once, so a hot page does not repeat its keys.
-    parts = urls.select("host", "path").distinct()
-    hosts = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> "
-                   "concat_ws('.', slice(split(host, '[.]'), i, 1000000)))")
-    whole = F.expr("transform(sequence(0, size(split(path, '/')) - 1), i -> "
-                   "concat_ws('/', slice(split(path, '/'), 1, i)))")
-    keys = (parts.select("host", "path", F.explode(hosts).alias("rh"))
-            .select("host", "path", "rh", F.explode(whole).alias("rw")))
-    own = rules.select(F.col("host").alias("rh"), F.col("path").alias("rp"), "verdict",
-                       F.expr("concat_ws('/', slice(split(path, '/'), 1, size(split(path, '/')) - 1))").alias("rw"))
-    best = (keys.join(own, ["rh", "rw"]).where("startswith(path, rp)").groupBy("host", "path")
-            .agg(F.max(F.struct(F.size(F.split("rh", "[.]")).alias("n"), F.length("rp").alias("l"),
-                                F.col("verdict"), F.concat("rh", "rp").alias("rule"))).alias("w")))
-    best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), "w.rule", F.col("w.verdict").alias("v"))
-    return (urls.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
-            .select(id_col, "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict")))
+                [*batch.columns[:3], *[pa.array([f[i] for f in found], kind)
+                                       for i, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]],
+                names=batch.schema.names)
+
+    return urls.mapInArrow(run, urls.schema)

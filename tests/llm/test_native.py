@@ -155,14 +155,15 @@ def brute(url, rules, default="allow"):
     return (host, path, *(max(fit)[3:] if fit else (None, default)))
 
 
-@pytest.mark.parametrize("trie_bytes", [1 << 20, 0])
+@pytest.mark.parametrize("trie_bytes", [1 << 20, 300])
 def test_urls_against_brute_force(spark, trie_bytes):
     rules = URL_RULES + [("example.org", "", "block"), ("a.example.org", "/en/", "allow"), ("org", "/a", "block"),
-                         ("org", "/a", "allow"), ("com", "/fr/a/b", "block"), ("com", "/fr/a", "block")]
+                         ("org", "/a", "allow"), ("com", "/fr/a/b", "block"), ("com", "/fr/a", "block"),
+                         ("é.org", "/", "block"), ("com", "/fr/a", "block")]
     urls = URLS + [f"http://{h}/{p}" for h in ("a.example.org", "b.com", "com") for p in ("en/1/2", "fr/a/b/c", "fr/a", "a", "de/")]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(1, urls[1]), (None, urls[0])], "page_id bigint, url string")
     pages = pages.selectExpr("page_id", "url", "'h' host", "'p' path", "'r' rule")
-    table = spark.createDataFrame(rules + [(None, "/", "block"), ("x", "/", None)], "host string, path string, verdict string")
+    table = spark.createDataFrame(rules + [("a.EXAMPLE.org", "/en/", "allow"), (None, "/", "block"), ("x", "/", None)], "host string, path string, verdict string")
     got = Counter(tuple(r) for r in filter_urls(pages, table, trie_bytes=trie_bytes).collect())
     want = Counter((i, *brute(u, rules)) for i, u in [*enumerate(urls), (1, urls[1]), (None, urls[0])])
     assert got == want
