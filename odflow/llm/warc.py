@@ -22,6 +22,11 @@ TAGS = r"<[A-Za-z/!?][^>]*>"
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
             ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")]
 
+#: Names of the charsets read as windows-1252, and its characters for the bytes 0x80 to 0x9F.
+LATIN = ("iso-8859-1", "iso8859-1", "latin1", "latin-1", "us-ascii", "ascii", "windows-1252", "cp1252")
+_WINDOWS = {chr(b): c for b, c in zip(
+    (0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F), "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ")}
+
 
 def sha1_base32(data: Column) -> Column:
     """``sha1:`` and the base-32 digest, as WARC digests are written."""
@@ -89,41 +94,72 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^\n|\n$", ""))
 
 
+def _charset(pairs: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(header(pairs, "Content-Type"), F.lit("")), r"(?i)charset\s*=\s*[\"']?([^\s;\"']+)", 1))
+
+
+def body_text(body: Column, charset: Column) -> Column:
+    """Text of a body's bytes; what is not valid UTF-8 becomes U+FFFD.
+
+    ISO-8859-1, US-ASCII and windows-1252 are read as windows-1252, as browsers do; any other
+    charset or none as UTF-8.
+    """
+    latin = F.translate(F.decode(body, "ISO-8859-1"), "".join(_WINDOWS), "".join(_WINDOWS.values()))
+    return F.when(charset.isin(*LATIN), latin).otherwise(F.make_valid_utf8(body.cast("string")))
+
+
+def links_of(html: Column) -> Column:
+    """Targets of ``<a href>`` in order: in double quotes, in single quotes or bare; entities decoded."""
+    quoted = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""))
+    bare = lambda x: F.when(F.substring(x, 1, 1).isin('"', "'"), F.substring(x, 2, F.length(x) - 2)).otherwise(x)
+    return F.transform(quoted, lambda x: decoded(bare(x)))
+
+
 def derivatives(responses: DataFrame, id_col: str = "page_id", header_col: str = "warc_headers",
                 block_col: str = "block") -> DataFrame:
     """Two rows per response: id, type, record_id, refers_to, target_uri, date, digest, source_digest,
     source_digest_ok, content, record.
 
     ``warc_headers`` is the response record's header block and ``block`` its HTTP response
-    (status line, headers, empty line, body).  ``digest`` is the derived block's,
+    (status line, headers, empty line, body), as bytes or as text that has been decoded.  Of
+    bytes the digest and length are those of the payload as it came, and its text follows the
+    charset of the Content-Type (``body_text``).  Lines of a block that starts with ``HTTP/``
+    may end in LF alone; without an empty line all of a block is body.  ``digest`` is the derived block's,
     ``source_digest`` the payload digest that the source states or, without one, the
     computed; ``source_digest_ok`` tells whether a stated one is right (null if none is
     stated).  ``record`` is the whole record as it stands in a file.  A null block counts as
     empty; a response without a record id gets one from its target and date.  Missing headers
-    are left out.  Rows that repeat a response repeat its records.
+    are left out.  Rows that repeat a response repeat its records; an empty table gives an empty
+    result, and a body of any length is read whole.  Other columns are not looked at.
     """
-    responses = responses.withColumn("__b", F.coalesce(F.col(block_col), F.lit("")))
-    block = F.col("__b")
-    end = F.instr(block, CRLF + CRLF)
+    raw = responses.schema[block_col].dataType.simpleString() == "binary"
+    # Bytes as characters of their own, so that positions are positions of bytes.
+    block = F.coalesce(F.decode(F.col(block_col), "ISO-8859-1") if raw else F.col(block_col), F.lit(""))
+    blocks = responses.select(F.col(id_col).alias("id"), F.col(header_col).alias("head"), block.alias("block"),
+                              *([F.col(block_col).alias("bytes")] if raw else []))
+    block = F.col("block")
+    crlf, lf = F.instr(block, CRLF + CRLF), F.instr(block, "\n\n")
+    by_lf = F.startswith(block, F.lit("HTTP/")) & (lf > 0) & ((crlf == 0) | (lf < crlf))
+    end = F.when(by_lf, lf).otherwise(crlf)
+    at = F.when(by_lf, lf + 2).when(crlf > 0, crlf + 4).otherwise(1)
     # A generator over an array of one: the parts are made once, not in each of their uses.
     once = lambda *cols: F.inline(F.array(F.struct(*cols)))
-    r = responses.select(F.col(id_col).alias("id"), once(
-        headers(F.col(header_col)).alias("w"),
-        F.when(end > 0, F.substring_index(block, CRLF + CRLF, 1)).otherwise("").alias("h"),
-        F.when(end > 0, F.substring(block, end + 4, F.lit(1 << 30))).otherwise(block).alias("body")))
-    r = r.select("id", "w", F.substring_index("h", CRLF, 1).alias("status"), headers(F.col("h")).alias("http"), "body",
+    r = blocks.select("id", once(
+        headers(F.col("head")).alias("w"), F.when(end > 0, F.substring(block, F.lit(1), end - 1)).otherwise("").alias("h"),
+        F.substring(F.coalesce(F.col("bytes"), F.lit(b"")) if raw else block, at, F.lit(1 << 30)).alias("payload")))
+    r = r.select("id", "w", F.regexp_extract("h", r"^[^\r\n]*", 0).alias("status"), headers(F.col("h")).alias("http"), "payload",
                  header(F.col("w"), "WARC-Target-URI").alias("target_uri"), header(F.col("w"), "WARC-Date").alias("date"),
                  header(F.col("w"), "WARC-Payload-Digest").alias("stated"),
-                 sha1_base32(F.col("body")).alias("computed"),
+                 sha1_base32(F.col("payload")).alias("computed"),
                  header(F.col("w"), "WARC-Record-ID").alias("own"))
+    r = r.withColumn("body", body_text(F.col("payload"), _charset(F.col("http"))) if raw else F.col("payload"))
     r = r.withColumn("refers_to", F.coalesce("own", record_id(F.lit("response"), F.coalesce("target_uri", F.lit("")),
                                                               F.coalesce("date", F.lit("")))))
     title = F.trim(F.regexp_replace(decoded(F.regexp_extract("body", r"(?is)<title\b[^>]*>(.*?)</title", 1)), r"\s+", " "))
-    links = F.transform(F.regexp_extract_all("body", F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"')), decoded)
     about = F.to_json(F.struct(
         F.struct(F.col("w").alias("warc"), F.col("status"), F.col("http")).alias("source"),
-        F.coalesce("stated", "computed").alias("payload_digest"), F.octet_length("body").alias("payload_length"),
-        title.alias("title"), links.alias("links")))
+        F.coalesce("stated", "computed").alias("payload_digest"), F.octet_length("payload").alias("payload_length"),
+        title.alias("title"), links_of(F.col("body")).alias("links")))
     two = r.select("id", "refers_to", "target_uri", "date", F.coalesce("stated", "computed").alias("source_digest"),
                    (F.col("stated") == F.col("computed")).alias("source_digest_ok"), F.explode(F.array(
                        F.struct(F.lit("metadata").alias("type"), F.lit("application/json").alias("kind"), about.alias("content")),

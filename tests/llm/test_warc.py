@@ -107,3 +107,38 @@ def test_headers_and_missing_parts(spark):
     assert next(r for r in out if r.page_id is None and r.type == "conversion").content == "no header at all"
     empty = spark.createDataFrame([], "page_id bigint, warc_headers string, block string")
     assert warc.derivatives(empty).count() == 0
+
+
+def test_bytes_and_charsets(spark):
+    head = lambda kind: f"HTTP/1.1 200 OK\r\nContent-Type: text/html{kind}\r\n\r\n".encode()
+    bodies = [(head("; charset=ISO-8859-1"), b"caf\xe9 \x80 \x93x\x94"), (head(""), "caf\u00e9 \u4e2d".encode()), (head('; charset="utf-8"'), b"a\xffb"),
+              (b"", b"\x00\x01no header"), (b"HTTP/1.1 200 OK\nX: y\n\n", "<p>\u00e9</p>\r\n\r\nz".encode()), (head("; charset=latin1"), b"")]
+    want = ["caf\u00e9 \u20ac \u201cx\u201d", "caf\u00e9 \u4e2d", "a\ufffdb", "\x00\x01no header", "\u00e9\nz", ""]
+    src = [(i, f"WARC-Payload-Digest: {digest(b)}\r\n", bytearray(h + b)) for i, (h, b) in enumerate(bodies)] + [(9, None, None)]
+    out = warc.derivatives(spark.createDataFrame(src, "page_id bigint, warc_headers string, block binary")).collect()
+    for r in out:
+        if r.page_id == 9:
+            assert r.source_digest == digest(b"") and r.source_digest_ok is None
+            continue
+        body = bodies[r.page_id][1]
+        assert r.source_digest == digest(body) and r.source_digest_ok is True
+        if r.type == "conversion":
+            assert r.content == want[r.page_id]
+        else:
+            assert json.loads(r.content)["payload_length"] == len(body)
+    about = next(json.loads(r.content) for r in out if r.page_id == 4 and r.type == "metadata")
+    assert about["source"] == {"warc": [{"name": "WARC-Payload-Digest", "value": digest(bodies[4][1])}], "status": "HTTP/1.1 200 OK",
+                               "http": [{"name": "X", "value": "y"}]}
+
+
+def test_line_feeds_and_links(spark):
+    page = ("<a href='one?a=1&amp;b=2'>1</a> <A class=x HREF = two >2</A> <a\nhref=\"three's\">3</a> <a data-href=no>4</a> "
+            "<a name=n>5</a> <a title='t' href=''>6</a> <a href=last>7</a>\n\n<p>end")
+    src = [(1, "", "HTTP/1.0 200 OK\nServer: s\n\n" + page), (2, "", "HTTP/1.0 200 OK\r\nServer: s\r\n\r\n" + page),
+           (3, "", "no header\n\nbut text")]
+    out = warc.derivatives(spark.createDataFrame(src, "page_id bigint, warc_headers string, block string")).collect()
+    about = {r.page_id: json.loads(r.content) for r in out if r.type == "metadata"}
+    text = {r.page_id: r.content for r in out if r.type == "conversion"}
+    assert about[1] == about[2] and text[1] == text[2] == "1 2 3 4 5 6 7\nend" and text[3] == "no header but text"
+    assert about[1]["links"] == ["one?a=1&b=2", "two", "three's", "", "last"]
+    assert about[1]["source"]["status"] == "HTTP/1.0 200 OK" and about[3]["source"]["http"] == []
