@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odflow.llm._licence_texts import FULL, KNOWN, TITLED
+from odflow.llm._store import written
 
 #: Fixed values: (words that must occur, pattern, replacement) over canonical words.
 SPELLINGS: list[tuple[tuple[str, ...], str, str]] = [
@@ -85,12 +86,16 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     notice that the whole text is, with or without its holders' lines (else null), ``notices``
     the licences whose notices are lines of the text or stand at the end of a holder's line,
     sorted and joined by commas (empty if none).  A null text counts as empty; the empty text
-    matches nothing.  An empty table gives an empty result.
+    matches nothing, a very long one is looked up whole.  Repeated rows stay repeated.  An empty
+    table gives an empty result.  Lines are looked up where they are read: only the known ones
+    move, and a row of digests for each document.
     """
     known = known if known is not None else known_digests(docs.sparkSession)
     lookup = (known.groupBy("digest").agg(F.min("licence").alias("found")).withColumn("whole", F.lit(True))
               .unionByName(known.where("kind = 'notice'").select("digest", F.col("licence").alias("found"),
                                                                  F.lit(False).alias("whole"))))
+    # Written, so that the planner knows its size before it plans the lines' join.
+    lookup = written(lookup, "licences")
     text = F.col(text_col)
     t = docs.select(F.col(id_col).alias("id"), canonical(text).alias("t"),
                     F.when(text.rlike(HOLDER), canonical(_holderless(text))).alias("u"),

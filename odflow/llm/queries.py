@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odflow.llm import licenses, merkle, toxicity, warc
-from odflow.llm._licence_texts import KNOWN
+from odflow.llm._licence_texts import FULL, KNOWN, TITLED
 from odflow.llm.chat import repair_chats
 from odflow.llm.decontaminate import find_leaks
 from odflow.llm.exact_dedup import exact_duplicates
@@ -93,11 +93,13 @@ def _canonical_sql(text: str) -> str:
 
 def _op4_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(a)}, {quote(k)}, {quote(t)})" for a, k, t in KNOWN)
+    known = ", ".join(f"({quote(a)}, {quote(k)}, {quote(t)})" for a, k, t in KNOWN + TITLED)
+    full = ", ".join(f"({quote(a)}, 'text', {quote(d)})" for a, d in FULL)
     return f"""
 WITH known AS (
-  SELECT kind, sha256(replace({_canonical_sql('text')}, chr(10), ' ')) AS digest, min(licence) AS licence
-  FROM (VALUES {known}) v(licence, kind, text) GROUP BY 1, 2),
+  SELECT kind, digest, min(licence) AS licence FROM (
+    SELECT licence, kind, sha256(replace({_canonical_sql('text')}, chr(10), ' ')) AS digest FROM (VALUES {known}) v(licence, kind, text)
+    UNION ALL SELECT * FROM (VALUES {full}) f(licence, kind, digest)) k GROUP BY kind, digest),
 doc AS (SELECT doc_id, {_canonical_sql('text')} AS t FROM documents),
 unit AS (SELECT doc_id, sha256(replace(t, chr(10), ' ')) AS digest, t FROM doc),
 line AS (SELECT DISTINCT doc_id, sha256(l) AS d FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM doc)),

@@ -83,6 +83,12 @@ def test_licences_and_mixing_are_native(docs):
         assert not any(w in plan(df) for w in ("Python", "Pandas", "Arrow"))
 
 
+def test_lines_are_looked_up_where_they_are_read(docs):
+    text = plan(scan_licenses(docs([(1, "a\nb")])))
+    # The lookup is broadcast by its written size; one exchange puts each document's found units together.
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text and text.count("Exchange hashpartitioning") == 1
+
+
 # -------------------------------------------------------------------------- mixing
 def uniform(*key):
     return int(hashlib.sha256("|".join(key).encode()).hexdigest()[:13], 16) / 2 ** 52
