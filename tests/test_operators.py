@@ -83,6 +83,23 @@ def test_attach_segments_fans_out(spark):  # C9
     assert attach_segments(rides, seg).count() == 2
 
 
+def _rides_and_segments(spark):
+    rnd = random.Random(3)
+    seg = spark.createDataFrame([(rnd.choice([*range(6), None]), rnd.randint(0, 2), rnd.choice(["A", "B", None]))
+                                 for _ in range(150)], "site_id long, line_id int, segment string")
+    rides = spark.createDataFrame([(i % 150, rnd.choice([0, 1, 2, 3, None]), rnd.choice([*range(8), None]), rnd.randint(0, 7),
+                                    rnd.choice(["NB", None]), "AM") for i in range(200)],
+                                  "id int, line_id int, board_site long, alight_site long, dir string, time_period string")
+    return rides, seg
+
+
+def test_incomplete_rides_are_left_out_before_the_lookup(spark):
+    from odflow.operators.segments import on_off
+    rides, seg = _rides_and_segments(spark)
+    other = rides.withColumns({"board_segment": F.lit("x"), "alight_segment": F.lit("y")})
+    assert "LeftOuter" not in plan_text(on_off(attach_segments(rides, seg), other))
+
+
 def test_trip_direction_cases(spark):
     stops = spark.createDataFrame(
         [(1, 10, 0, 1), (1, 20, 0, 5), (1, 10, 1, 9), (1, 20, 1, 2), (1, 30, 0, 7)],
