@@ -1,6 +1,7 @@
 """Operator behaviour on in-memory edge rows (FIXTURES part C) and plan-shape checks."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -93,6 +94,21 @@ def _rides_and_segments(spark):
     return rides, seg
 
 
+def test_repeated_lookup_rows_equal_plain_joins(spark):
+    from odflow.operators.segments import on_off, repeat_rows
+    rides, seg = _rides_and_segments(spark)
+    b = seg.select(F.col("site_id").alias("board_site"), "line_id", F.col("segment").alias("board_segment"))
+    a = seg.select(F.col("site_id").alias("alight_site"), "line_id", F.col("segment").alias("alight_segment"))
+    want = rides.join(b, ["board_site", "line_id"], "left").join(a, ["alight_site", "line_id"], "left")
+    got, short = attach_segments(rides, seg), attach_segments(rides, seg, copies="n")
+    assert got.columns == want.columns and short.count() < want.count()
+    for x in (got, repeat_rows(short, "n")):
+        assert Counter(x.collect()) == Counter(want.collect())
+    rows = Counter(on_off(got).collect())
+    assert rows == Counter(want.dropna(subset=["board_segment", "alight_segment", "line_id", "time_period", "dir"]).collect()) and rows
+    assert Counter(repeat_rows(on_off(short), "n").collect()) == rows
+
+
 def test_incomplete_rides_are_left_out_before_the_lookup(spark):
     from odflow.operators.segments import on_off
     rides, seg = _rides_and_segments(spark)
