@@ -136,7 +136,10 @@ def preparation(raw: DataFrame, key: str, layer: DataFrame, stops: DataFrame, ru
 
     ``raw`` has ``o_lon .. d_lat`` and the boarding and alighting points ``b_lon .. a_lat``;
     ``survey`` are the options of :func:`odflow.plans.survey.prepare_survey`; ``keep`` are the
-    columns that ends and zone trips carry; ``source`` names the version of the inputs.
+    columns that ends and zone trips carry; ``source`` names the version of the inputs.  The
+    table ``rides`` holds identical rows of the lookup once, with their number in ``copies``
+    (:func:`odflow.operators.segments.repeat_rows` gives them back), as it would grow with the
+    square of the times a stop is listed.
     """
     survey = dict(survey or {})
     said = [source, key, sorted((k, str(v)) for k, v in survey.items()), list(keep)]
@@ -144,8 +147,8 @@ def preparation(raw: DataFrame, key: str, layer: DataFrame, stops: DataFrame, ru
         Stage("trips", ["trips"], lambda t: {"trips": prepare_survey(raw, key, **survey)}, key=said),
         Stage("points", ["trip_ends", "od_lines", "ba_lines"], lambda t: Split(t["trips"], _points(keep, key)), ["trips"], said),
         Stage("stop_segments", ["stop_segments"], lambda t: {"stop_segments": classify_stops(stops, rules)}, key=[source, list(rules)]),
-        Stage("rides", ["rides"], lambda t: {"rides": on_off(*[attach_segments(r, t["stop_segments"]) for r in rides])},
-              ["stop_segments"], source),
+        Stage("rides", ["rides"], lambda t: {"rides": on_off(*[attach_segments(r, t["stop_segments"], copies="copies") for r in rides])},
+              ["stop_segments"], [source, "copies"]),
         Stage("panel", ["panel"], lambda t: {"panel": attach_centroids(panel, layer, "o_zone", "d_zone")}, key=source),
         Stage("zone_trips", ["zone_trips"], lambda t: {"zone_trips": zone_trips(
             t["trips"], layer, keep=keep, index=cell_index(layer, carry=["cx", "cy"]))}, ["trips"], said),

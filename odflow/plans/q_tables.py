@@ -233,15 +233,15 @@ def q_preparation_batch(spark, sf_dir):
         survey={"codebook": {"time_period": q_survey.DOMAINS["time_period"]}, "exclude_pattern": "7."}, keep=_BATCH_KEEP, source=sf_dir)
     t = run_stages(spark, _folder(spark), stages)
 
-    def of(name, key, total):
-        return t[name].groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.round(total, 3).alias("total")) \
+    def of(name, key, total, n=F.count(F.lit(1))):
+        return t[name].groupBy(key.alias("key")).agg(n.alias("n"), F.round(total, 3).alias("total")) \
             .select(F.lit(name).alias("table_name"), "key", "n", "total")
 
     c = F.col
     parts = [of("trip_ends", c("Type"), F.sum("lon") - F.sum("ba_lat")), of("od_lines", c("vertex").cast("string"), F.sum("lon")),
              of("ba_lines", c("vertex").cast("string"), F.sum("lon")), of("trips", c("time_period"), F.sum("w")),
              of("stop_segments", c("segment"), F.sum("stop_sequence_number").cast("double")),
-             of("rides", F.concat("board_segment", F.lit(">"), "alight_segment"), F.max(F.lit(None).cast("double"))),
+             of("rides", F.concat("board_segment", F.lit(">"), "alight_segment"), F.max(F.lit(None).cast("double")), F.sum("copies")),
              of("panel", c("d_zone").cast("string"), F.sum("idx") + F.sum("orig_lon")),
              of("zone_trips", F.concat(c("orig").cast("string"), F.lit(">"), c("dest").cast("string")), F.sum("w"))]
     out = parts[0]

@@ -89,6 +89,20 @@ def test_preparation_writes_all_tables(spark, tmp_path):
     assert {(r.o_zone, r.orig_lon is None) for r in t["panel"].collect()} == {(1, False), (9, True)}
 
 
+def test_preparation_keeps_identical_rides_once_with_their_number(spark, tmp_path):
+    raw = spark.createDataFrame([("1", *[0.5] * 8)], "ID string, " + ", ".join(f"{e}_{c} double" for e in "odba" for c in ("lon", "lat")))
+    stops = spark.createDataFrame([(1, 0, s, s % 2, "N") for s in range(40)],
+                                  "line_id int, direction_number int, stop_sequence_number int, site_id bigint, site_downtown_zone string")
+    rides = spark.createDataFrame([(i, 1, 0, 1, "NB", "am") for i in range(3)],
+                                  "ride int, line_id int, board_site bigint, alight_site bigint, dir string, time_period string")
+    panel = spark.createDataFrame([], "o_zone int, d_zone int, idx double")
+    t = run_stages(spark, str(tmp_path), preparation(raw, "ID", squares(spark, {1: (0, 0, 1)}), stops, [band(1, 0, 0, 29, "A"), band(1, 0, 30, 35, "B")],
+                                                     [rides], panel, keep=["ID"]))
+    got = {(r.ride, r.board_segment, r.alight_segment): r.copies for r in t["rides"].collect()}
+    assert got == {(i, b, a): m * n for i in range(3) for b, m in (("A", 15), ("B", 3)) for a, n in (("A", 15), ("B", 3))}
+    assert t["rides"].count() == len(got)
+
+
 def test_boxes_come_and_go_without_the_others(spark):
     rnd = random.Random(1)
     trips = spark.createDataFrame([(rnd.uniform(0, 4), rnd.uniform(0, 4), rnd.uniform(10, 14), rnd.uniform(10, 14),
