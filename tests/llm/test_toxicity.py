@@ -127,3 +127,29 @@ def test_sample_of_long_texts_keeps_every_class_and_part(spark, monkeypatch):
         assert sum(len(r.text) for r in got) <= max(size, 4 * 4000) and all(count(got).values())
         if size == 900_000:     # classes keep their proportions
             assert all(abs(n / len(got) - whole[k] / 900) < 0.03 for k, n in count(got).items())
+
+
+def test_fit_learns_from_every_labelled_row(spark, monkeypatch):
+    """Neither the limits of the sample nor the number of shards cost a row."""
+    rows, labels = corpus(1200, 6)
+    docs, lab = spark.createDataFrame([*rows, (7, "again", "en"), (None, "x", "en")], SCHEMA), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    for name, value in (("TRAIN_ROWS", 10), ("CALIBRATE_ROWS", 10), ("TEXT_BYTES", 40), ("SAMPLE_BYTES", 4000), ("SHARD_ROWS", 250)):
+        monkeypatch.setattr(toxicity, name, value)
+    learnt = toxicity._labelled(docs, labelled(lab), len(labels), "doc_id", "text", "lang")
+    assert sorted((r.id, r.y) for r in learnt.collect()) == sorted(labels)
+    assert {r.shard for r in learnt.collect()} == set(range(5))
+    model = toxicity.fit(docs, lab)
+    out = toxicity.score_toxicity(docs.where("doc_id <> 7"), model).join(lab, "doc_id").collect()
+    assert len(out) == 1199 and np.mean([r.rejected == (r.toxic == 1) for r in out]) > 0.97
+
+
+def test_thresholds_from_counts_equal_those_of_rows():
+    rng = np.random.default_rng(1)
+    s, y = np.round(rng.random(500), 2), (rng.random(500) < 0.3).astype(int)
+    of = lambda t: 2 * y[s >= t].sum() / ((s >= t).sum() + y.sum())
+    own = sorted(set(s), reverse=True)
+    best = max(own, key=of)
+    below = max([x for x in own if x < best], default=0.0)
+    counts = pa.table({"score": own, "n": [int((s == x).sum()) for x in own], "hits": [int(y[s == x].sum()) for x in own]})
+    assert toxicity._best_threshold(counts.slice(0), 0.3) == round((best + below) / 2, 6)
+    assert toxicity._best_threshold(counts.slice(0, 0), 0.3) == 0.3
