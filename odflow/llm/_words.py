@@ -66,7 +66,14 @@ def _powers(n: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     return cache["p"][:n], cache["q"][:n]
 
 
-_CACHE: dict = {}
+class _Own(dict):
+    """A process's own table: task code, which is shipped by value, takes it along empty."""
+
+    def __reduce__(self):
+        return type(self), ()
+
+
+_CACHE: dict = _Own()
 
 
 def pieces(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE):

@@ -358,6 +358,7 @@ def calibrate(model: Model, rows: DataFrame, prior: float = 1e-2) -> None:
 
     table = written(rows.select("text", F.coalesce("lang", F.lit("None")).alias("lang"), "y").mapInArrow(
         run, "lang string, y int, m double"), "margins", 1 << 20)
+    shared.destroy()
     model.scale, model.shift = _platt(table, prior)
     z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), model.scale * F.col("m") + model.shift))
     scores = table.select("lang", "y", F.bround(1 / (1 + F.exp(-z)), 6).alias("score"))
