@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registry():
     q = entry.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(QUERIES) | {"pipeline"} <= set(q)
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and set(QUERIES) | {"pipeline"} <= set(q)
     assert all((f.__doc__ or "").strip() for f in QUERIES.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontaminate", "mixing", "sharding"]
 
