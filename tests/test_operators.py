@@ -109,6 +109,23 @@ def test_repeated_lookup_rows_equal_plain_joins(spark):
     assert Counter(repeat_rows(on_off(short), "n").collect()) == rows
 
 
+def test_repeated_rows_are_made_in_bounded_parts(spark):
+    from odflow.operators.segments import repeat_rows
+    sizes = {1: (1, 1), 2: (2, 3), 3: (1, 1023), 4: (512, 2), 5: (1025, 1), 6: (64, 49), 7: (1_100, 1_000)}
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in sizes.items()] + [(8, None, 2)], "id int, a long, b int")
+    got = {r.id: r["count"] for r in repeat_rows(df, "a", "b").groupBy("id").count().collect()}
+    assert got == {i: a * b for i, (a, b) in sizes.items()}
+    huge = spark.createDataFrame([(1, 3_000_000_000)], "id int, n long")
+    assert [tuple(r) for r in repeat_rows(huge, "n").limit(3).collect()] == [(1,)] * 3
+    # The copies of a row are not all made, and held, by one compiled stage ("*" marks those).
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        steps = [x for x in plan_text(repeat_rows(df, "a", "b")).splitlines() if "Generate" in x]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(steps) == 2 and "*(" in steps[0] and "*(" not in steps[1]
+
+
 def test_incomplete_rides_are_left_out_before_the_lookup(spark):
     from odflow.operators.segments import on_off
     rides, seg = _rides_and_segments(spark)
